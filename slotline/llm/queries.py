@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotline.llm import exact_dedup, url_filter
+from slotline.llm import audio, chat_format, exact_dedup, packing, url_filter
 from slotline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +17,26 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{said}' as text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.read_back(chat_format.format_turns(rows))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digest(audio.analyse(audio.store(table(spark, sf_dir, "documents"))))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op6_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_packing, op6_exact_dedup, op7_audio_features)}
 
 SQL = {
     "op2_url_filter": r"""
@@ -38,6 +54,19 @@ r as (select *, case
   when regexp_matches(host, '(^|\.)spam-[^/]*\.') then 'spam-*' when regexp_matches(host, '(^|\.)ads-[^/]*\.') then 'ads-*' end as own from p)
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
   when own is not null then 'block' else 'allow' end as verdict, case when rule is null then own end as glob_rule from r""",
+    "op4_chat_format": r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f as (select *, case role when 'user' then ' [/INST]' when 'system' then chr(10) || '<</SYS>>' || chr(10) || chr(10) when 'assistant' then '</s>' else '<|end|>' end as closing,
+  case role when 'user' then 15 when 'system' then 19 when 'assistant' then 5 else 23 end as frame,
+  case when role in ('user', 'system', 'assistant') then '' else role end as named from c),
+e as (select *, contains(text, closing) or starts_with(text, '<|esc|>') or contains(named, '<|text|>') or starts_with(named, '<|esc|>') as escaped,
+  length(regexp_replace(text, '[\\<\[]', 'xx', 'g')) + 7 as long_text, length(regexp_replace(named, '[\\<\[]', 'xx', 'g')) + 7 as long_role from f)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(frame + case when not escaped then length(text) + length(named) when named = '' and role in ('user', 'system', 'assistant') then long_text else long_text + long_role end)::bigint as formatted_chars
+from e group by conv_id""",
     "op6_exact_dedup": r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
