@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotline.llm import audio, chat_format, exact_dedup, packing, url_filter
+from slotline.llm import audio, chat_format, exact_dedup, langid, packing, pseudo_lm, quality_crf, url_filter
 from slotline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -36,7 +40,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_ids(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_url_filter, op4_chat_format, op5_packing, op6_exact_dedup, op7_audio_features)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    return langid.fuse(langid.page_rows(table(spark, sf_dir, "pages")), model).withColumnRenamed("id", "page_id")
+
+
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_lm.score(docs, pseudo_lm.fit(docs))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_quality_crf, op2_url_filter, op4_chat_format, op5_packing, op6_exact_dedup, op7_audio_features,
+    op8_language_id, op8_page_language, op9_pseudo_likelihood,
+)}
 
 SQL = {
     "op2_url_filter": r"""
