@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotline.llm import audio, chat_format, exact_dedup, langid, packing, pseudo_lm, quality_crf, url_filter
+from slotline.llm import audio, chat_format, exact_dedup, langid, ngram_join, packing, pseudo_lm, quality_crf, url_filter
 from slotline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{said}' as text")
@@ -55,7 +59,7 @@ def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_crf, op2_url_filter, op4_chat_format, op5_packing, op6_exact_dedup, op7_audio_features,
+    op1_quality_crf, op2_url_filter, op3_ngram_join, op4_chat_format, op5_packing, op6_exact_dedup, op7_audio_features,
     op8_language_id, op8_page_language, op9_pseudo_likelihood,
 )}
 
@@ -75,6 +79,17 @@ r as (select *, case
   when regexp_matches(host, '(^|\.)spam-[^/]*\.') then 'spam-*' when regexp_matches(host, '(^|\.)ads-[^/]*\.') then 'ads-*' end as own from p)
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
   when own is not null then 'block' else 'allow' end as verdict, case when rule is null then own end as glob_rule from r""",
+    "op3_ngram_join": r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words from documents),
+s as (select doc_id, list_distinct(case when len(words) = 0 then []::varchar[] when len(words) < 5 then [array_to_string(words, ' ')]
+  else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as set from w),
+g as (select doc_id, len(set) as n, unnest(set) as shingle from s),
+p as (select a.doc_id as x, b.doc_id as y from g a join g b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n
+  having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e as (select x, y from p union all select y, x from p),
+r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select s.doc_id, len(s.set)::bigint as n_shingles, least(s.doc_id, coalesce(c.least_id, s.doc_id)) as component_id
+from s left join (select x, min(y) as least_id from r group by x) c on c.x = s.doc_id""",
     "op4_chat_format": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
