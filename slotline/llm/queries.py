@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotline.llm import audio, chat_format, exact_dedup, langid, ngram_join, packing, pseudo_lm, quality_crf, url_filter
+from slotline.llm import audio, chat_format, exact_dedup, langid, mixing, ngram_join, packing, pseudo_lm, quality_crf, url_filter
 from slotline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +58,13 @@ def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_lm.score(docs, pseudo_lm.fit(docs))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("mark")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_crf, op2_url_filter, op3_ngram_join, op4_chat_format, op5_packing, op6_exact_dedup, op7_audio_features,
-    op8_language_id, op8_page_language, op9_pseudo_likelihood,
+    op8_language_id, op8_page_language, op9_pseudo_likelihood, op10_mixing,
 )}
 
 SQL = {
