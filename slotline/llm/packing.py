@@ -15,6 +15,7 @@ lies inside a token of this vocabulary, so words are looked up one by one.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,7 +30,7 @@ from slotline.llm.common import texts
 
 END_ID = 2
 WINDOW = 256
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
@@ -44,16 +45,32 @@ class Words(dict):
     """Bytes of a word (no white space inside) to its ids as little-endian uint32 bytes."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        one = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {c: "".join(p for p, _ in one.pre_tokenize_str(chr(c))) for c in range(33, 256)}
         self.special = tuple({x.content for x in self.tokenizer.get_added_tokens_decoder().values()})
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode())
+        """Letters up to U+00FF go straight to the merges, a full stop or comma after them is a token of its own."""
+        text = word.decode()
+        end = text[-1] if text[-1] in ".," else ""
+        base = text[: len(text) - len(end)]
+        if base.isalpha() and max(base) <= "\u00ff":
+            small = base.lower()
+            if small != text:
+                known = (key := small.encode()) in self
+                ids = self[key] + (self[end.encode()] if end else b"")
+                if not known:  # only a word that comes again is worth a place for this form of it
+                    return ids
+            else:
+                ids = array("I", [x.id for x in self.tokenizer.model.tokenize(small.translate(self.table))]).tobytes()
+        else:
+            ids = self.encode(text)
         if len(self) < MEMO_WORDS and len(word) < 100:
             self[word] = ids
         return ids
