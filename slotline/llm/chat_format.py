@@ -51,7 +51,7 @@ def unescape(content: str) -> str:
     out, escaped = [], False
     for c in content[len(ESCAPED) :]:
         if escaped:
-            out.append(PLAIN[c])
+            out.append(PLAIN.get(c, c))  # a plain text may begin like an escaped one; `render` then finds it changed
         elif c != "\\":
             out.append(c)
         escaped = c == "\\" and not escaped
