@@ -44,3 +44,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hashed_share(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """About `most` of the rows, those whose hashed keys are in a share of that size; all if there are no more."""
+    total = rows.count()
+    if total <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(most / total * (1 << 40)))
+
+
+def free(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"

@@ -16,14 +16,13 @@ the same keep_id, and exactly one of them is kept. Of other columns nothing is r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import SPACE, stash, texts
+from slotline.llm.common import SPACE, free, stash, texts
 
 FAN_IN = 8
 ROWS_A_NODE = 1_000_000
@@ -112,14 +111,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     A row stays if its doc_id and text are those of a kept row; where that leaves rows
     repeated under one id, one of them stays.
     """
-    kept = decisions(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("sha").alias("kept_sha"), "group_size")
+    kept_id, kept_sha, size, mark = map(free, ("id", "sha", "size", "mark"))
+    kept = decisions(docs).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("sha").alias(kept_sha), F.col("group_size").alias(size))
     kept = stash(kept, "kept")
-    mark = f"sha_{uuid.uuid4().hex}"
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, " ")
     rows = docs.withColumn(mark, F.unhex(F.sha2(text, 256)))
-    on = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(mark) == F.col("kept_sha"))
-    single, several = kept.filter("group_size = 1"), kept.filter("group_size > 1")
-    ids = docs.select("doc_id").join(several, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col(kept_id))
+    on = same & (F.col(mark) == F.col(kept_sha))
+    single, several = kept.filter(F.col(size) == 1), kept.filter(F.col(size) > 1)
+    ids = docs.select("doc_id").join(several, same, "left_semi")
     if ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return rows.join(kept, on, "left_semi").drop(mark)
     found = rows.join(several, on, "left_semi").dropDuplicates(["doc_id", mark])
