@@ -5,17 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotline.functions.timeops import SLOT_MINUTES
+
+
+def _by_day(busy: DataFrame) -> DataFrame:
+    """Each busy interval on every day on which a slot that it touches may start."""
+    first = F.to_date(F.col("busy_start") - F.expr(f"INTERVAL {SLOT_MINUTES} MINUTES"))
+    return busy.filter("busy_start < busy_end").withColumn("busy_day", F.explode(F.sequence(first, F.to_date("busy_end"))))
+
 
 def _overlap(slots: DataFrame, busy: DataFrame) -> Column:
-    """Half-open intervals of one staff member that share a moment."""
-    return (slots.staff_id == busy.staff_id) & (busy.busy_start < slots.end_utc) & (busy.busy_end > slots.start_utc)
+    """Half-open intervals of one staff member that share a moment; the day keeps one member's calendar out of a single join key."""
+    same = (slots.staff_id == busy.staff_id) & (F.to_date(slots.start_utc) == busy.busy_day)
+    return same & (busy.busy_start < slots.end_utc) & (busy.busy_end > slots.start_utc)
 
 
 def open_slots(slots: DataFrame, busy: DataFrame) -> DataFrame:
+    """The slots (of SLOT_MINUTES) that no busy interval of their staff member touches."""
+    busy = _by_day(busy)
     return slots.join(busy, _overlap(slots, busy), "left_anti")
 
 
 def taken_slots(slots: DataFrame, busy: DataFrame) -> DataFrame:
+    """The complement of `open_slots`."""
+    busy = _by_day(busy)
     return slots.join(busy, _overlap(slots, busy), "left_semi")
 
 
@@ -26,7 +39,7 @@ def availability(slots: DataFrame, busy: DataFrame, checks: DataFrame | None = N
     slot is offered; a failed check offers none. A staff member without a row in `checks` counts
     as checked.
     """
-    hit = slots.join(busy, _overlap(slots, busy), "left_semi").select("staff_id", "start_utc").distinct()
+    hit = taken_slots(slots, busy).select("staff_id", "start_utc").distinct()
     rows = slots.join(hit.withColumn("taken", F.lit(True)), ["staff_id", "start_utc"], "left")
     if checks is not None:
         rows = rows.join(checks.select("staff_id", "checked", "ok"), "staff_id", "left")
