@@ -12,8 +12,8 @@ all rows. `und` stands for none of the languages: it has the likelihood of a tex
 grams are MARGIN nats worse each than the worst texts learned from, or that has no letters.
 A row is rejected if `und` is likeliest.
 
-Bounds of the training sample (the only sample here): TRAIN_DOCS labelled texts of at most
-TRAIN_BYTES bytes, those with the smallest hashed ids. Everything else covers all rows.
+Bounds of the training sample (the only sample here): about TRAIN_DOCS labelled texts, a
+share of all by hashed id, of at most TRAIN_BYTES bytes. Everything else covers all rows.
 
 Defined cases. A null or empty text has no letters and is `und`. Null or unreadable declared
 languages, suffixes and hosts are no evidence. Null ids stay null; repeated rows are judged
@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import stash
+from slotline.llm.common import free, hashed_share, stash
 
-TRAIN_DOCS, TRAIN_BYTES = 2000, 100_000
+TRAIN_DOCS, TRAIN_BYTES = 2000, 30_000
 GRAMS = 1 << 15
-DAMP, MOST, MARGIN = 0.3, 200.0, 0.5
+DAMP, MOST, MARGIN = 0.3, 200.0, 1.5
 PRIOR_ROWS = 5.0
 UND = "und"
 _LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
@@ -82,8 +82,9 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_
     """A model from a bounded sample of the rows of `docs` (doc_id, text, lang) that name a language."""
     lang = F.lower(F.trim(F.col("lang").cast("string")))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    rows = rows.filter((F.length("lang") > 0) & (F.col("lang") != UND) & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= train_bytes))
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_docs).toPandas()
+    rows = hashed_share(rows.filter((F.length("lang") > 0) & (F.col("lang") != UND)), train_docs, "doc_id")
+    rows = rows.filter(F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= train_bytes))
+    got = rows.orderBy("doc_id", F.xxhash64("text")).limit(2 * train_docs).toPandas()
     return train([t.encode() for t in got["text"]], got["lang"].tolist())
 
 
@@ -181,6 +182,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     A document is rejected if all rows of its doc_id are; rows with a null doc_id stay unless
     all of them are rejected.
     """
-    bad = identify(docs).groupBy("doc_id").agg(F.min("rejected").alias("rejected")).filter("rejected").select(F.col("doc_id").alias("rejected_id"))
-    bad = stash(bad, "rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("rejected_id")), "left_anti")
+    bad = identify(docs).groupBy("doc_id").agg(F.min("rejected").alias("rejected")).filter("rejected")
+    gone = free("rejected")
+    bad = stash(bad.select(F.col("doc_id").alias(gone)), "rejected")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
