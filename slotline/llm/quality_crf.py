@@ -6,8 +6,8 @@ the text's label. The marginals of forward-backward, weighted with line lengths,
 averaged into the text's quality, which a logistic curve fitted on the training texts maps
 to a score.
 
-Bounds of the training sample (the only sample here): TRAIN_DOCS labelled texts of at most
-TRAIN_BYTES bytes, those with the smallest hashed ids. Scoring reads every whole text.
+Bounds of the training sample (the only sample here): about TRAIN_DOCS labelled texts, a
+share of all by hashed id, of at most TRAIN_BYTES bytes. Scoring reads every whole text.
 
 Defined cases. A null text is empty: one empty line. A null doc_id isn't held out. Labels
 repeated for a doc_id count once, as the smallest; null labels don't count. Without any
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import texts
+from slotline.llm.common import hashed_share, texts
 
-TRAIN_DOCS, TRAIN_BYTES = 4000, 100_000
+TRAIN_DOCS, TRAIN_BYTES = 4000, 30_000
 THRESHOLD = 0.7
 OWN = 13
 SCORED = "doc_id long, score double, lines array<struct<start:long,length:long,p_good:double>>"
@@ -151,7 +151,7 @@ def train(texts_: list[bytes], labels: np.ndarray, steps: int = 150, rate: float
     width = 3 * OWN + 3
     model = Model(np.zeros(width), np.zeros((2, 2)), (0.0, 0.0))
     share = float(np.mean(labels)) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not 0 < share < 1 or not len(labels):
         return Model(model.weights, model.change, (0.0 if share == 0.5 else 1.0, -40.0 if share == 1 else 40.0 if share == 0 else 0.0))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))  # both labels count alike
     sums = sum(w * c.sum(axis=0) * y for c, y, w in zip(chains, labels, weight, strict=True))
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     short = texts(docs).filter(F.octet_length("text") <= train_bytes)
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # a bounded number of ids
+    chosen = hashed_share(known, train_docs, "doc_id")  # a bounded number of ids
     rows = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "text").limit(2 * train_docs)
     got = rows.toPandas()
     return train([t.encode() for t in got["text"]], got["quality"].to_numpy(float))
