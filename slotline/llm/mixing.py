@@ -7,15 +7,16 @@ document rates w_d >= 0 are sum_d w_d t_d p_dk. Projected gradient descent on th
 distance to the target totals fits the rates. It works on w_d sqrt(t_d), so that a change
 costs a text by its words and long texts aren't changed first, and measures the distance
 by the inverse Gram matrix of the sqrt(t_d) p_dk, for which the step is 1: a step takes
-p_d G^-1 (totals - targets) from w_d. An iteration is one distributed sum of K numbers; rates
-are a function of a row's K numbers and the K-vectors of the steps so far, so nothing
-but those vectors is kept between iterations.
+p_d G^-1 (totals - targets) from w_d. Steps gather momentum, which starts anew whenever the
+distance grows. An iteration is one distributed sum of K numbers; rates are a function of a
+row's K numbers and of the K-vectors and momentum of the steps so far, so nothing but those
+is kept between iterations.
 
 The target total is the largest that lets the domain with the most words keep them, unless
 one is given. Rates start at 1.
 
-Bounds of the training sample (the only sample here): TRAIN_DOCS labelled texts, those with
-the smallest hashed ids. All else covers all texts.
+Bounds of the training sample (the only sample here): about TRAIN_DOCS labelled texts, a
+share of all by hashed id. All else covers all texts.
 
 Defined cases. A null, empty or blank text has no words and keeps rate 1, as it can't change
 any total. Null labels don't count; a doc_id labelled repeatedly counts once, by its smallest
@@ -25,14 +26,13 @@ rows are mixed each for itself.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import SPACE, stash, texts
+from slotline.llm.common import SPACE, free, hashed_share, stash, texts
 
 DOMAINS = ("good", "good_toxic", "bad", "bad_toxic")
 #: The shares of words asked for in production.
@@ -71,7 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     """Smoothed counts of the labelled sample; they come to K x (BUCKETS + SHAPES + 1) numbers at most."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # a bounded number of ids
+    chosen = hashed_share(known, train_docs, "doc_id")  # a bounded number of ids
     chosen = chosen.select(F.col("doc_id").alias("labelled"), domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = with_words(rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "domain"), "domain")
@@ -114,20 +114,30 @@ def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "mark", "tokens", *((F.col("parts")[k] / total).alias(f"p_{d}") for k, d in enumerate(DOMAINS)))
 
 
-def rate(steps: list[np.ndarray], highest: float | None = None) -> Column:
-    """A row's rate after the given steps: 1, then each step's move and the projection on what is allowed."""
+@dataclass
+class Step:
+    move: np.ndarray  # what a unit of each domain takes from a rate
+    momentum: float
+
+
+def rate(steps: list[Step], highest: float | None = None, ahead: bool = False) -> Column:
+    """A row's rate after the given steps, from 1 on; `ahead`: where its momentum takes it, for the next step's totals."""
     if not steps:
         return F.lit(1.0)
-    moves = [F.lit(np.array([v[k] for v in steps])) for k in range(len(DOMAINS))]
+    moves = [F.lit(np.array([s.move[k] for s in steps])) for k in range(len(DOMAINS))]
+    momentum = F.lit(np.array([s.momentum for s in steps]))
 
-    def step(w: Column, j: Column) -> Column:
-        to = w - sum((F.col(f"p_{d}") * F.get(moves[k], j) for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), to if highest is None else F.least(to, F.lit(highest)))
+    def step(x: Column, j: Column) -> Column:
+        to = x.y - sum((F.col(f"p_{d}") * F.get(moves[k], j) for k, d in enumerate(DOMAINS)), F.lit(0.0))
+        w = F.greatest(F.lit(0.0), to if highest is None else F.least(to, F.lit(highest)))
+        return F.struct(w.alias("w"), (w + F.get(momentum, j) * (w - x.w)).alias("y"))
 
-    return F.when(F.col("tokens") > 0, F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), step)).otherwise(F.lit(1.0))
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("y"))
+    last = F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, step)
+    return F.when(F.col("tokens") > 0, last.y if ahead else last.w).otherwise(F.lit(1.0))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, highest: float | None = None) -> list[np.ndarray]:
+def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, highest: float | None = None, iterations: int = ITERATIONS) -> list[Step]:
     """The steps of projected gradient descent; `rate` turns them into each row's rate."""
     own = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
@@ -138,14 +148,20 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
     biggest = int(natural.argmax())
     goal = weight * (total if total is not None else natural[biggest] / max(weight[biggest], 1e-9))
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
-    steps: list[np.ndarray] = []
-    for _ in range(ITERATIONS):
-        w = rate(steps, highest)
+    steps: list[Step] = []
+    speed, before = 1.0, np.inf
+    for _ in range(iterations):
+        w = rate(steps, highest, ahead=True)
         got = natural if not steps else np.array(members.agg(*[F.sum(w * x) for x in own]).first(), float)
         off = got - goal
+        distance = float(off @ inverse @ off)
         if np.abs(off).sum() <= TOLERANCE * max(goal.sum(), 1.0):
             break
-        steps.append(inverse @ off)
+        if distance > before:
+            speed = 1.0
+        after = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        steps.append(Step(inverse @ off, (speed - 1) / after))
+        speed, before = after, distance
     return steps
 
 
@@ -166,7 +182,7 @@ def mixed(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     rates = mix(docs, labels, **how)
     chance = F.pmod(F.xxhash64("doc_id", "mark", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rates = rates.groupBy("doc_id", "mark").agg(F.max("rate").alias("rate")).withColumn("times", F.floor(F.col("rate") + chance).cast("int"))
-    a, b, c = (f"{x}_{uuid.uuid4().hex}" for x in ("id", "mark", "times"))
+    a, b, c = map(free, ("id", "mark", "times"))
     rates = rates.filter("times > 0").select(F.col("doc_id").alias(a), F.col("mark").alias(b), F.col("times").alias(c))
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.join(rates, F.col("doc_id").eqNullSafe(F.col(a)) & (mark == F.col(b)))
