@@ -7,14 +7,17 @@ tells, and then by hash. Any order gives the same links; this one keeps lists sh
 1. Texts with equal sets are one class; a class is named by two 64-bit sums over its set.
 2. The global order is cut into fragments. Each class sends a fragment those of its first
    shingles there that two sets as similar as asked for must share (prefix filter). Every
-   fragment lists, for each shingle, its classes by size, and gives candidate pairs: all
-   pairs of a short list; of a long one those along a binomial tree, the list itself being
-   kept for step 5.
+   fragment lists, for each shingle, its classes by size, and counts the partial overlaps
+   of all pairs of its short lists; of a long list it names the pairs along a binomial
+   tree and keeps the list itself for step 5. Summed over fragments, the partial overlaps
+   bound what a pair can share, and only pairs that may reach the similarity go on.
 3. Each candidate's whole set is cut into VERTICAL fragments of the order; overlaps are
    counted fragment by fragment and summed per pair, which decides exactly.
 4. Components of the links, by alternating large and small stars.
-5. A long list may still hold pairs across components. Those are verified in the same way;
-   pairs within one component can't change any component. Then no pair is left unseen.
+5. A long list may still hold pairs across components. Pairs within small random cells of
+   it are verified first, which joins most of what can be joined; then all pairs that are
+   still across components and may be similar enough are verified in the same way. Pairs within one component
+   can't change any component, so no pair that matters is left unseen.
 
 Defined cases. Words are runs between ASCII white space, A-Z lowered. With fewer than
 SHINGLE words the whole sequence is the only shingle; null, empty and blank texts have an
@@ -30,16 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import stash, texts
+from slotline.llm.common import free, stash, texts
 
 SHINGLE, PERCENT = 5, 75
-BUCKETS, RANGES = 1 << 20, 64
+BUCKETS, RANGES = 1 << 25, 64
 SHORT_LIST, VERTICAL = 12, 8
+ROUNDS, CELL = 3, 16
 ROWS_A_FRAGMENT = 4_000_000
-BLOOM_BITS = 1 << 25
+BLOOM_BITS = 1 << 24
 
 U = np.uint64
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
@@ -49,7 +53,7 @@ _CORE = np.uint32(1 << 31)
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000 and len(word) < 100:
+        if len(self) < 250_000 and len(word) < 100:
             self[word] = h
         return h
 
@@ -101,56 +105,74 @@ def _batch(**columns: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns.values()], list(columns))
 
 
+def buckets(h: np.ndarray) -> np.ndarray:
+    return (h >> U(32)).astype(np.int32) & (BUCKETS - 1)
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """A row per text (doc_id, n, m1, m2), and a row per task and range of bucket counts (range, counts)."""
+    """A row per text (doc_id, n, m1, m2), and a row per task and range of bucket counts (range, places, counts).
+
+    A task's count of a bucket stops at 255; its tasks' counts are summed without a bound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, held = np.zeros(BUCKETS, np.int32), [], 0
+        total, waiting, held = np.zeros(BUCKETS, np.uint8), [], 0
+
+        def count() -> None:
+            met, times = np.unique(np.concatenate(waiting), return_counts=True)
+            total[met] = np.minimum(255, total[met] + times)
+
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 b, rows = whole.slice(k, 2000), []
                 for t in b.column("text").to_pylist():
                     h = shingles(t)
                     rows.append((len(h), *name(h)))
-                    waiting.append((h >> U(40)).astype(np.int32) & (BUCKETS - 1))
+                    waiting.append(buckets(h))
                     held += len(h)
-                if held > 1_000_000:
-                    total += np.bincount(np.concatenate(waiting), minlength=BUCKETS).astype(np.int32)
-                    waiting, held = [], 0
+                    if held > 1_000_000:
+                        count()
+                        waiting, held = [], 0
                 n, m1, m2 = zip(*rows, strict=True)
                 none = [None] * len(rows)
-                yield _batch(doc_id=(b.column("doc_id"), pa.int64()), n=(n, pa.int64()), m1=(m1, pa.int64()), m2=(m2, pa.int64()), range=(none, pa.int32()), counts=(none, pa.binary()))
+                yield _batch(doc_id=(b.column("doc_id"), pa.int64()), n=(n, pa.int64()), m1=(m1, pa.int64()), m2=(m2, pa.int64()), range=(none, pa.int32()), places=(none, pa.binary()), counts=(none, pa.binary()))
         if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=BUCKETS).astype(np.int32)
-        if total.any():
-            none = [None] * RANGES
-            yield _batch(doc_id=(none, pa.int64()), n=(none, pa.int64()), m1=(none, pa.int64()), m2=(none, pa.int64()), range=(range(RANGES), pa.int32()), counts=([x.tobytes() for x in np.split(total, RANGES)], pa.binary()))
+            count()
+        for r, part in enumerate(np.split(total, RANGES)):
+            met = np.flatnonzero(part)
+            if len(met):  # of a thinly filled range only the buckets met
+                few = len(met) < len(part) // 8
+                places, counts = (met.astype(np.uint32).tobytes(), part[met].tobytes()) if few else (None, part.tobytes())
+                yield _batch(doc_id=([None], pa.int64()), n=([None], pa.int64()), m1=([None], pa.int64()), m2=([None], pa.int64()), range=([r], pa.int32()), places=([places], pa.binary()), counts=([counts], pa.binary()))
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, m1 long, m2 long, range int, counts binary")
+    return texts(docs).mapInArrow(run, "doc_id long, n long, m1 long, m2 long, range int, places binary, counts binary")
 
 
 def levels(counted: DataFrame) -> np.ndarray:
-    """How far each bucket's count is above the mean, in powers of two from 4 on; BUCKETS bytes at every size."""
+    """How far each bucket's count is above what chance makes of the mean, in powers of two; BUCKETS bytes at every size."""
+    mean = (counted.agg(F.sum("n")).first()[0] or 0) / BUCKETS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for r, c in zip(b.column("range").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                sums[r] = sums.get(r, 0) + np.frombuffer(c, np.int32).astype(np.int64)
-        if sums:
-            yield _batch(range=(list(sums), pa.int32()), counts=([x.tobytes() for x in sums.values()], pa.binary()))
-
-    rows = counted.filter("range is not null").select("range", "counts").repartitionById(RANGES, F.col("range")).mapInArrow(add, "range int, counts binary").collect()
-    total = np.zeros(BUCKETS)
+            for r, at, c in zip(*(b.column(x).to_pylist() for x in ("range", "places", "counts")), strict=True):
+                total = sums.setdefault(r, np.zeros(BUCKETS // RANGES, np.int64))
+                total[slice(None) if at is None else np.frombuffer(at, np.uint32)] += np.frombuffer(c, np.uint8)
+        for r, total in sums.items():
+            over = (total - mean) / (5 * np.sqrt(mean) + 3)
+            level = np.where(over >= 1, np.minimum(15, 1 + np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
+            yield _batch(range=([r], pa.int32()), levels=([level.tobytes()], pa.binary()))
+
+    rows = counted.filter("range is not null").select("range", "places", "counts").repartitionById(RANGES, F.col("range")).mapInArrow(add, "range int, levels binary").collect()
+    out = np.zeros((RANGES, BUCKETS // RANGES), np.uint8)
     for r in rows:
-        total[r.range * BUCKETS // RANGES : (r.range + 1) * BUCKETS // RANGES] = np.frombuffer(r.counts, np.int64)
-    over = total / max(total.mean(), 1e-9)
-    return np.where(over >= 4, np.minimum(15, np.log2(np.maximum(over, 1)).astype(np.int64) - 1), 0).astype(np.uint8)
+        out[r.range] = np.frombuffer(r.levels, np.uint8)
+    return out.ravel()
 
 
 def ordered(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Keys of the global order, sorted: the level, then the hash."""
-    lv = level[(h >> U(40)).astype(np.int64) & (BUCKETS - 1)].astype(U)
+    lv = level[buckets(h)].astype(U)
     return np.sort(lv << U(60) | h >> U(4))
 
 
@@ -186,7 +208,7 @@ def signatures(docs: DataFrame, level: np.ndarray, fragments: int) -> DataFrame:
                 names.append((*m, len(h)))
                 keys.append(ordered(h, level)[: prefix(len(h))])
                 held += len(keys[-1])
-                if held >= 2_000_000:
+                if held >= 1_000_000:
                     yield from flush()
                     names, keys, held = [], [], 0
         if names:
@@ -195,8 +217,9 @@ def signatures(docs: DataFrame, level: np.ndarray, fragments: int) -> DataFrame:
     return texts(docs).select("text").mapInArrow(run, "fragment int, classes binary, marks binary, rows binary")
 
 
-def list_pairs(size: np.ndarray, mark: np.ndarray, cls: np.ndarray, is_core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (as indices into cls, smaller set first) and which rows are in long lists.
+def list_pairs(size: np.ndarray, mark: np.ndarray, cls: np.ndarray, is_core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of short lists (as indices into cls, smaller set first) with how many lists they share and
+    whether one is in the smaller set's core; pairs along long lists' trees; which rows are in long lists.
 
     Rows come sorted by mark, then by size and class; cls is a class's place in that order.
     """
@@ -205,27 +228,27 @@ def list_pairs(size: np.ndarray, mark: np.ndarray, cls: np.ndarray, is_core: np.
     length = np.diff(np.append(begin, n))
     start, many = np.repeat(begin, length), np.repeat(length, length)
     at = np.arange(n) - start
-    pairs = []
-
-    def add(a: np.ndarray, b: np.ndarray) -> None:
-        ok = is_core[a] & (100 * size[a] >= PERCENT * size[b])
-        pairs.append(np.stack([cls[a[ok]], cls[b[ok]]], axis=1))
-
+    short, in_core, tree = [], [], []
     for d in range(1, SHORT_LIST):
         b = np.flatnonzero((many <= SHORT_LIST) & (at >= d))
-        add(b - d, b)
+        b = b[100 * size[b - d] >= PERCENT * size[b]]
+        short.append(cls[b - d] << 32 | cls[b])
+        in_core.append(is_core[b - d])
     b = np.flatnonzero((many > SHORT_LIST) & (at > 0))
-    add(b - 1, b)
-    add(start[b] + (at[b] & (at[b] - 1)), b)
-    found = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-    return np.unique(found, axis=0) if len(found) else found, many > SHORT_LIST
+    for a in (b - 1, start[b] + (at[b] & (at[b] - 1))):
+        ok = is_core[a] & (100 * size[a] >= PERCENT * size[b])
+        tree.append(cls[a[ok]] << 32 | cls[b[ok]])
+    pairs, place, count = np.unique(np.concatenate(short), return_inverse=True, return_counts=True)
+    core_too = np.bincount(place, weights=np.concatenate(in_core), minlength=len(pairs)) > 0
+    return pairs, count, core_too, np.unique(np.concatenate(tree)), many > SHORT_LIST
 
 
-CANDIDATES = "kind int, a1 long, a2 long, b1 long, b2 long, list long, size long, core boolean"
+CANDIDATES = "kind int, a1 long, a2 long, b1 long, b2 long, shared long, list long, core boolean"
 
 
 def candidates(sent: DataFrame, fragments: int) -> DataFrame:
-    """Of each fragment: candidate pairs (kind 0: names a and b) and members of long lists (kind 1: name a, list, size, core)."""
+    """Of each fragment: pairs (kind 0: names a and b, lists shared, core), members of long lists
+    (kind 1: name a, list, core) and pairs along the trees of long lists (kind 2: names a and b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, marks, rows, fragment, base = [], [], [], 0, 0
@@ -252,45 +275,53 @@ def candidates(sent: DataFrame, fragments: int) -> DataFrame:
         mark, cls, is_core = mark[order], cls[order], is_core[order]
         keep = np.concatenate([[True], (mark[1:] != mark[:-1]) | (cls[1:] != cls[:-1])])
         mark, cls, is_core = mark[keep], cls[keep], is_core[keep]
-        pairs, long = list_pairs(own[cls, 2], mark, cls, is_core)
+        pairs, shared, core_too, tree, long = list_pairs(own[cls, 2], mark, cls, is_core)
+
+        def batch(kind: int, one: np.ndarray, two: np.ndarray | None, count: np.ndarray | None, number: np.ndarray | None, flag: np.ndarray | None) -> pa.RecordBatch:
+            none = [None] * len(one)
+            b1, b2 = (none, none) if two is None else (two[:, 0], two[:, 1])
+            return _batch(kind=([kind] * len(one), pa.int32()), a1=(one[:, 0], pa.int64()), a2=(one[:, 1], pa.int64()), b1=(b1, pa.int64()), b2=(b2, pa.int64()),
+                          shared=(none if count is None else count, pa.int64()), list=(none if number is None else number, pa.int64()), core=(none if flag is None else flag, pa.bool_()))
+
         for k in range(0, len(pairs), 50_000):
-            a, b = own[pairs[k : k + 50_000, 0]], own[pairs[k : k + 50_000, 1]]
-            none = [None] * len(a)
-            yield _batch(kind=([0] * len(a), pa.int32()), a1=(a[:, 0], pa.int64()), a2=(a[:, 1], pa.int64()), b1=(b[:, 0], pa.int64()), b2=(b[:, 1], pa.int64()), list=(none, pa.int64()), size=(none, pa.int64()), core=(none, pa.bool_()))
-        at = np.flatnonzero(long)
-        for k in range(0, len(at), 50_000):
-            i = at[k : k + 50_000]
-            a, none = own[cls[i]], [None] * len(i)
-            yield _batch(kind=([1] * len(i), pa.int32()), a1=(a[:, 0], pa.int64()), a2=(a[:, 1], pa.int64()), b1=(none, pa.int64()), b2=(none, pa.int64()), list=(mark[i].astype(np.int64) + (fragment << 32), pa.int64()), size=(a[:, 2], pa.int64()), core=(is_core[i], pa.bool_()))
+            p = pairs[k : k + 50_000]
+            yield batch(0, own[p >> 32], own[p & 0xFFFFFFFF], shared[k : k + 50_000], None, core_too[k : k + 50_000])
+        for k in range(0, len(tree), 50_000):
+            p = tree[k : k + 50_000]
+            yield batch(2, own[p >> 32], own[p & 0xFFFFFFFF], None, None, None)
+        rows_long = np.flatnonzero(long)
+        for k in range(0, len(rows_long), 50_000):
+            i = rows_long[k : k + 50_000]
+            yield batch(1, own[cls[i]], None, None, mark[i].astype(np.int64) + (fragment << 32), is_core[i])
 
     return sent.repartitionById(fragments, F.col("fragment")).mapInArrow(run, CANDIDATES)
 
 
-def _bloom_places(m1: np.ndarray, m2: np.ndarray) -> np.ndarray:
-    a, b = m1.astype(U), m2.astype(U)
-    return np.stack([(a + U(i) * b) % U(BLOOM_BITS) for i in range(3)]).astype(np.int64)
+def _bloom_places(ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(U))
+    return np.stack([(h >> U(20 * i)) % U(BLOOM_BITS) for i in range(3)]).astype(np.int64)
 
 
-def bloom(names: DataFrame) -> bytes:
-    """A fixed-size filter of (m1, m2); if it fills up at scale it only lets more sets through."""
+def bloom(ids: DataFrame) -> bytes:
+    """A fixed-size filter of the ids in the only column; if it fills up at scale it only lets more texts through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BLOOM_BITS, bool)
         for b in batches:
-            bits[_bloom_places(b.column("m1").to_numpy(), b.column("m2").to_numpy()).ravel()] = True
+            bits[_bloom_places(b.column(0).to_numpy()).ravel()] = True
         yield _batch(bits=([np.packbits(bits).tobytes()], pa.binary()))
 
     out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in names.select("m1", "m2").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+    for r in ids.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 
 
 def sets(docs: DataFrame, wanted: bytes) -> DataFrame:
-    """doc_id, m1, m2, and the set in VERTICAL fragments of the order, for classes that the filter knows."""
+    """doc_id, m1, m2, and the set in VERTICAL fragments of the order, for texts whose id the filter knows (or is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted, np.uint8)).astype(bool)
+        bits = np.frombuffer(wanted, np.uint8)
         out: list[tuple] = []
         seen: set[tuple] = set()
 
@@ -300,16 +331,17 @@ def sets(docs: DataFrame, wanted: bytes) -> DataFrame:
             return _batch(doc_id=(d, pa.int64()), m1=(m1, pa.int64()), m2=(m2, pa.int64()), vertical=(v, pa.int32()), hashes=(h, pa.binary()))
 
         for b in batches:
-            for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            ids = b.column("doc_id")
+            place = _bloom_places(ids.fill_null(0).to_numpy())
+            known = (bits[place >> 3] >> (7 - (place & 7)) & 1).all(axis=0) | ids.is_null().to_numpy(zero_copy_only=False)
+            part = b.filter(pa.array(known))
+            for doc_id, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 h = shingles(t)
-                if not len(h):
+                if not len(h) or (key := (doc_id, *name(h))) in seen:
                     continue
-                m = name(h)
-                if (doc_id, *m) in seen or not bits[_bloom_places(*(np.array([x], np.int64) for x in m)).ravel()].all():
-                    continue
-                seen.add((doc_id, *m))
+                seen.add(key)
                 cuts = np.searchsorted(h, [U(v << 61) for v in range(VERTICAL)]).tolist() + [len(h)]
-                out += [(doc_id, *m, v, h[cuts[v] : cuts[v + 1]].tobytes()) for v in range(VERTICAL)]
+                out += [(*key, v, h[cuts[v] : cuts[v + 1]].tobytes()) for v in range(VERTICAL)]
                 if len(out) >= 4000:
                     yield rows()
         if out:
@@ -318,23 +350,27 @@ def sets(docs: DataFrame, wanted: bytes) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, m1 long, m2 long, vertical int, hashes binary")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs of classes (a, b: class numbers), those whose sets are similar enough."""
+def whole_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, vertical, hashes and n of the classes whose numbers are the only column of `ids`."""
+    wanted = ids.toDF("w").distinct().join(classes, F.col("w") == F.col("cid"))
+    wanted = stash(wanted.select("cid", "rep_id", "m1", "m2", "n"), "wanted")
+    known = bloom(wanted.filter("rep_id is not null").select("rep_id"))
+    mine = sets(docs, known).alias("s").join(wanted.alias("w"), ["m1", "m2"]).filter(F.expr("s.doc_id <=> w.rep_id"))
+    return stash(mine.select("cid", "vertical", "hashes", "n"), "sets")
+
+
+def similar(pairs: DataFrame, mine: DataFrame) -> DataFrame:
+    """Of pairs of classes (a, b: class numbers), those whose sets (of `whole_sets`) are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shared = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)) for x, y in zip(b.column("ha").to_pylist(), b.column("hb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("sizes"), pa.array(shared, pa.int64())], ["a", "b", "sizes", "shared"])
 
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().join(classes, F.col("a") == F.col("cid"))
-    wanted = stash(wanted.select("cid", F.col("rep_id"), "m1", "m2", "n"), "wanted")
-    mine = sets(docs, bloom(wanted)).alias("s").join(wanted.alias("w"), ["m1", "m2"]).filter(F.expr("s.doc_id <=> w.rep_id")).select("cid", "vertical", "hashes", "n")
-    mine = stash(mine, "sets")
     a = mine.select(F.col("cid").alias("a"), "vertical", F.col("hashes").alias("ha"), F.col("n").alias("na"))
     b = mine.select(F.col("cid").alias("b"), "vertical", F.col("hashes").alias("hb"), F.col("n").alias("nb"))
     both = pairs.select("a", "b").join(a, "a").join(b, ["b", "vertical"]).select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "ha", "hb")
-    partial = both.mapInArrow(run, "a long, b long, sizes long, shared long")
-    total = partial.groupBy("a", "b", "sizes", ).agg(F.sum("shared").alias("shared"))
+    total = both.mapInArrow(run, "a long, b long, sizes long, shared long").groupBy("a", "b", "sizes").agg(F.sum("shared").alias("shared"))
     return total.filter((100 + PERCENT) * F.col("shared") >= PERCENT * F.col("sizes")).select("a", "b")
 
 
@@ -343,19 +379,22 @@ def components(edges: DataFrame) -> DataFrame:
     def ends(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first())
+
     e = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = mark(e)
     while True:
         both = ends(e)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stash(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        new = stash(small, "small")
-        if new.count() == e.count() and new.exceptAll(e).isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        e = new
+        e = stash(small, "stars")
+        if (now := mark(e)) == before:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        before = now
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -369,33 +408,60 @@ def join(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n")).first()[0] or 0
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * ROWS_A_FRAGMENT)))
     found = stash(candidates(signatures(docs, level, fragments), fragments), "candidates")
-    ids = classes.select("m1", "m2", "cid")
+    ids = classes.select("m1", "m2", "cid", "n")
 
     def numbered(df: DataFrame, *sides: str) -> DataFrame:
         for s in sides:
-            df = df.join(ids.select(F.col("m1").alias(f"{s}1"), F.col("m2").alias(f"{s}2"), F.col("cid").alias(s)), [f"{s}1", f"{s}2"])
+            df = df.join(ids.select(F.col("m1").alias(f"{s}1"), F.col("m2").alias(f"{s}2"), F.col("cid").alias(s), F.col("n").alias(f"n_{s}")), [f"{s}1", f"{s}2"])
         return df
 
-    pairs = stash(numbered(found.filter("kind = 0").select("a1", "a2", "b1", "b2").distinct(), "a", "b").select("a", "b"), "pairs")
-    links = stash(verify(pairs, classes, docs), "links")
-    linked = components(links)
-    lists = found.filter("kind = 1")
-    if not lists.isEmpty():
-        lists = numbered(lists.select("a1", "a2", "list", "size", "core"), "a")
-        lists = lists.join(linked, F.col("a") == F.col("node"), "left").select("list", "a", "size", "core", F.coalesce("component", "a").alias("c"))
-        lists = stash(lists, "lists")
-        mixed = lists.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("list")
-        mixed = stash(lists.join(mixed, "list", "left_semi"), "mixed")
-        sides = mixed.select("list", "c").distinct()
+    def possible(shared: Column) -> Column:
+        """Whether sets a and b (the larger) that share so many of their first shingles may be similar enough; 1 is for marks that coincide."""
+        needed = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT))
+        return shared + 1 >= needed - (F.ceil(PERCENT * F.col("n_b") / 100) - 1)
+
+    lists = stash(numbered(found.filter("kind = 1").select("a1", "a2", "list"), "a").select("a", "n_a", "list"), "lists")
+    in_long = stash(lists.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "long")
+    names = ["a1", "a2", "b1", "b2"]
+    short = found.filter("kind <> 1").groupBy(*names).agg(F.sum("shared").alias("shared"), F.max(F.col("core") | (F.col("kind") == 2)).alias("core"))
+    short = numbered(short, "a", "b").select("a", "b", "n_a", "n_b", F.coalesce("shared", F.lit(0)).alias("shared"), "core")
+    short = short.join(in_long.withColumnRenamed("k", "k_a"), "a", "left").join(in_long.select(F.col("a").alias("b"), F.col("k").alias("k_b")), "b", "left")
+    short = stash(short.withColumn("more", F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0)))).filter(possible(F.col("shared") + F.col("more"))), "short")
+    pairs = short.filter("core").select("a", "b")
+    mine = whole_sets(pairs.select("a").union(pairs.select("b")), classes, docs)
+    linked = components(stash(similar(pairs, mine), "links"))
+
+    def mixed(linked: DataFrame) -> DataFrame:
+        """The long lists with classes of more than one component c."""
+        by = lists.join(linked, F.col("a") == F.col("node"), "left").select("list", "a", "n_a", F.coalesce("component", "a").alias("c"))
+        several = by.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("list", "size")
+        return stash(by.join(several, "list"), "mixed")
+
+    def joined(linked: DataFrame, new: DataFrame) -> DataFrame:
+        return components(new.union(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    near = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    near &= 100 * F.col("n_a") >= PERCENT * F.col("n_b")
+    left = mixed(linked)
+    if not left.isEmpty():
+        # pairs of a few classes that a hash puts side by side join most components
+        place = F.pmod(F.xxhash64("a", "turn"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        cells = left.join(in_long, "a").withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS)))).withColumn("cell", F.floor(place * F.ceil(F.col("size") / CELL)))
+        other = cells.select("list", "turn", "cell", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("c").alias("d"), F.col("k").alias("k_b"))
+        some = cells.join(other, ["list", "turn", "cell"]).filter((F.col("c") != F.col("d")) & near & possible(F.least("k", "k_b"))).select("a", "b").distinct()
+        some = stash(some, "some")
+        linked = joined(linked, similar(some, whole_sets(some.select("a").union(some.select("b")), classes, docs)))
+        left = mixed(linked)
+        sides = left.select("list", "c").distinct()
         across = sides.join(sides.select("list", F.col("c").alias("d")), "list").filter("c <> d")
-        left = mixed.filter("core").join(across, ["list", "c"])  # the smaller set has the shingle among its core
-        right = mixed.select("list", F.col("a").alias("b"), F.col("size").alias("size_b"), F.col("c").alias("d"))
-        more = left.join(right, ["list", "d"]).filter((F.struct("size", "a") < F.struct(F.col("size_b"), F.col("b"))) | (F.col("size") == F.col("size_b")))
-        more = more.filter(100 * F.col("size") >= PERCENT * F.col("size_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = stash(more.join(known, ["a", "b"], "left_anti"), "more")
+        right = left.select("list", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("c").alias("d"))
+        more = left.join(across, ["list", "c"]).join(right, ["list", "d"]).filter(near)
+        more = more.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("lists"))
+        also = short.select("a", "b", "shared").unionByName(short.select(F.col("a").alias("b"), F.col("b").alias("a"), "shared")).groupBy("a", "b").agg(F.max("shared").alias("shared"))
+        more = more.join(also, ["a", "b"], "left").filter(possible(F.col("lists") + F.coalesce("shared", F.lit(0)))).select("a", "b")
+        more = stash(more, "more")
         if not more.isEmpty():
-            linked = components(verify(more, classes, docs).union(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            linked = joined(linked, similar(more, whole_sets(more.select("a").union(more.select("b")), classes, docs)))
     named = classes.join(linked, F.col("cid") == F.col("node"), "left").select("n", "m1", "m2", "rep_id", F.coalesce("component", "cid").alias("c"))
     named = stash(named, "named")
     smallest = named.groupBy("c").agg(F.min("rep_id").alias("component_id"))
@@ -410,5 +476,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     All rows with a null doc_id stay, as no identifier tells them apart.
     """
     gone = join(docs).groupBy("doc_id").agg(F.min("component_id").alias("to")).filter("to < doc_id")
-    gone = stash(gone.select(F.col("doc_id").alias("gone_id")), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    name_ = free("gone")
+    gone = stash(gone.select(F.col("doc_id").alias(name_)), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col(name_), "left_anti")
