@@ -7,8 +7,9 @@ WINDOW words on either side of a masked word and gives P(class | both sides);
 P(word | class) is the bucket's share of its class. A text's score is the sum of the log
 probabilities of all its words, each with every other word of its window in sight.
 
-Counts cover all texts. The network is trained on about TRAIN_DOCS texts of at most
-TRAIN_BYTES bytes, a share of all by hashed id; this bound is a parameter. The tables that the
+Counts cover all texts, and so does the network's training: from weights that the driver
+gets from about TRAIN_DOCS texts of at most TRAIN_BYTES bytes, each task goes once over every
+word of its texts, and the tasks' weights are averaged by their words. The tables that the
 tasks get have BUCKETS entries at every size of the input.
 
 Defined cases. A null text is empty; a text without words has 0 words, sum and mean 0. Null
@@ -32,6 +33,7 @@ from slotline.llm.common import hashed_share, texts
 BUCKETS, CLASSES, WINDOW = 1 << 18, 128, 2
 WIDTH, HIDDEN = 16, 32
 TRAIN_DOCS, TRAIN_BYTES, EPOCHS = 1000, 30_000, 2
+BATCH, RATE = 1024, 0.001
 EDGE = CLASSES  # the class beyond a text's ends
 
 
@@ -97,70 +99,162 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(c: np.ndarray) -> np.ndarray:
     """The classes around each word, words x 2 WINDOW."""
+    return next(blocks(c, max(1, len(c))))[0]
+
+
+def blocks(c: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The classes around each word and the words' own, so many words at a time; a block's windows reach into its neighbours."""
     padded = np.pad(c.astype(np.int16), WINDOW, constant_values=EDGE)
-    n = len(c)
-    return np.stack([padded[d : d + n] for d in range(2 * WINDOW + 1) if d != WINDOW], axis=1)
+    for k in range(0, max(1, len(c)), size):
+        own = padded[k : k + size + 2 * WINDOW]
+        n = len(own) - 2 * WINDOW
+        yield np.stack([own[d : d + n] for d in range(2 * WINDOW + 1) if d != WINDOW], axis=1), c[k : k + size]
+
+
+def hidden(tables: np.ndarray, bias: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = tables[0].take(x[:, 0], axis=0) + bias
+    for place in range(1, 2 * WINDOW):
+        h += tables[place].take(x[:, place], axis=0)
+    return np.tanh(h, out=h)
+
+
+def exponents(h: np.ndarray, second: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The outputs z, less the row's largest where exp could leave its range, exp(z) and its sums."""
+    z = h @ second
+    z += bias
+    if (np.abs(second).sum(axis=0) + np.abs(bias)).max() > 80:  # |h| is 1 at most
+        z -= z.max(axis=1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e @ np.ones(CLASSES, np.float32)
+
+
+class Trainer:
+    """Adam on the cross entropy of the masked word's class; p is embed, first, first_bias, second and second_bias."""
+
+    def __init__(self, p: list[np.ndarray], rate: float) -> None:
+        self.p, self.rate, self.step = list(p), rate, 0
+        self.m, self.v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
+        """A step along the mean gradient of these words."""
+        n, (embed, first, first_bias, second, second_bias) = len(y), self.p
+        places = first.reshape(2 * WINDOW, WIDTH, HIDDEN)
+        h = hidden(embed @ places, first_bias, x)
+        _, z, total = exponents(h, second, second_bias)
+        z *= (1 / total)[:, None]
+        z[np.arange(n), y] -= 1
+        z *= np.float32(1 / n)
+        dh = (z @ second.T) * (1 - h * h)
+        # sums of dh by place and class give the gradients of both embed and first
+        of = (x + np.arange(2 * WINDOW, dtype=np.int16) * (CLASSES + 1)).T.ravel()
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        sums = np.zeros((2 * WINDOW * (CLASSES + 1), HIDDEN), np.float32)
+        sums[of[begin]] = np.add.reduceat(dh.take(order % n, axis=0), begin, axis=0)
+        sums = sums.reshape(2 * WINDOW, CLASSES + 1, HIDDEN)
+        self.step += 1
+        for i, g in enumerate(((sums @ places.transpose(0, 2, 1)).sum(axis=0), (embed.T @ sums).reshape(first.shape), dh.sum(axis=0), h.T @ z, z.sum(axis=0))):
+            self.m[i] = 0.9 * self.m[i] + 0.1 * g
+            self.v[i] = 0.999 * self.v[i] + 0.001 * g * g
+            self.p[i] = (self.p[i] - self.rate * (self.m[i] / (1 - 0.9**self.step)) / (np.sqrt(self.v[i] / (1 - 0.999**self.step)) + 1e-8)).astype(np.float32)
 
 
 def train(chains: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.003, seed: int = 7) -> Model:
-    """Adam on the cross entropy of the masked word's class."""
+    """A network trained on these texts alone, at the driver."""
     classes, within = classes_of(counts)
+    mass = np.bincount(classes, weights=counts + 0.5, minlength=CLASSES)
+    return Model(classes, within, *start([classes[c] for c in chains if len(c)], mass, epochs, batch, rate, seed))
+
+
+def start(chains: list[np.ndarray], mass: np.ndarray, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.003, seed: int = 7) -> list[np.ndarray]:
+    """Weights trained on the classes of a few texts."""
     rng = np.random.default_rng(seed)
     f32 = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    mass = np.bincount(classes, weights=counts + 0.5, minlength=CLASSES)
     p = [f32(CLASSES + 1, WIDTH), f32(2 * WINDOW * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), f32(HIDDEN, CLASSES), np.log((mass + 1e-3) / mass.sum()).astype(np.float32)]
-    chains = [classes[c] for c in chains if len(c)]
+    trainer = Trainer(p, rate)
     if chains:
-        x, y = np.concatenate([windows(c) for c in chains]).astype(np.int64), np.concatenate(chains).astype(np.int64)
-        m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
+        x, y = np.concatenate([windows(c) for c in chains]), np.concatenate(chains)
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for k in range(0, len(y), batch):
                 own = order[k : k + batch]
-                xb, yb, n = x[own], y[own], len(own)
-                e = p[0][xb].reshape(n, -1)
-                h = np.tanh(e @ p[1] + p[2])
-                z = h @ p[3] + p[4]
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(n), yb] -= 1
-                z /= n
-                dh = (z @ p[3].T) * (1 - h * h)
-                de = np.zeros_like(p[0])
-                np.add.at(de, xb.ravel(), (dh @ p[1].T).reshape(-1, WIDTH))
-                step += 1
-                for i, g in enumerate((de, e.T @ dh, dh.sum(axis=0), h.T @ z, z.sum(axis=0))):
-                    m[i] = 0.9 * m[i] + 0.1 * g
-                    v[i] = 0.999 * v[i] + 0.001 * g * g
-                    p[i] = (p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return Model(classes, within, *p)
-
-
-def log_likelihood(model: Model, tables: np.ndarray, buckets: np.ndarray, block: int = 8192) -> float:
+                trainer.fit(x[own], y[own])
+    return trainer.p
+
+
+def train_all(chains: DataFrame, p: list[np.ndarray], batch: int = BATCH, rate: float = RATE) -> list[np.ndarray]:
+    """The weights p trained on by every word of all chains (`classes`: a byte per word).
+
+    Each task goes once over its chains, from p; the tasks' weights are averaged by their words.
+    """
+    sizes = [a.size for a in p]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, xs, ys, held, words = Trainer(p, rate), [], [], 0, 0
+        rng = np.random.default_rng(7)
+
+        def steps() -> None:
+            """Words near each other go to different steps."""
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            order = rng.permutation(len(y))
+            for own in np.array_split(order, -(-len(order) // batch)):
+                trainer.fit(x[own], y[own])
+
+        for b in batches:
+            for c in b.column("classes").to_pylist():
+                if not c:
+                    continue
+                for x, y in blocks(np.frombuffer(c, np.uint8), 32 * batch):
+                    xs.append(x)
+                    ys.append(y)
+                    held, words = held + len(y), words + len(y)
+                    if held >= 32 * batch:
+                        steps()
+                        xs, ys, held = [], [], 0
+        if held:
+            steps()
+        if words:
+            flat = np.concatenate([a.ravel() for a in trainer.p]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * words), pa.array(np.full(len(flat), words))], ["place", "weight", "words"])
+
+    got = chains.select("classes").mapInArrow(run, "place long, weight double, words long").groupBy("place").agg((F.sum("weight") / F.sum("words")).alias("weight")).toArrow()
+    if not got.num_rows:
+        return p
+    flat = np.empty(sum(sizes), np.float32)
+    flat[got["place"].to_numpy()] = got["weight"].to_numpy()
+    return [part.reshape(a.shape) for part, a in zip(np.split(flat, np.cumsum(sizes)[:-1]), p, strict=True)]
+
+
+def log_likelihood(model: Model, tables: np.ndarray, buckets: np.ndarray, block: int = 1024) -> float:
     """Sum of the conditional log probabilities of a text's words."""
-    c, total = model.classes[buckets], 0.0
-    x = windows(c)
-    for k in range(0, len(c), block):
-        part = x[k : k + block]
-        h = tables[0][part[:, 0]] + model.first_bias
-        for place in range(1, 2 * WINDOW):
-            h += tables[place][part[:, place]]
-        z = np.tanh(h, out=h) @ model.second + model.second_bias
-        own = z[np.arange(len(z)), c[k : k + block]]
-        most = z.max(axis=1)
-        z -= most[:, None]
-        total += float((own - most - np.log(np.exp(z, out=z).sum(axis=1))).sum(dtype=np.float64))
-    return total + float(model.within[buckets].sum(dtype=np.float64))
+    total = float(model.within[buckets].sum(dtype=np.float64))
+    for x, y in blocks(model.classes[buckets], block):
+        z, _, sums = exponents(hidden(tables, model.first_bias, x), model.second, model.second_bias)
+        total += float((z[np.arange(len(y)), y] - np.log(sums)).sum(dtype=np.float64))
+    return total
+
+
+def chains_of(docs: DataFrame, classes: np.ndarray) -> DataFrame:
+    """The class of each word of each text, a byte per word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([classes[_buckets.of(t)].tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["classes"])
+
+    return texts(docs).select("text").mapInArrow(run, "classes binary")
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
-    """Counts from all texts, the network from a bounded sample."""
+    """Counts from all texts; the network starts from a bounded sample and is trained on by all texts."""
     got = word_counts(docs).toArrow()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS)
     counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
     rows = hashed_share(texts(docs), train_docs, "doc_id").filter(F.octet_length("text") <= train_bytes)
     sample = rows.orderBy("doc_id", F.xxhash64("text")).limit(2 * train_docs).select("text").toArrow()
-    return train([_buckets.of(t) for t in sample["text"].to_pylist()], counts)
+    first = train([_buckets.of(t) for t in sample["text"].to_pylist()], counts)
+    weights = train_all(chains_of(docs, first.classes), [first.embed, first.first, first.first_bias, first.second, first.second_bias])
+    return Model(first.classes, first.within, *weights)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -56,3 +56,26 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(got) == odd_docs.count() and all((r.n_words, r.log_likelihood, r.mean_log_likelihood) == (0, 0, 0) for r in got if r.doc_id in (3, 4, 5))
     assert all(r.log_likelihood < 0 for r in got if r.n_words)
     assert lm.score(no_docs, lm.fit(no_docs)).count() == 0
+
+
+def test_network_learns_from_all_texts(spark):
+    """A passage that only texts outside the driver's sample hold (one is too long for it) is learned."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(60)]
+    noise = [(k, " ".join(rng.choice(words, 40))) for k in range(40)]
+    passage = " ".join(words) + " "
+    docs = spark.createDataFrame([*noise, (40, passage * 2500)], "doc_id long, text string").repartition(2)
+    assert len(passage * 2500) > lm.TRAIN_BYTES
+    counts = np.zeros(lm.BUCKETS)
+    for r in lm.word_counts(docs).collect():
+        counts[r.bucket] = r.n
+    bounded = lm.train([lm._buckets.of(t) for _, t in noise], counts)
+    model = lm.fit(docs)
+    near, far = (lm.log_likelihood(m, m.tables(), lm._buckets.of(passage)) for m in (model, bounded))
+    assert near > far + 60
+
+
+def test_windows_of_blocks_reach_across():
+    c = np.random.default_rng(1).integers(0, lm.CLASSES, 50).astype(np.uint8)
+    parts = list(lm.blocks(c, 7))
+    assert (np.concatenate([x for x, _ in parts]) == lm.windows(c)).all() and (np.concatenate([y for _, y in parts]) == c).all()
