@@ -351,12 +351,15 @@ def sets(docs: DataFrame, wanted: bytes) -> DataFrame:
 
 
 def whole_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """cid, vertical, hashes and n of the classes whose numbers are the only column of `ids`."""
+    """cid, vertical, hashes and n of the classes whose numbers are the only column of `ids`, each set once.
+
+    Copies of a class's representative, or of a class without ids, may come from several tasks.
+    """
     wanted = ids.toDF("w").distinct().join(classes, F.col("w") == F.col("cid"))
     wanted = stash(wanted.select("cid", "rep_id", "m1", "m2", "n"), "wanted")
     known = bloom(wanted.filter("rep_id is not null").select("rep_id"))
     mine = sets(docs, known).alias("s").join(wanted.alias("w"), ["m1", "m2"]).filter(F.expr("s.doc_id <=> w.rep_id"))
-    return stash(mine.select("cid", "vertical", "hashes", "n"), "sets")
+    return stash(mine.select("cid", "vertical", "hashes", "n").dropDuplicates(["cid", "vertical"]), "sets")
 
 
 def similar(pairs: DataFrame, mine: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from slotline.llm import ngram_join as nj
@@ -65,6 +66,29 @@ def test_odd_rows(odd_docs, no_docs):
     assert nj.join(no_docs).count() == 0 and nj.representatives(no_docs).count() == 0
 
 
+def test_repeated_rows_in_several_partitions(spark, monkeypatch):
+    """A repeated representative, and copies without ids, count once beside pairs of similarity 0.4 to 0.7.
+
+    No shingle stands out here, as in a large input; any order gives the same links.
+    """
+    monkeypatch.setattr(nj, "levels", lambda counted: np.zeros(nj.BUCKETS, np.uint8))
+    rng = random.Random(5)
+    fresh = lambda n: [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n)]
+    repeated, once = [], []
+    for k, same in enumerate((62, 70, 78)):
+        base = fresh(100)
+        one, two = " ".join(base), " ".join(base[:same] + fresh(100 - same))
+        a, b = shingle_set(one), shingle_set(two)
+        assert 0.4 < len(a & b) / len(a | b) < 0.7
+        back, other = " ".join(base[::-1]), " ".join((base[:same] + fresh(100 - same))[::-1])
+        repeated += [(10 * k, one), (None, other)]
+        once += [(10 * k + 1, two), (10 * k + 5, back)]
+    parts = [repeated + once, repeated, repeated]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(lambda p: p), "doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == 3
+    assert sorted((tuple(r) for r in nj.join(docs).collect()), key=str) == brute([r for p in parts for r in p])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(50)] + [(100 + k, 100) for k in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(90)] + [(7, 7)]
