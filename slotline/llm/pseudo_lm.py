@@ -1,100 +1,166 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-Words (runs between ASCII white space, A-Z lowered) are counted over all texts into BUCKETS
-hash buckets. Buckets sorted by count are cut into CLASSES classes of about equal mass, the
-commonest words alone in theirs. A window network, trained in numpy, sees the classes of the
-WINDOW words on either side of a masked word and gives P(class | both sides);
-P(word | class) is the bucket's share of its class. A text's score is the sum of the log
-probabilities of all its words, each with every other word of its window in sight.
+Words (runs between ASCII white space, A-Z lowered; told apart by a 64-bit hash) are counted
+over all texts. Words sorted by count are cut into CLASSES classes of about equal mass, the
+commonest words alone in theirs and words of one count together. A window network, trained
+in numpy, sees the classes of the WINDOW words on either side of a masked word and gives
+P(class | both sides); P(word | class) is the word's share of its class. A text's score is
+the sum of the log probabilities of all its words, each with every other word of its window
+in sight.
 
 Counts cover all texts, and so does the network's training: from weights that the driver
 gets from about TRAIN_DOCS texts of at most TRAIN_BYTES bytes, each task goes once over every
-word of its texts, and the tasks' weights are averaged by their words. The tables that the
-tasks get have BUCKETS entries at every size of the input.
+word of its texts, and the tasks' weights are averaged by their words. The vocabulary grows
+with the corpus: tasks get the counts of the HOT commonest words, and all rarer words are
+joined to their counts.
 
 Defined cases. A null text is empty; a text without words has 0 words, sum and mean 0. Null
-ids stay null. Repeated rows are counted and scored each. Of other columns nothing is read.
+ids stay null. Repeated rows are counted and scored each. A word that no text of the fit has
+is of the rarest class, with half a word's share. Of other columns nothing is read.
 """
 
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import hashed_share, texts
+from slotline.llm.common import hashed_share, stash, texts
 
-BUCKETS, CLASSES, WINDOW = 1 << 18, 128, 2
+BUCKETS, HOT, CLASSES, WINDOW = 1 << 18, 1 << 18, 128, 2
 WIDTH, HIDDEN = 16, 32
 TRAIN_DOCS, TRAIN_BYTES, EPOCHS = 1000, 30_000, 2
 BATCH, RATE = 1024, 0.001
 EDGE = CLASSES  # the class beyond a text's ends
+JOINED = 255  # in place of a class: a word whose count is joined
 
 
-class Buckets(dict):
-    """Word to hash bucket, remembered up to a bound."""
+class WordHashes(dict):
+    """Word to 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        k = zlib.crc32(word) * 2654435761 >> 7 & BUCKETS - 1
+        k = xxhash.xxh64_intdigest(word) - (1 << 63)
         if len(self) < 500_000 and len(word) < 100:
             self[word] = k
         return k
 
     def of(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-_buckets = Buckets()
+_buckets = WordHashes()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """bucket, n over all texts; each task sends a row for each bucket that it met."""
+    """bucket (a word's hash), n over all texts; tasks send a row for each word of about a million words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        waiting, held = [], 0
+
+        def met() -> Iterator[pa.RecordBatch]:
+            words, n = np.unique(np.concatenate(waiting), return_counts=True)
+            for k in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000]), pa.array(n[k : k + 50_000])], ["bucket", "n"])
+
         for b in batches:
             for t in b.column("text").to_pylist():
-                np.add.at(total, _buckets.of(t), 1)
-        met = np.flatnonzero(total)
-        for k in range(0, len(met), 50_000):
-            part = met[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part])], ["bucket", "n"])
+                waiting.append(_buckets.of(t))
+                held += len(waiting[-1])
+                if held >= 1_000_000:
+                    yield from met()
+                    waiting, held = [], 0
+        if held:
+            yield from met()
 
     return texts(docs).select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Hot:
+    """Values of the hot words by their sorted hashes; other words have `rest`."""
+
+    words: np.ndarray
+    values: np.ndarray
+    rest: float
+
+    def __getitem__(self, words: np.ndarray) -> np.ndarray:
+        out = np.full(len(words), self.rest, self.values.dtype)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            np.copyto(out, self.values[at], where=self.words[at] == words)
+        return out
+
+
+@dataclass
+class Vocabulary:
+    """Classes and log shares of all words: by count (n ascending, the first is 0), and by hash of the hot words."""
+
+    counts: DataFrame  # bucket, n of all words
+    n: np.ndarray
+    classes: np.ndarray
+    within: np.ndarray
+    mass: np.ndarray  # of each class
+    hot: np.ndarray
+    hot_n: np.ndarray
+    least: int  # words that occur so often are hot
+
+
+def vocabulary(docs: DataFrame, hot: int = HOT) -> Vocabulary:
+    counts = stash(word_counts(docs), "words")
+    got = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()  # as many rows as there are different counts
+    n, words = got["n"].to_numpy(), got["words"].to_numpy()
+    order = np.argsort(n)
+    n, words = np.concatenate([[0], n[order]]), np.concatenate([[1], words[order]])  # one word is unseen
+    from_here = np.cumsum(words[::-1])[::-1]
+    least = int(n[np.flatnonzero(from_here <= hot)[0]]) if (from_here <= hot).any() else int(n[-1]) + 1
+    often = counts.filter(F.col("n") >= least).toArrow()  # `hot` rows at most
+    by_hash = np.argsort(often["bucket"].to_numpy())
+    classes, within, mass = by_count(n, words)
+    return Vocabulary(counts, n, classes, within, mass, often["bucket"].to_numpy()[by_hash], often["n"].to_numpy()[by_hash], max(1, least))
+
+
 @dataclass
 class Model:
-    classes: np.ndarray  # of each bucket
-    within: np.ndarray  # log P(bucket | class)
+    classes: np.ndarray | Hot  # of each word
+    within: np.ndarray | Hot  # log P(word | class)
     embed: np.ndarray
     first: np.ndarray
     first_bias: np.ndarray
     second: np.ndarray
     second_bias: np.ndarray
+    vocabulary: Vocabulary | None = None
 
     def tables(self) -> np.ndarray:
         """For each place in the window, what each class adds to the hidden layer."""
         return np.stack([self.embed @ self.first[p * WIDTH : (p + 1) * WIDTH] for p in range(2 * WINDOW)])
 
 
+def by_count(n: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of about equal mass for counts n (ascending) that so many words have, each word's
+    smoothed log share of its class, and the classes' masses."""
+    smooth = n + 0.5
+    own = smooth * words
+    after = np.append(np.cumsum(own[::-1])[::-1][1:], 0)  # the mass of commoner words
+    classes = np.minimum(CLASSES - 1, after / own.sum() * CLASSES).astype(np.uint8)
+    if len(n) > 1 and n[0] == 0:  # no text shows a class of unseen words
+        classes[0] = classes[1]
+    mass = np.bincount(classes, weights=own, minlength=CLASSES)
+    return classes, np.log(smooth / mass[classes]).astype(np.float32), mass
+
+
 def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of about equal mass, and each bucket's smoothed log share of its class."""
-    smooth = counts + 0.5
-    order = np.argsort(-smooth, kind="stable")
-    before = np.cumsum(smooth[order]) - smooth[order]
-    place = np.minimum(CLASSES - 1, (before / smooth.sum() * CLASSES).astype(np.int64))
-    classes = np.empty(len(counts), np.uint8)
-    classes[order] = place
-    mass = np.bincount(classes, weights=smooth, minlength=CLASSES)
-    return classes, np.log(smooth / mass[classes]).astype(np.float32)
+    """`by_count` for each of these words."""
+    n, at, words = np.unique(counts, return_inverse=True, return_counts=True)
+    classes, within, _ = by_count(n, words)
+    return classes[at], within[at]
 
 
 def windows(c: np.ndarray) -> np.ndarray:
@@ -228,49 +294,117 @@ def train_all(chains: DataFrame, p: list[np.ndarray], batch: int = BATCH, rate:
 
 def log_likelihood(model: Model, tables: np.ndarray, buckets: np.ndarray, block: int = 1024) -> float:
     """Sum of the conditional log probabilities of a text's words."""
-    total = float(model.within[buckets].sum(dtype=np.float64))
-    for x, y in blocks(model.classes[buckets], block):
+    return float(model.within[buckets].sum(dtype=np.float64)) + of_classes(model, tables, model.classes[buckets], block)
+
+
+def of_classes(model: Model, tables: np.ndarray, c: np.ndarray, block: int = 1024) -> float:
+    """Sum of the log probabilities of a text's classes."""
+    total = 0.0
+    for x, y in blocks(c, block):
         z, _, sums = exponents(hidden(tables, model.first_bias, x), model.second, model.second_bias)
         total += float((z[np.arange(len(y)), y] - np.log(sums)).sum(dtype=np.float64))
     return total
 
 
-def chains_of(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """The class of each word of each text, a byte per word."""
+CHAINS = "row long, doc_id long, bytes long, n_words long, within double, classes binary, places binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([classes[_buckets.of(t)].tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["classes"])
 
-    return texts(docs).select("text").mapInArrow(run, "classes binary")
+def chains_of(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """For each text doc_id, bytes, n_words, within (its words' summed log shares) and classes (a byte per word).
 
+    A text's rare words go to their counts as rows of their own (row, word, k: the word's place
+    among the text's rare words) and come back as a list; `places` says where they stand.
+    """
+    hot = Hot(v.hot, np.searchsorted(v.n, v.hot_n).astype(np.int32), -1)
+    classes, within = v.classes, v.within.astype(np.float64)
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for start_ in range(0, whole.num_rows, 1000):
+                b, out, rare = whole.slice(start_, 1000), [], []
+                for t in b.column("text").to_pylist():
+                    words = _buckets.of(t)
+                    at = hot[words]
+                    gone = np.flatnonzero(at < 0)
+                    c = classes[at]
+                    share, places = within[at], b""
+                    if len(gone):
+                        c[gone], share[gone] = JOINED, 0
+                        of, place = np.unique(words[gone], return_inverse=True)
+                        places = place.astype(np.int32).tobytes()
+                        rare.append((np.full(len(of), row), of, np.arange(len(of))))
+                    out.append((row, len(t.encode()), len(words), float(share.sum()), c.tobytes(), places))
+                    row += 1
+                r, size, n, share, c, places = zip(*out, strict=True)
+                none = lambda kind, m=len(out): pa.nulls(m, kind)
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(c, pa.binary()), pa.array(places, pa.binary()), none(pa.int64()), none(pa.int64())], names)
+                if rare:
+                    r, of, k = (np.concatenate(x) for x in zip(*rare, strict=True))
+                    none = lambda kind, m=len(r): pa.nulls(m, kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(r), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.binary()), none(pa.binary()), pa.array(of), pa.array(k)], names)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for c, places, share, came in zip(*(b.column(x).to_pylist() for x in ("classes", "places", "within", "came")), strict=True):
+                c, came = np.frombuffer(c, np.uint8).copy(), np.array(came, np.int64)
+                count = np.empty(len(came), np.int64)
+                count[came >> 32] = came & 0xFFFFFFFF
+                at = np.searchsorted(v_n, count)[np.frombuffer(places, np.int32)]
+                c[c == JOINED] = classes[at]
+                out.append((share + float(within[at].sum()), c.tobytes()))
+            share, c = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept[:3]), pa.array(share, pa.float64()), pa.array(c, pa.binary())], kept)
+
+    kept, v_n = ["doc_id", "bytes", "n_words", "within", "classes"], v.n
+    names = ["row", *kept, "places", "bucket", "k"]
+    sent = stash(texts(docs).mapInArrow(run, f"{CHAINS}, bucket long, k long"), "chains")
+    rows = sent.filter("bucket is null")
+    rare = sent.filter("bucket is not null").select("row", "bucket", "k")
+    known = v.counts.filter(F.col("n") < v.least)
+    came = rare.join(known, "bucket", "left").select("row", (F.shiftleft("k", 32) + F.coalesce("n", F.lit(0))).alias("one"))
+    came = came.groupBy("row").agg(F.collect_list("one").alias("came"))
+    joined = rows.filter("length(places) > 0").join(came, "row").select(*kept, "places", "came").mapInArrow(fill, "doc_id long, bytes long, n_words long, within double, classes binary")
+    return stash(rows.filter("length(places) = 0").select(*kept).union(joined), "classes")
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, hot: int = HOT) -> Model:
     """Counts from all texts; the network starts from a bounded sample and is trained on by all texts."""
-    got = word_counts(docs).toArrow()  # BUCKETS rows at most
-    counts = np.zeros(BUCKETS)
-    counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    rows = hashed_share(texts(docs), train_docs, "doc_id").filter(F.octet_length("text") <= train_bytes)
-    sample = rows.orderBy("doc_id", F.xxhash64("text")).limit(2 * train_docs).select("text").toArrow()
-    first = train([_buckets.of(t) for t in sample["text"].to_pylist()], counts)
-    weights = train_all(chains_of(docs, first.classes), [first.embed, first.first, first.first_bias, first.second, first.second_bias])
-    return Model(first.classes, first.within, *weights)
+    v = vocabulary(docs, hot)
+    return fit_chains(v, chains_of(docs, v), train_docs, train_bytes)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, log_likelihood (the sum) and mean_log_likelihood (a word)."""
-    saved = pickle.dumps(model)
+def fit_chains(v: Vocabulary, chains: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    rows = hashed_share(chains, train_docs, "doc_id", "classes").filter(F.col("bytes") <= train_bytes)
+    sample = rows.orderBy(F.xxhash64("doc_id", "classes"), "doc_id").limit(2 * train_docs).select("classes").toArrow()
+    first = start([np.frombuffer(c, np.uint8) for c in sample["classes"].to_pylist() if c], v.mass)
+    at = np.searchsorted(v.n, v.hot_n)
+    return Model(Hot(v.hot, v.classes[at], v.classes[0]), Hot(v.hot, v.within[at], v.within[0]), *train_all(chains, first), v)
+
+
+def score_chains(chains: DataFrame, model: Model) -> DataFrame:
+    saved = pickle.dumps(replace(model, classes=None, within=None, vocabulary=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(saved)
         tables = model.tables()
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                words = _buckets.of(t)
-                got = log_likelihood(model, tables, words) if len(words) else 0.0
-                out.append((len(words), got, got / max(1, len(words))))
-            n, total, mean = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            n = b.column("n_words")
+            got = [share + of_classes(model, tables, np.frombuffer(c, np.uint8)) if c else 0.0 for c, share in zip(b.column("classes").to_pylist(), b.column("within").to_pylist(), strict=True)]
+            mean = np.array(got) / np.maximum(1, n.to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(got, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+
+    return chains.select("doc_id", "n_words", "within", "classes").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_words, log_likelihood (the sum) and mean_log_likelihood (a word)."""
+    return score_chains(chains_of(docs, model.vocabulary), model)
+
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+def score_own(docs: DataFrame) -> DataFrame:
+    """`score` of the texts by the model that they fit; their classes are found once."""
+    v = vocabulary(docs)
+    chains = chains_of(docs, v)
+    return score_chains(chains, fit_chains(v, chains))

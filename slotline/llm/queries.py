@@ -54,8 +54,7 @@ def op8_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pseudo_lm.score(docs, pseudo_lm.fit(docs))
+    return pseudo_lm.score_own(table(spark, sf_dir, "documents"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,11 +66,9 @@ def test_network_learns_from_all_texts(spark):
     passage = " ".join(words) + " "
     docs = spark.createDataFrame([*noise, (40, passage * 2500)], "doc_id long, text string").repartition(2)
     assert len(passage * 2500) > lm.TRAIN_BYTES
-    counts = np.zeros(lm.BUCKETS)
-    for r in lm.word_counts(docs).collect():
-        counts[r.bucket] = r.n
-    bounded = lm.train([lm._buckets.of(t) for _, t in noise], counts)
     model = lm.fit(docs)
+    v = model.vocabulary
+    bounded = lm.Model(model.classes, model.within, *lm.start([model.classes[lm._buckets.of(t)] for _, t in noise], v.mass), v)
     near, far = (lm.log_likelihood(m, m.tables(), lm._buckets.of(passage)) for m in (model, bounded))
     assert near > far + 60
 
@@ -79,3 +77,25 @@ def test_windows_of_blocks_reach_across():
     c = np.random.default_rng(1).integers(0, lm.CLASSES, 50).astype(np.uint8)
     parts = list(lm.blocks(c, 7))
     assert (np.concatenate([x for x, _ in parts]) == lm.windows(c)).all() and (np.concatenate([y for _, y in parts]) == c).all()
+
+
+def test_every_word_has_its_own_count(spark):
+    """More words than any table of a fixed size holds here; joined counts give the same scores as counts at hand."""
+    rng = np.random.default_rng(5)
+    rows = [(k, f"the {' '.join(f'x{k}y{j}' for j in range(300))} and " + " ".join(f"c{j}" for j in rng.zipf(1.5, 60) % 200)) for k in range(1000)]
+    docs = spark.createDataFrame([*rows, (None, "the the x1y1 x1y1 new"), (1, "")], "doc_id long, text string").repartition(3)
+    want = {}
+    for r in docs.collect():
+        for w in r.text.split():
+            want[w] = want.get(w, 0) + 1
+    v = lm.vocabulary(docs, hot=50)
+    assert len(want) > lm.BUCKETS and v.counts.count() == len(want) and len(v.hot) <= 50
+    got = lm.chains_of(docs, v).collect()
+    place = {int(n): k for k, n in enumerate(v.n)}
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) + 2
+    for doc_id, text in [*rows[:20:7], (None, "the the x1y1 x1y1 new")]:
+        at = [place[want[w]] for w in text.split()]
+        assert list(by_id[doc_id].classes) == v.classes[at].tolist() and np.isclose(by_id[doc_id].within, v.within[at].astype(float).sum(), rtol=1e-4)
+    share = np.bincount(v.classes[[place[n] for n in want.values()]], weights=np.exp([float(v.within[place[n]]) for n in want.values()]), minlength=lm.CLASSES)
+    assert all(np.isclose(x, 1, atol=1e-2) for x in share if x)
