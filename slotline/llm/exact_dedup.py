@@ -3,7 +3,8 @@
 Every partition of digests is sorted into a run and collapsed, so a group of copies
 leaves one entry a partition. Partitions are the leaves of a butterfly: in round t,
 node i hands each entry to the node whose t-th base-FAN_IN digit is the digest's, and
-every receiver merges the FAN_IN sorted runs it gets into one. After the last round
+every receiver makes the FAN_IN runs it gets into one: Spark's partition sort orders
+them anew, and one pass collapses equal neighbours. After the last round
 node j holds all entries of the j-th share of the digest space, so no node ever holds
 more than its share. An entry is (sha256, byte length, second hash, smallest id, rows);
 two entries merge only if all three marks agree, which verifies the smallest id that is
