@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +17,7 @@ from slotline.operators import slots as sl
 from slotline.plans import views as v
 from slotline.sources import bookings_csv, landed_json
 from slotline.sources.dimensions import SLOT_OPTIONS, option_of
+from slotline.sources.scratch import new_path
 from slotline.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,17 +30,6 @@ def query(f: Query) -> Query:
     return f
 
 
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="slotline-")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    return f"{root.rstrip('/')}/slotline/{name}-{uuid.uuid4().hex}"
-
-
 def _slots_of(rows: DataFrame) -> DataFrame:
     """Each booking's slot: the next one of its key after the day it was made."""
     o = option_of("slot_key")
@@ -178,7 +165,7 @@ def freebusy_request(s: SparkSession, d: str) -> DataFrame:
 def scan_bookings(s: SparkSession, d: str) -> DataFrame:
     """The bookings, written as the CSV log and read back by name."""
     text = v.bookings(s, d).select(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss").alias("created_utc"), "name", "email", F.col("slot_key").alias("slot_label"), F.concat("message", F.lit(",\n"), F.col("booking_id").cast("string")).alias("message"), "event_link")
-    path = scratch(s, "bookings")
+    path = new_path(s, "bookings")
     bookings_csv.write(text, path)
     back = bookings_csv.scan(s, path)
     return back.select(timeops.parse_iso("created_utc").alias("created"), "name", or_default("email", "").alias("email"), "slot_label", "message", or_default("event_link", "").alias("event_link"))
@@ -274,8 +261,8 @@ def booking_state_stream(s: SparkSession, d: str) -> DataFrame:
     """The same fold on a file stream of the action log, drained to a table."""
     path = f"{d}/events.parquet"
     events = s.readStream.schema(s.read.parquet(path).schema).parquet(path + "*")
-    sink = scratch(s, "state")
-    intake.drain(intake.running_state(v.actions(events)), sink, scratch(s, "state-checkpoint"), "complete")
+    sink = new_path(s, "state")
+    intake.drain(intake.running_state(v.actions(events)), sink, new_path(s, "state-checkpoint"), "complete")
     got = s.read.parquet(sink)
     last = got.select(F.max("epoch").alias("epoch")).first().epoch
     return got.filter(F.col("epoch") == last).drop("epoch")
@@ -287,8 +274,8 @@ def intake_stream(s: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     events = v.actions(s.readStream.schema(s.read.parquet(path).schema).parquet(path + "*"))
     twice = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
-    sink = scratch(s, "intake")
-    intake.drain(intake.without_redelivered(twice, "action_id", delay="60 days"), sink, scratch(s, "intake-checkpoint"))
+    sink = new_path(s, "intake")
+    intake.drain(intake.without_redelivered(twice, "action_id", delay="60 days"), sink, new_path(s, "intake-checkpoint"))
     return s.read.parquet(sink).select("action_id", "booking_id", "action")
 
 
