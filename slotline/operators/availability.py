@@ -37,10 +37,11 @@ def availability(slots: DataFrame, busy: DataFrame, checks: DataFrame | None = N
 
     `checks` (staff_id, checked, ok) says whose calendar was looked at. Without a check every
     slot is offered; a failed check offers none. A staff member without a row in `checks` counts
-    as checked.
+    as checked; `checks` has a row a staff member at most. A slot that is given twice comes once.
     """
-    hit = taken_slots(slots, busy).select("staff_id", "start_utc").distinct()
-    rows = slots.join(hit.withColumn("taken", F.lit(True)), ["staff_id", "start_utc"], "left")
+    busy = _by_day(busy)
+    met = slots.join(busy, _overlap(slots, busy), "left").select(*[slots[c] for c in slots.columns], busy.busy_day)
+    rows = met.groupBy(*slots.columns).agg(F.count("busy_day").alias("_hits")).withColumn("taken", F.when(F.col("_hits") > 0, F.lit(True))).drop("_hits")
     if checks is not None:
         rows = rows.join(checks.select("staff_id", "checked", "ok"), "staff_id", "left")
     else:

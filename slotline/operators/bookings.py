@@ -67,10 +67,11 @@ def state_aggregates(at: str = "at") -> list[Column]:
 
     A booking is confirmed once its event is created, it is confirmed by hand, or its mail is
     sent while no status was ever set (an absent status is the one that a mail replaces).
-    Times take the latest, links the latest that aren't blank.
+    Times take the latest, links the latest that aren't blank; of links of one time the last
+    in order of text counts, so that a batch and a stream agree.
     """
     action, when = F.col("action"), F.col(at)
-    link = lambda c: F.max_by(c, F.when(filled(c), when))
+    link = lambda c: F.max(F.when(filled(c), F.struct(when.alias("at"), F.col(c).alias("link"))))["link"]
     return [
         F.coalesce(F.max(F.when(action.isin(*CONFIRMING), F.lit(CONFIRMED))), F.lit(PENDING)).alias("status"),
         F.max(F.when(action.isin("event_created", "confirmed"), when)).alias("confirmed_utc"),
@@ -86,9 +87,13 @@ def booking_state(actions: DataFrame) -> DataFrame:
 
 
 def dedup_bookings(rows: DataFrame, key: list[str], created: str, tie: str) -> DataFrame:
-    """Of bookings equal in `key` the one with a link, then the latest; created times aren't part of the key."""
-    w = Window.partitionBy(*key).orderBy(filled("event_link").desc(), F.col(created).desc(), F.col(tie).desc())
-    return rows.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
+    """Of bookings equal in `key` the one with a link, then the latest; created times aren't part of the key.
+
+    Of equal times the largest `tie` counts. Keys are equal where both are null. Each task
+    keeps its best row of a key before the exchange, so that a hot key is no hot task.
+    """
+    best = F.max_by(F.struct(*rows.columns), F.struct(filled("event_link").alias("filled"), F.col(created).alias("created"), F.col(tie).alias("tie")))
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(best.alias("_row")).select("_row.*")
 
 
 def double_bookings(rows: DataFrame, minutes: int = 30) -> DataFrame:

@@ -13,7 +13,8 @@ def search(catalogue: DataFrame, query: str) -> DataFrame:
 
 
 def lookup(catalogue: DataFrame, id_: int) -> DataFrame:
-    return catalogue.filter(F.col("id") == id_).limit(1)
+    """The entry of this id; of repeated ids the first by title and summary, none if there is none."""
+    return catalogue.filter(F.col("id") == id_).orderBy("title", "summary").limit(1)
 
 
 def selected_detail(selected: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -53,6 +54,18 @@ def inquiry_text(title: str = "title", course: str = "course") -> Column:
     return F.when(filled(course), F.concat(F.lit("Interested in "), F.col(title), F.lit(" ("), F.col(course), F.lit(")"))).otherwise(F.concat(F.lit("Interested in "), F.col(title)))
 
 
-def round_robin(catalogue: DataFrame, group: str, order: str, buckets: int = 3) -> DataFrame:
-    """A bucket from 0 for each row, in turn within its group."""
-    return catalogue.withColumn("bucket", F.pmod(F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1, F.lit(buckets)))
+def round_robin(catalogue: DataFrame, group: str, order: str, tie: str, buckets: int = 3, chunk: int = 100_000) -> DataFrame:
+    """A bucket from 0 for each row, in turn within its group by a number `order`, and by `tie` where that is equal.
+
+    Rows are numbered within chunks of `order`, and a chunk begins where the group's chunks
+    before it end, so that a group that holds most rows is no single task. Null groups are one
+    group; rows without `order` are its first.
+    """
+    part = F.coalesce(F.floor(F.col(order) / chunk), F.lit(-(1 << 62)))
+    rows = catalogue.withColumn("_chunk", part)
+    within = F.row_number().over(Window.partitionBy(group, "_chunk").orderBy(order, tie)) - 1
+    sizes = rows.groupBy(F.col(group).alias("_group"), F.col("_chunk").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_group", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_within", within).join(sizes, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_chunk") == F.col("_part")))
+    return rows.withColumn("bucket", F.pmod(F.col("_before") + F.col("_within"), F.lit(buckets)).cast("int")).drop("_chunk", "_within", "_group", "_part", "_before")

@@ -244,6 +244,38 @@ def union_by_name(s: SparkSession, d: str) -> DataFrame:
     return early.unionByName(late, allowMissingColumns=True)
 
 
+@query
+def append_log(s: SparkSession, d: str) -> DataFrame:
+    """The typed log after two appends, read back: bookings and days of each intake year."""
+    rows, path = v.bookings(s, d).select("booking_id", F.col("created").alias("created_utc")), new_path(s, "log")
+    for part in ("booking_id % 2 = 0", "booking_id % 2 = 1"):
+        bookings_csv.append_parquet(rows.filter(part), path)
+    back = s.read.parquet(path).groupBy(F.year("intake_date").alias("year"))
+    return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("intake_date").alias("n_days"), F.max("booking_id").alias("last_id"))
+
+
+@query
+def rewrite_log(s: SparkSession, d: str) -> DataFrame:
+    """Two header versions rewritten as one, with the union of their columns, in a new folder."""
+    rows, path = v.bookings(s, d), new_path(s, "log-version")
+    early = rows.filter("booking_id % 2 = 0").select("booking_id", "name")
+    late = rows.filter("booking_id % 2 = 1").select("status", "name", "booking_id", "meet_link")
+    bookings_csv.rewrite_parquet([early, late], path)
+    return s.read.parquet(path)
+
+
+@query
+def truncate_log(s: SparkSession, d: str) -> DataFrame:
+    """How many rows and columns a log has before and after it is truncated."""
+    path = new_path(s, "log")
+    rows = v.bookings(s, d).select("booking_id", "created", "name")
+    rows.write.parquet(path)
+    before = s.read.parquet(path).agg(F.count(F.lit(1)).alias("n_before")).first().n_before
+    bookings_csv.truncate_parquet(s, rows.schema, path)
+    after = s.read.parquet(path)
+    return after.agg(F.count(F.lit(1)).alias("n_after")).select(F.lit(before).cast("long").alias("n_before"), "n_after", F.lit(len(after.columns)).alias("n_columns"))
+
+
 @query
 def apply_updates(s: SparkSession, d: str) -> DataFrame:
     rows = v.bookings(s, d).select("booking_id", "status", "event_link")
@@ -285,8 +317,17 @@ def dedup_bookings(s: SparkSession, d: str) -> DataFrame:
     return bk.dedup_bookings(rows, ["booking_id"], "at", "action_id").select("booking_id", "action_id", "event_link")
 
 
+@query
+def collapse_bookings(s: SparkSession, d: str) -> DataFrame:
+    """A booking written twice, by name, email and slot, is one; the row with a link stays."""
+    rows = _slots_of(v.bookings(s, d)).withColumn("slot_local_start", F.col("start_local"))
+    kept = bk.dedup_bookings(rows, ["name", "email", "slot_local_start"], "created", "booking_id")
+    return kept.select("name", "email", "slot_local_start", "booking_id", "event_link")
+
+
 @query
 def double_bookings(s: SparkSession, d: str) -> DataFrame:
+    """Overlaps among the 30 minutes after each click and purchase; other events book nothing."""
     e = v.read(s, d, "events").filter("event_type in ('click', 'purchase')")
     rows = e.select(F.col("user_id").alias("staff_id"), F.col("event_id").alias("id"), F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("end"))
     return bk.double_bookings(rows)
@@ -349,7 +390,7 @@ def inquiry_text(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def round_robin(s: SparkSession, d: str) -> DataFrame:
-    return cat.round_robin(v.catalogue(s, d), "brand", "id").select("id", "bucket")
+    return cat.round_robin(v.catalogue(s, d), "brand", "id", "title").select("id", "bucket")
 
 
 # Outreach
@@ -400,6 +441,7 @@ def event_requests(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def merge_responses(s: SparkSession, d: str) -> DataFrame:
+    """The state by all actions but views, which stand for the calendar's answers here and are merged as such."""
     rows = bk.booking_state(v.actions(v.read(s, d, "events").filter("event_type <> 'view'"))).drop("confirmed_utc", "email_sent_utc")
     return out.merge_responses(rows, v.landed_events(s, d))
 

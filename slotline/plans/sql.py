@@ -35,7 +35,7 @@ ACTIONS = """act as (select event_id as action_id, user_id * 100 + day(ts) as bo
   case when event_type = 'view' and event_id % 2 = 0 then 'https://meet.example.com/' || event_id end as meet_link from events)"""
 STATE = f"""with {ACTIONS} select booking_id, coalesce(max(case when action in ('event_created', 'confirmed', 'email_sent') then 'confirmed' end), 'pending') as status,
   max(at_ts) filter (action in ('event_created', 'confirmed')) as confirmed_utc, max(at_ts) filter (action in ('email_sent', 'email_marked')) as email_sent_utc,
-  arg_max(event_link, at_ts) filter (event_link <> '') as event_link, arg_max(meet_link, at_ts) filter (meet_link <> '') as meet_link from act group by booking_id"""
+  struct_extract(max({{'at': at_ts, 'link': event_link}}) filter (event_link <> ''), 'link') as event_link, struct_extract(max({{'at': at_ts, 'link': meet_link}}) filter (meet_link <> ''), 'link') as meet_link from act group by booking_id"""
 CATALOGUE = "cat as (select p_partkey as id, p_name as title, p_type as summary, p_brand as brand, case p_size % 3 when 0 then [p_brand, p_type] when 1 then []::varchar[] end as courses from part)"
 
 
@@ -84,11 +84,15 @@ SQL = {
     "label_to_key": f"with {CALENDAR} select staff_id, week, slot_no, slot_key from c",
     "append_union": f"with {BOOKINGS} select booking_id, created from b",
     "union_by_name": f"with {BOOKINGS} select booking_id, name, case when booking_id % 2 = 1 then raw_status end as status from b",
+    "append_log": f"with {BOOKINGS} select year(created)::int as year, count(*) as n, count(distinct created::date) as n_days, max(booking_id) as last_id from b group by 1",
+    "rewrite_log": f"with {BOOKINGS} select booking_id, name, case when booking_id % 2 = 1 then raw_status end as status, case when booking_id % 2 = 1 then meet_link end as meet_link from b",
+    "truncate_log": "select count(*) as n_before, 0::bigint as n_after, 3 as n_columns from orders",
     "apply_updates": f"with {BOOKINGS} select booking_id, case when booking_id % 3 = 0 then 'confirmed' else raw_status end as status, case when booking_id % 6 = 0 then 'moved' else event_link end as event_link from b",
     "booking_state": STATE,
     "booking_state_stream": STATE,
     "intake_stream": f"with {ACTIONS} select action_id, booking_id, action from act",
     "dedup_bookings": f"with {ACTIONS} select booking_id, action_id, event_link from act qualify row_number() over (partition by booking_id order by (event_link <> '') desc, at_ts desc, action_id desc) = 1",
+    "collapse_bookings": f"with {SLOTTED} select name, email, start_local as slot_local_start, booking_id, event_link from u qualify row_number() over (partition by name, email, start_local order by coalesce(event_link, '') <> '' desc, created desc, booking_id desc) = 1",
     "double_bookings": "with e as (select user_id as staff_id, event_id as id, ts as s, ts + interval 30 minute as t from events where event_type in ('click', 'purchase')) select a.staff_id, a.id as id_a, b.id as id_b from e a join e b on a.staff_id = b.staff_id and a.id < b.id and a.s < b.t and b.s < a.t",
     "catalogue_search": f"with {CATALOGUE} select id, title, summary from cat where contains(lower(title || summary), 'ne')",
     "program_lookup": f"with {CATALOGUE} select id, title, (select count(*) from lineitem where l_partkey = 7) as n_lines from cat where id = 7",
@@ -108,8 +112,8 @@ SQL = {
     "event_links": f"with {LANDED} select event_id, event_link, meet_link from land",
     "event_request": f"with {SLOTTED} select booking_id, {REQUEST.format(people="''")} as request from u",
     "event_requests": f"""with {SLOTTED} select booking_id, {REQUEST.format(people="case when email <> '' then '{\"email\":\"' || email || '\"},' else '' end")} as request from u where event_link is null or event_link = ''""",
-    "merge_responses": f"""with {ACTIONS}, {LANDED}, s as (select booking_id, coalesce(max(case when action in ('confirmed', 'email_sent') then 'confirmed' end), 'pending') as status, arg_max(event_link, at_ts) filter (event_link <> '') as event_link,
-  arg_max(meet_link, at_ts) filter (meet_link <> '') as meet_link from act where event_type <> 'view' group by booking_id),
+    "merge_responses": f"""with {ACTIONS}, {LANDED}, s as (select booking_id, coalesce(max(case when action in ('confirmed', 'email_sent') then 'confirmed' end), 'pending') as status, struct_extract(max({{'at': at_ts, 'link': event_link}}) filter (event_link <> ''), 'link') as event_link,
+  struct_extract(max({{'at': at_ts, 'link': meet_link}}) filter (meet_link <> ''), 'link') as meet_link from act where event_type <> 'view' group by booking_id),
 r as (select * from land qualify row_number() over (partition by booking_id order by at_ts desc, event_link desc) = 1)
 select s.booking_id, case when r.booking_id is not null then 'confirmed' else s.status end as status, coalesce(r.event_link, s.event_link) as event_link, coalesce(r.meet_link, s.meet_link) as meet_link, r.at_ts as confirmed_utc from s left join r using (booking_id)""",
     "linked_share": f"with {BOOKINGS} select created::date::varchar as day, count(*) as n, count(*) filter (event_link <> '') as n_linked from b group by 1",

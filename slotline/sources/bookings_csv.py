@@ -45,6 +45,14 @@ def append_parquet(df: DataFrame, path: str) -> None:
     df.withColumn("intake_date", F.to_date("created_utc")).write.mode("append").partitionBy("intake_date").parquet(path)
 
 
+def rewrite_parquet(versions: list[DataFrame], path: str) -> None:
+    """Rows of several header versions in a new folder, with all their columns in the order first seen."""
+    out = versions[0]
+    for rows in versions[1:]:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    out.write.parquet(path)
+
+
 def truncate_parquet(spark: SparkSession, schema: T.StructType, path: str) -> None:
     """An empty, typed log."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

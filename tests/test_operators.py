@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from slotline.operators import availability as av
 from slotline.operators import bookings as bk
+from slotline.operators import catalogue as cat
 from slotline.operators import outreach as out
 from slotline.operators.slots import slot_calendar
 from slotline.plans import views
@@ -54,6 +55,36 @@ def test_fold(spark):
     assert got[3].event_link == "x" and got[3].confirmed_utc == t + timedelta(1) and got[2].email_sent_utc == t
 
 
+def test_links_of_one_time(spark):
+    """Of links of one time the last in order of text counts, whatever the order of the rows."""
+    t = datetime(2025, 1, 1)
+    rows = [(1, t, "event_created", link, None) for link in ("b", "c", "a", "")]
+    for own in (rows, rows[::-1]):
+        got = bk.booking_state(spark.createDataFrame(own, "booking_id long, at timestamp_ntz, action string, event_link string, meet_link string")).collect()
+        assert [(r.event_link, r.meet_link) for r in got] == [("c", None)]
+
+
+def test_dedup_of_null_keys_and_ties(spark):
+    rows = spark.createDataFrame([(None, "1", "x", 1), (None, "1", "x", 3), (None, "1", None, 9), ("a", "2", "", 4)], "name string, created string, event_link string, id int")
+    assert sorted(r.id for r in bk.dedup_bookings(rows, ["name"], "created", "id").collect()) == [3, 4]
+    assert bk.dedup_bookings(rows.limit(0), ["name"], "created", "id").count() == 0
+
+
+def test_round_robin_of_a_hot_group(spark):
+    """Numbered in chunks as if by one window, with ties, null groups and null numbers."""
+    rows = [("a" if k % 9 else None, None if k % 50 == 0 else k % 200, f"t{k % 7}-{k}") for k in range(500)]
+    df = spark.createDataFrame(rows, "brand string, id long, title string")
+    got = {r.title: r.bucket for r in cat.round_robin(df, "brand", "id", "title", chunk=16).collect()}
+    for group in ("a", None):
+        own = sorted((r for r in rows if r[0] == group), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r[2]] for r in own] == [k % 3 for k in range(len(own))]
+
+
+def test_lookup_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (1, "a", "z"), (1, "a", "y"), (2, "0", "0")], "id int, title string, summary string")
+    assert [tuple(r) for r in cat.lookup(df, 1).collect()] == [(1, "a", "y")] and cat.lookup(df, 3).count() == 0
+
+
 def test_dedup_prefers_the_link_and_repeats_itself(spark):
     rows = spark.createDataFrame([("n", "e", "s", "1", ""), ("n", "e", "s", "2", "x"), ("n", "e", "s", "3", None), ("m", "e", "s", "1", None)], ["name", "email", "slot", "created", "event_link"])
     how = (["name", "email", "slot"], "created", "created")
