@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotline.sources.scratch import new_path, remove
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-@lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="slotline-")
+class Scratch:
+    """Tables written to one folder of the shared one, which cuts their lineage; `drop` removes them all."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, new_path(spark, name)
+        self.tables = 0
 
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        path = f"{self.path}/{self.tables}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    def drop(self) -> None:
+        remove(self.spark, self.path)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/slotline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` to the shared folder and read it back; it stays, as a result may be read at any time."""
+    return Scratch(df.sparkSession, name).put(df, "table")
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on a batch of rows for Python holds about so many bytes at most, however long the rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +57,27 @@ def partitions(spark: SparkSession) -> int:
 
 
 def hashed_share(rows: DataFrame, most: int, *keys: str) -> DataFrame:
-    """About `most` of the rows, those whose hashed keys are in a share of that size; all if there are no more."""
+    """About `most` of the rows, those whose hashed keys are in a share of that size; all if there are no more.
+
+    Name a text or the like among the keys, so that rows of one identifier, or without any, are shared out as well.
+    """
     total = rows.count()
     if total <= most:
         return rows
-    return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(most / total * (1 << 40)))
+    return rows.filter(F.pmod(F.xxhash64(*keys, F.lit("share")), F.lit(1 << 40)) < int(most / total * (1 << 40)))
+
+
+def left_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, most: int = 1000) -> DataFrame:
+    """`rows` with the columns of `table`, which has a row for each key and says in `weight` how many rows have it.
+
+    Keys that a `most`-th of all rows or more have are `most` at most and are broadcast; rows
+    without a key aren't shuffled.
+    """
+    often = F.col(weight) * most >= max(1, total)
+    hot, cold = F.broadcast(table.filter(often)), table.filter(~often)
+    here = rows.join(hot, key, "left")
+    here = here.filter(F.col(key).isNull() | F.col(weight).isNotNull())
+    return here.unionByName(rows.filter(F.col(key).isNotNull()).join(hot, key, "left_anti").join(cold, key, "left"))
 
 
 def free(name: str) -> str:
