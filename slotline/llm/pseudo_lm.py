@@ -3,13 +3,14 @@
 Words (runs between ASCII white space, A-Z lowered; told apart by a 64-bit hash) are counted
 over all texts. Words sorted by count are cut into CLASSES classes of about equal mass, the
 commonest words alone in theirs and words of one count together. A window network, trained
-in numpy, sees the classes of the WINDOW words on either side of a masked word and gives
-P(class | both sides); P(word | class) is the word's share of its class. A text's score is
-the sum of the log probabilities of all its words, each with every other word of its window
-in sight.
+in numpy, sees the WINDOW words on either side of a masked word and predicts it in two
+factors: P(class | both sides), and P(word | class), the word's share of its class. Around
+the masked word it sees the NAMED commonest words as themselves and others as their class:
+these are its tokens. A text's score is the sum of the log probabilities of all its words,
+each with every other word of its window in sight.
 
 Counts cover all texts, and so does the network's training: from weights that the driver
-gets from about TRAIN_DOCS texts of at most TRAIN_BYTES bytes, each task goes once over every
+gets from about TRAIN_DOCS texts (twice as many at most) of at most TRAIN_BYTES bytes, each task goes once over every
 word of its texts, and the tasks' weights are averaged by their words. The vocabulary grows
 with the corpus: tasks get the counts of the HOT commonest words, and all rarer words are
 joined to their counts.
@@ -27,36 +28,25 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import hashed_share, stash, texts
+from slotline.llm.common import hashed_share, small_batches, stash, texts
+from slotline.llm.words import chunks
 
-BUCKETS, HOT, CLASSES, WINDOW = 1 << 18, 1 << 18, 128, 2
+HOT, NAMED, CLASSES, WINDOW = 1 << 18, 1024, 128, 2
 WIDTH, HIDDEN = 16, 32
 TRAIN_DOCS, TRAIN_BYTES, EPOCHS = 1000, 30_000, 2
 BATCH, RATE = 1024, 0.001
-EDGE = CLASSES  # the class beyond a text's ends
-JOINED = 255  # in place of a class: a word whose count is joined
+EDGE = NAMED + CLASSES  # the token beyond a text's ends
+JOINED = 65_535  # in place of a token: a word whose count is joined
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        k = xxhash.xxh64_intdigest(word) - (1 << 63)
-        if len(self) < 500_000 and len(word) < 100:
-            self[word] = k
-        return k
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-_buckets = WordHashes()
+def word_ids(text: str) -> np.ndarray:
+    """A text's words as signed 64-bit hashes."""
+    return np.concatenate([w for *_, w, _ in chunks(pa.array([text]))]).view(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -71,9 +61,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000]), pa.array(n[k : k + 50_000])], ["bucket", "n"])
 
         for b in batches:
-            for t in b.column("text").to_pylist():
-                waiting.append(_buckets.of(t))
-                held += len(waiting[-1])
+            for _, _, words, _ in chunks(b.column("text")):
+                waiting.append(words.view(np.int64))
+                held += len(words)
                 if held >= 1_000_000:
                     yield from met()
                     waiting, held = [], 0
@@ -110,10 +100,13 @@ class Vocabulary:
     mass: np.ndarray  # of each class
     hot: np.ndarray
     hot_n: np.ndarray
+    hot_token: np.ndarray
+    of_token: np.ndarray  # each token's class
     least: int  # words that occur so often are hot
 
 
 def vocabulary(docs: DataFrame, hot: int = HOT) -> Vocabulary:
+    small_batches(docs.sparkSession)
     counts = stash(word_counts(docs), "words")
     got = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()  # as many rows as there are different counts
     n, words = got["n"].to_numpy(), got["words"].to_numpy()
@@ -124,13 +117,25 @@ def vocabulary(docs: DataFrame, hot: int = HOT) -> Vocabulary:
     often = counts.filter(F.col("n") >= least).toArrow()  # `hot` rows at most
     by_hash = np.argsort(often["bucket"].to_numpy())
     classes, within, mass = by_count(n, words)
-    return Vocabulary(counts, n, classes, within, mass, often["bucket"].to_numpy()[by_hash], often["n"].to_numpy()[by_hash], max(1, least))
+    often, often_n = often["bucket"].to_numpy()[by_hash], often["n"].to_numpy()[by_hash]
+    return Vocabulary(counts, n, classes, within, mass, often, often_n, *tokens_of(often_n, classes[np.searchsorted(n, often_n)]), max(1, least))
+
+
+def tokens_of(counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token of each of these words, and each token's class: 0 to NAMED - 1 are the commonest words, further ones all others' classes."""
+    named = np.lexsort((np.arange(len(counts)), -counts))[:NAMED]
+    token = classes.astype(np.uint16) + np.uint16(NAMED)
+    token[named] = np.arange(len(named))
+    of_token = np.concatenate([np.zeros(NAMED, np.uint8), np.arange(CLASSES, dtype=np.uint8)])
+    of_token[: len(named)] = classes[named]
+    return token, of_token
 
 
 @dataclass
 class Model:
-    classes: np.ndarray | Hot  # of each word
+    tokens: np.ndarray | Hot  # of each word
     within: np.ndarray | Hot  # log P(word | class)
+    of_token: np.ndarray  # each token's class
     embed: np.ndarray
     first: np.ndarray
     first_bias: np.ndarray
@@ -139,7 +144,7 @@ class Model:
     vocabulary: Vocabulary | None = None
 
     def tables(self) -> np.ndarray:
-        """For each place in the window, what each class adds to the hidden layer."""
+        """For each place in the window, what each token adds to the hidden layer."""
         return np.stack([self.embed @ self.first[p * WIDTH : (p + 1) * WIDTH] for p in range(2 * WINDOW)])
 
 
@@ -164,12 +169,12 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(c: np.ndarray) -> np.ndarray:
-    """The classes around each word, words x 2 WINDOW."""
+    """The tokens around each word, words x 2 WINDOW."""
     return next(blocks(c, max(1, len(c))))[0]
 
 
 def blocks(c: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The classes around each word and the words' own, so many words at a time; a block's windows reach into its neighbours."""
+    """The tokens around each word and the words' own, so many words at a time; a block's windows reach into its neighbours."""
     padded = np.pad(c.astype(np.int16), WINDOW, constant_values=EDGE)
     for k in range(0, max(1, len(c)), size):
         own = padded[k : k + size + 2 * WINDOW]
@@ -211,14 +216,14 @@ class Trainer:
         z[np.arange(n), y] -= 1
         z *= np.float32(1 / n)
         dh = (z @ second.T) * (1 - h * h)
-        # sums of dh by place and class give the gradients of both embed and first
-        of = (x + np.arange(2 * WINDOW, dtype=np.int16) * (CLASSES + 1)).T.ravel()
+        # sums of dh by place and token give the gradients of both embed and first
+        of = (x + np.arange(2 * WINDOW, dtype=np.int16) * (EDGE + 1)).T.ravel()
         order = np.argsort(of, kind="stable")
         of = of[order]
         begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        sums = np.zeros((2 * WINDOW * (CLASSES + 1), HIDDEN), np.float32)
+        sums = np.zeros((2 * WINDOW * (EDGE + 1), HIDDEN), np.float32)
         sums[of[begin]] = np.add.reduceat(dh.take(order % n, axis=0), begin, axis=0)
-        sums = sums.reshape(2 * WINDOW, CLASSES + 1, HIDDEN)
+        sums = sums.reshape(2 * WINDOW, EDGE + 1, HIDDEN)
         self.step += 1
         for i, g in enumerate(((sums @ places.transpose(0, 2, 1)).sum(axis=0), (embed.T @ sums).reshape(first.shape), dh.sum(axis=0), h.T @ z, z.sum(axis=0))):
             self.m[i] = 0.9 * self.m[i] + 0.1 * g
@@ -230,17 +235,18 @@ def train(chains: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, ba
     """A network trained on these texts alone, at the driver."""
     classes, within = classes_of(counts)
     mass = np.bincount(classes, weights=counts + 0.5, minlength=CLASSES)
-    return Model(classes, within, *start([classes[c] for c in chains if len(c)], mass, epochs, batch, rate, seed))
+    tokens, of_token = tokens_of(counts, classes)
+    return Model(tokens, within, of_token, *start([tokens[c] for c in chains if len(c)], of_token, mass, epochs, batch, rate, seed))
 
 
-def start(chains: list[np.ndarray], mass: np.ndarray, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.003, seed: int = 7) -> list[np.ndarray]:
-    """Weights trained on the classes of a few texts."""
+def start(chains: list[np.ndarray], of_token: np.ndarray, mass: np.ndarray, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.003, seed: int = 7) -> list[np.ndarray]:
+    """Weights trained on the tokens of a few texts."""
     rng = np.random.default_rng(seed)
     f32 = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    p = [f32(CLASSES + 1, WIDTH), f32(2 * WINDOW * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), f32(HIDDEN, CLASSES), np.log((mass + 1e-3) / mass.sum()).astype(np.float32)]
+    p = [f32(EDGE + 1, WIDTH), f32(2 * WINDOW * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), f32(HIDDEN, CLASSES), np.log((mass + 1e-3) / mass.sum()).astype(np.float32)]
     trainer = Trainer(p, rate)
     if chains:
-        x, y = np.concatenate([windows(c) for c in chains]), np.concatenate(chains)
+        x, y = np.concatenate([windows(c) for c in chains]), of_token[np.concatenate(chains)]
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for k in range(0, len(y), batch):
@@ -249,8 +255,8 @@ def start(chains: list[np.ndarray], mass: np.ndarray, epochs: int = EPOCHS, batc
     return trainer.p
 
 
-def train_all(chains: DataFrame, p: list[np.ndarray], batch: int = BATCH, rate: float = RATE) -> list[np.ndarray]:
-    """The weights p trained on by every word of all chains (`classes`: a byte per word).
+def train_all(chains: DataFrame, of_token: np.ndarray, p: list[np.ndarray], batch: int = BATCH, rate: float = RATE) -> list[np.ndarray]:
+    """The weights p trained on by every word of all chains (`tokens`: two bytes per word).
 
     Each task goes once over its chains, from p; the tasks' weights are averaged by their words.
     """
@@ -268,12 +274,12 @@ def train_all(chains: DataFrame, p: list[np.ndarray], batch: int = BATCH, rate:
                 trainer.fit(x[own], y[own])
 
         for b in batches:
-            for c in b.column("classes").to_pylist():
+            for c in b.column("tokens").to_pylist():
                 if not c:
                     continue
-                for x, y in blocks(np.frombuffer(c, np.uint8), 32 * batch):
+                for x, y in blocks(np.frombuffer(c, np.uint16), 32 * batch):
                     xs.append(x)
-                    ys.append(y)
+                    ys.append(of_token[y])
                     held, words = held + len(y), words + len(y)
                     if held >= 32 * batch:
                         steps()
@@ -284,7 +290,7 @@ def train_all(chains: DataFrame, p: list[np.ndarray], batch: int = BATCH, rate:
             flat = np.concatenate([a.ravel() for a in trainer.p]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * words), pa.array(np.full(len(flat), words))], ["place", "weight", "words"])
 
-    got = chains.select("classes").mapInArrow(run, "place long, weight double, words long").groupBy("place").agg((F.sum("weight") / F.sum("words")).alias("weight")).toArrow()
+    got = chains.select("tokens").mapInArrow(run, "place long, weight double, words long").groupBy("place").agg((F.sum("weight") / F.sum("words")).alias("weight")).toArrow()
     if not got.num_rows:
         return p
     flat = np.empty(sum(sizes), np.float32)
@@ -294,70 +300,74 @@ def train_all(chains: DataFrame, p: list[np.ndarray], batch: int = BATCH, rate:
 
 def log_likelihood(model: Model, tables: np.ndarray, buckets: np.ndarray, block: int = 1024) -> float:
     """Sum of the conditional log probabilities of a text's words."""
-    return float(model.within[buckets].sum(dtype=np.float64)) + of_classes(model, tables, model.classes[buckets], block)
+    return float(model.within[buckets].sum(dtype=np.float64)) + of_classes(model, tables, model.tokens[buckets], block)
 
 
 def of_classes(model: Model, tables: np.ndarray, c: np.ndarray, block: int = 1024) -> float:
-    """Sum of the log probabilities of a text's classes."""
+    """Sum of the log probabilities of the classes of a text's tokens c."""
     total = 0.0
     for x, y in blocks(c, block):
         z, _, sums = exponents(hidden(tables, model.first_bias, x), model.second, model.second_bias)
-        total += float((z[np.arange(len(y)), y] - np.log(sums)).sum(dtype=np.float64))
+        total += float((z[np.arange(len(y)), model.of_token[y]] - np.log(sums)).sum(dtype=np.float64))
     return total
 
 
-CHAINS = "row long, doc_id long, bytes long, n_words long, within double, classes binary, places binary"
+CHAINS = "row long, doc_id long, bytes long, n_words long, within double, tokens binary, places binary"
 
 
 def chains_of(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """For each text doc_id, bytes, n_words, within (its words' summed log shares) and classes (a byte per word).
+    """For each text doc_id, bytes, n_words, within (its words' summed log shares) and tokens (two bytes per word).
 
     A text's rare words go to their counts as rows of their own (row, word, k: the word's place
     among the text's rare words) and come back as a list; `places` says where they stand.
     """
-    hot = Hot(v.hot, np.searchsorted(v.n, v.hot_n).astype(np.int32), -1)
+    hot = Hot(v.hot, np.arange(len(v.hot), dtype=np.int32), -1)
+    shares = np.append(v.within[np.searchsorted(v.n, v.hot_n)].astype(np.float64), 0)  # the last ones are for rare words
+    tokens = np.append(v.hot_token, np.uint16(JOINED))
     classes, within = v.classes, v.within.astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for start_ in range(0, whole.num_rows, 1000):
-                b, out, rare = whole.slice(start_, 1000), [], []
-                for t in b.column("text").to_pylist():
-                    words = _buckets.of(t)
-                    at = hot[words]
-                    gone = np.flatnonzero(at < 0)
-                    c = classes[at]
-                    share, places = within[at], b""
-                    if len(gone):
-                        c[gone], share[gone] = JOINED, 0
-                        of, place = np.unique(words[gone], return_inverse=True)
-                        places = place.astype(np.int32).tobytes()
-                        rare.append((np.full(len(of), row), of, np.arange(len(of))))
-                    out.append((row, len(t.encode()), len(words), float(share.sum()), c.tobytes(), places))
-                    row += 1
-                r, size, n, share, c, places = zip(*out, strict=True)
-                none = lambda kind, m=len(out): pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(c, pa.binary()), pa.array(places, pa.binary()), none(pa.int64()), none(pa.int64())], names)
-                if rare:
-                    r, of, k = (np.concatenate(x) for x in zip(*rare, strict=True))
-                    none = lambda kind, m=len(r): pa.nulls(m, kind)
-                    yield pa.RecordBatch.from_arrays([pa.array(r), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.binary()), none(pa.binary()), pa.array(of), pa.array(k)], names)
+        for b in batches:
+            size = pc.binary_length(b.column("text"))
+            for first, last, words, cuts in chunks(b.column("text")):
+                at, m = hot[words.view(np.int64)], last - first
+                gone = np.flatnonzero(at < 0)
+                c, share = tokens[at], shares[at]
+                sums = np.diff(np.concatenate([[0.0], np.cumsum(share)])[cuts])
+                # each text's rare words: which different ones it has, and which of them stands where
+                text = np.searchsorted(cuts, gone, "right") - 1
+                order = np.lexsort((words[gone], text))
+                text, rare = text[order], words[gone][order]
+                new = np.ones(len(rare), bool)
+                new[1:] = (text[1:] != text[:-1]) | (rare[1:] != rare[:-1])
+                number = np.cumsum(new) - 1
+                begin = np.searchsorted(text[new], np.arange(m + 1))
+                place = np.empty(len(rare), np.int32)
+                place[order] = number - begin[text]
+                met = np.searchsorted(gone, cuts)
+                none = lambda kind, k=m: pa.nulls(k, kind)
+                part = lambda x, ends: pa.array([x[i:j].tobytes() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(m)), b.column("doc_id").slice(first, m), size.slice(first, m).cast(pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(sums), part(c, cuts), part(place, met), none(pa.int64()), none(pa.int64())], names)
+                if len(rare):
+                    none = lambda kind, k=int(new.sum()): pa.nulls(k, kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(row + text[new]), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.binary()), none(pa.binary()), pa.array(rare[new].view(np.int64)), pa.array((number - begin[text])[new])], names)
+                row += m
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for c, places, share, came in zip(*(b.column(x).to_pylist() for x in ("classes", "places", "within", "came")), strict=True):
-                c, came = np.frombuffer(c, np.uint8).copy(), np.array(came, np.int64)
+            for c, places, share, came in zip(*(b.column(x).to_pylist() for x in ("tokens", "places", "within", "came")), strict=True):
+                c, came = np.frombuffer(c, np.uint16).copy(), np.array(came, np.int64)
                 count = np.empty(len(came), np.int64)
                 count[came >> 32] = came & 0xFFFFFFFF
                 at = np.searchsorted(v_n, count)[np.frombuffer(places, np.int32)]
-                c[c == JOINED] = classes[at]
+                c[c == JOINED] = classes[at].astype(np.uint16) + np.uint16(NAMED)
                 out.append((share + float(within[at].sum()), c.tobytes()))
             share, c = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept[:3]), pa.array(share, pa.float64()), pa.array(c, pa.binary())], kept)
 
-    kept, v_n = ["doc_id", "bytes", "n_words", "within", "classes"], v.n
+    kept, v_n = ["doc_id", "bytes", "n_words", "within", "tokens"], v.n
     names = ["row", *kept, "places", "bucket", "k"]
     sent = stash(texts(docs).mapInArrow(run, f"{CHAINS}, bucket long, k long"), "chains")
     rows = sent.filter("bucket is null")
@@ -365,8 +375,8 @@ def chains_of(docs: DataFrame, v: Vocabulary) -> DataFrame:
     known = v.counts.filter(F.col("n") < v.least)
     came = rare.join(known, "bucket", "left").select("row", (F.shiftleft("k", 32) + F.coalesce("n", F.lit(0))).alias("one"))
     came = came.groupBy("row").agg(F.collect_list("one").alias("came"))
-    joined = rows.filter("length(places) > 0").join(came, "row").select(*kept, "places", "came").mapInArrow(fill, "doc_id long, bytes long, n_words long, within double, classes binary")
-    return stash(rows.filter("length(places) = 0").select(*kept).union(joined), "classes")
+    joined = rows.filter("length(places) > 0").join(came, "row").select(*kept, "places", "came").mapInArrow(fill, "doc_id long, bytes long, n_words long, within double, tokens binary")
+    return stash(rows.filter("length(places) = 0").select(*kept).union(joined), "tokens")
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, hot: int = HOT) -> Model:
@@ -376,26 +386,26 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_
 
 
 def fit_chains(v: Vocabulary, chains: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
-    rows = hashed_share(chains, train_docs, "doc_id", "classes").filter(F.col("bytes") <= train_bytes)
-    sample = rows.orderBy(F.xxhash64("doc_id", "classes"), "doc_id").limit(2 * train_docs).select("classes").toArrow()
-    first = start([np.frombuffer(c, np.uint8) for c in sample["classes"].to_pylist() if c], v.mass)
-    at = np.searchsorted(v.n, v.hot_n)
-    return Model(Hot(v.hot, v.classes[at], v.classes[0]), Hot(v.hot, v.within[at], v.within[0]), *train_all(chains, first), v)
+    rows = hashed_share(chains, train_docs, "doc_id", "tokens").filter(F.col("bytes") <= train_bytes)
+    sample = rows.orderBy(F.xxhash64("doc_id", "tokens"), "doc_id").limit(2 * train_docs).select("tokens").toArrow()
+    first = start([np.frombuffer(c, np.uint16) for c in sample["tokens"].to_pylist() if c], v.of_token, v.mass)
+    within = v.within[np.searchsorted(v.n, v.hot_n)]
+    return Model(Hot(v.hot, v.hot_token, v.classes[0] + np.uint16(NAMED)), Hot(v.hot, within, v.within[0]), v.of_token, *train_all(chains, v.of_token, first), v)
 
 
 def score_chains(chains: DataFrame, model: Model) -> DataFrame:
-    saved = pickle.dumps(replace(model, classes=None, within=None, vocabulary=None))
+    saved = pickle.dumps(replace(model, tokens=None, within=None, vocabulary=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(saved)
         tables = model.tables()
         for b in batches:
             n = b.column("n_words")
-            got = [share + of_classes(model, tables, np.frombuffer(c, np.uint8)) if c else 0.0 for c, share in zip(b.column("classes").to_pylist(), b.column("within").to_pylist(), strict=True)]
+            got = [share + of_classes(model, tables, np.frombuffer(c, np.uint16)) if c else 0.0 for c, share in zip(b.column("tokens").to_pylist(), b.column("within").to_pylist(), strict=True)]
             mean = np.array(got) / np.maximum(1, n.to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(got, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-    return chains.select("doc_id", "n_words", "within", "classes").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    return chains.select("doc_id", "n_words", "within", "tokens").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

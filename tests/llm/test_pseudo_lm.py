@@ -8,13 +8,13 @@ def test_counts_cover_all_texts(spark, odd_docs):
     got = {r.bucket: r.n for r in lm.word_counts(odd_docs).collect()}
     want = {}
     for r in odd_docs.collect():
-        for k in lm._buckets.of(r.text or "").tolist():
+        for k in lm.word_ids(r.text or "").tolist():
             want[k] = want.get(k, 0) + 1
     assert got == want
 
 
 def test_classes_are_of_like_mass():
-    counts = np.zeros(lm.BUCKETS)
+    counts = np.zeros(200_000)
     counts[:5000] = 1e6 / np.arange(1, 5001)
     classes, within = lm.classes_of(counts)
     for c in np.unique(classes)[:20]:
@@ -23,12 +23,14 @@ def test_classes_are_of_like_mass():
 
 def test_likelihood_equals_plain_sums():
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 5, lm.BUCKETS)
-    model = lm.train([rng.integers(0, lm.BUCKETS, 300)], counts, epochs=1)
-    words = rng.integers(0, lm.BUCKETS, 7)
-    c, total = model.classes[words].astype(int), 0.0
+    counts = rng.integers(0, 5, 4000)
+    model = lm.train([rng.integers(0, 4000, 300)], counts, epochs=1)
+    words = rng.integers(0, 4000, 7)
+    tokens, total = model.tokens[words].astype(int), 0.0
+    c = model.of_token[tokens].astype(int)
+    assert (tokens < lm.NAMED).any() and (tokens >= lm.NAMED).any()
     for t in range(7):
-        around = [c[t + d] if 0 <= t + d < 7 else lm.EDGE for d in (-2, -1, 1, 2)]
+        around = [tokens[t + d] if 0 <= t + d < 7 else lm.EDGE for d in (-2, -1, 1, 2)]
         h = np.tanh(np.concatenate([model.embed[x] for x in around]) @ model.first + model.first_bias)
         z = (h @ model.second + model.second_bias).astype(float)
         total += z[c[t]] - np.logaddexp.reduce(z) + model.within[words[t]]
@@ -41,13 +43,14 @@ def test_both_sides_help(spark):
     model = lm.fit(docs.filter("doc_id % 4 <> 2"))
     known, texts = ([r.text for r in docs.filter(f"doc_id % 4 {x} 2").collect()] for x in ("<>", "="))
     tables = model.tables()
-    share = np.bincount(np.concatenate([model.classes[lm._buckets.of(t)] for t in known]), minlength=lm.CLASSES) + 1.0
+    classes = lambda t: model.of_token[model.tokens[lm.word_ids(t)]]
+    share = np.bincount(np.concatenate([classes(t) for t in known]), minlength=lm.CLASSES) + 1.0
     log_share = np.log(share / share.sum())
     net = alone = 0.0
     for t in texts:
-        w = lm._buckets.of(t)
+        w = lm.word_ids(t)
         net += lm.log_likelihood(model, tables, w)
-        alone += float((log_share[model.classes[w]] + model.within[w]).sum())
+        alone += float((log_share[classes(t)] + model.within[w]).sum())
     assert net > alone
 
 
@@ -68,13 +71,13 @@ def test_network_learns_from_all_texts(spark):
     assert len(passage * 2500) > lm.TRAIN_BYTES
     model = lm.fit(docs)
     v = model.vocabulary
-    bounded = lm.Model(model.classes, model.within, *lm.start([model.classes[lm._buckets.of(t)] for _, t in noise], v.mass), v)
-    near, far = (lm.log_likelihood(m, m.tables(), lm._buckets.of(passage)) for m in (model, bounded))
+    bounded = lm.Model(model.tokens, model.within, v.of_token, *lm.start([model.tokens[lm.word_ids(t)] for _, t in noise], v.of_token, v.mass), v)
+    near, far = (lm.log_likelihood(m, m.tables(), lm.word_ids(passage)) for m in (model, bounded))
     assert near > far + 60
 
 
 def test_windows_of_blocks_reach_across():
-    c = np.random.default_rng(1).integers(0, lm.CLASSES, 50).astype(np.uint8)
+    c = np.random.default_rng(1).integers(0, lm.EDGE, 50).astype(np.uint16)
     parts = list(lm.blocks(c, 7))
     assert (np.concatenate([x for x, _ in parts]) == lm.windows(c)).all() and (np.concatenate([y for _, y in parts]) == c).all()
 
@@ -89,13 +92,13 @@ def test_every_word_has_its_own_count(spark):
         for w in r.text.split():
             want[w] = want.get(w, 0) + 1
     v = lm.vocabulary(docs, hot=50)
-    assert len(want) > lm.BUCKETS and v.counts.count() == len(want) and len(v.hot) <= 50
+    assert len(want) > 250_000 and v.counts.count() == len(want) and len(v.hot) <= 50
     got = lm.chains_of(docs, v).collect()
     place = {int(n): k for k, n in enumerate(v.n)}
     by_id = {r.doc_id: r for r in got}
     assert len(got) == len(rows) + 2
     for doc_id, text in [*rows[:20:7], (None, "the the x1y1 x1y1 new")]:
         at = [place[want[w]] for w in text.split()]
-        assert list(by_id[doc_id].classes) == v.classes[at].tolist() and np.isclose(by_id[doc_id].within, v.within[at].astype(float).sum(), rtol=1e-4)
+        assert v.of_token[np.frombuffer(by_id[doc_id].tokens, np.uint16)].tolist() == v.classes[at].tolist() and np.isclose(by_id[doc_id].within, v.within[at].astype(float).sum(), rtol=1e-4)
     share = np.bincount(v.classes[[place[n] for n in want.values()]], weights=np.exp([float(v.within[place[n]]) for n in want.values()]), minlength=lm.CLASSES)
     assert all(np.isclose(x, 1, atol=1e-2) for x in share if x)
