@@ -8,16 +8,25 @@ Four pieces of evidence on a row's language are multiplied:
 - the host: P(language | host), smoothed towards its site, the site towards all rows.
 
 The tables of the last three are grouped aggregations of the text's own posteriors over
-all rows. `und` stands for none of the languages: it has the likelihood of a text whose
-grams are MARGIN nats worse each than the worst texts learned from, or that has no letters.
-A row is rejected if `und` is likeliest.
+all rows; what a row itself gave to them is taken out when it is judged, so that no text
+counts twice. `und` stands for none of the languages: it has the likelihood of a text whose
+grams are MARGIN nats worse each than those of the LOW-quantile of the texts learned from
+with SURE grams or more (of all of them, if none is as long), or that has no letters. A row
+is rejected if `und` is likeliest.
+
+Declared languages are of two or three letters and suffixes of two, so that their tables
+have a few thousand rows at most and are broadcast. Hosts are joined; those that hold a
+thousandth of all rows or more, which are a thousand at most, are broadcast.
 
 Bounds of the training sample (the only sample here): about TRAIN_DOCS labelled texts, a
-share of all by hashed id, of at most TRAIN_BYTES bytes. Everything else covers all rows.
+share of all by hashed id and text, of at most TRAIN_BYTES bytes, and no more than twice
+TRAIN_DOCS. Everything else covers all rows.
 
 Defined cases. A null or empty text has no letters and is `und`. Null or unreadable declared
-languages, suffixes and hosts are no evidence. Null ids stay null; repeated rows are judged
-each for itself. Without any labelled text every row is `und`.
+languages, suffixes and hosts are no evidence; a site counts by its hosts, so that a row
+without a host has none. Null ids stay null; repeated rows are judged each for itself. Of
+languages that are equally likely the first by name is given. Without any labelled text
+every row is `und`.
 """
 
 from __future__ import annotations
@@ -31,11 +40,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import free, hashed_share, stash
+from slotline.llm.common import free, hashed_share, left_join, stash
 
 TRAIN_DOCS, TRAIN_BYTES = 2000, 30_000
 GRAMS = 1 << 15
-DAMP, MOST, MARGIN = 0.3, 200.0, 1.5
+DAMP, MOST, MARGIN = 0.3, 200.0, 1.75
+LOW, SURE = 0.01, 400
 PRIOR_ROWS = 5.0
 UND = "und"
 _LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
@@ -74,17 +84,18 @@ def train(texts: list[bytes], labels: list[str]) -> Model:
     for ids, lang in zip(found, labels, strict=True):
         counts[:, languages.index(lang)] += np.bincount(ids, minlength=GRAMS)
     table = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * GRAMS)).astype(np.float32)
-    own = [float(table[ids].mean(axis=0).max()) for ids in found]
-    return Model(languages, table, float(np.min(own)) - MARGIN if own else 0.0)
+    own = np.array([table[ids].mean(axis=0).max() for ids in found])
+    sure = np.array([len(ids) >= SURE for ids in found], bool)
+    return Model(languages, table, float(np.quantile(own[sure] if sure.any() else own, LOW)) - MARGIN if len(own) else 0.0)
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
     """A model from a bounded sample of the rows of `docs` (doc_id, text, lang) that name a language."""
     lang = F.lower(F.trim(F.col("lang").cast("string")))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    rows = hashed_share(rows.filter((F.length("lang") > 0) & (F.col("lang") != UND)), train_docs, "doc_id")
+    rows = hashed_share(rows.filter((F.length("lang") > 0) & (F.col("lang") != UND)), train_docs, "doc_id", "text")
     rows = rows.filter(F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= train_bytes))
-    got = rows.orderBy("doc_id", F.xxhash64("text")).limit(2 * train_docs).toPandas()
+    got = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * train_docs).toPandas()
     return train([t.encode() for t in got["text"]], got["lang"].tolist())
 
 
@@ -109,44 +120,42 @@ def _softmax(logs: Column) -> Column:
 
 
 def fuse(rows: DataFrame, model: Model) -> DataFrame:
-    """id, lang, confidence, rejected, and the share each piece of evidence has in the log odds.
+    """id, lang, confidence and rejected.
 
     `rows`: id, text, declared, suffix, site, host; any of them may be null.
     """
     names = [*model.languages, UND]
     n = len(names)
-    seen = text_evidence(rows, model).withColumn("post", _softmax(F.col("seen")))
-    seen = stash(seen, "langid")
-    sums = [F.sum(F.col("post")[k]).alias(f"s{k}") for k in range(n)]
-
-    def gather(key: str) -> DataFrame:
-        return seen.filter(F.col(key).isNotNull()).groupBy(key).agg(*sums)
-
-    total = seen.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"s{k}") for k, s in enumerate(sums)]).first()
-    rows_in_all = sum(total) or 1.0
-    share = [(x + 1.0) / (rows_in_all + n) for x in total]
+    vocabulary = lambda c, letters: F.when(F.col(c).rlike(f"^[a-z]{letters}$"), F.col(c)).alias(c)
+    rows = rows.select("id", "text", vocabulary("declared", "{2,3}"), vocabulary("suffix", "{2}"), "site", "host")
+    seen = stash(text_evidence(rows, model).withColumn("post", _softmax(F.col("seen"))), "langid")
+    sums = F.array(*[F.coalesce(F.sum(F.col("post")[k]), F.lit(0.0)) for k in range(n)])
+    total, all_rows = seen.agg(sums, F.count(F.lit(1))).first()
 
     def given(key: str) -> DataFrame:
-        """log P(value | language) for each value of a small vocabulary."""
-        logs = [F.log((F.col(f"s{k}") + 0.5) / F.lit(total[k] + 50.0)) for k in range(n)]
-        return gather(key).select(key, F.array(*logs).alias(f"{key}_log"))
-
-    def smoothed(counts: DataFrame, towards: list[Column]) -> list[Column]:
-        size = sum((F.col(f"s{k}") for k in range(n)), F.lit(0.0))
-        return [(F.col(f"s{k}") + PRIOR_ROWS * towards[k]) / (size + PRIOR_ROWS) for k in range(n)]
-
-    sites = gather("site")
-    sites = sites.select("site", F.array(*smoothed(sites, [F.lit(x) for x in share])).alias("site_prior"))
-    hosts = seen.filter(F.col("host").isNotNull()).groupBy("host").agg(F.min("site").alias("site"), *sums)
-    hosts = hosts.join(sites, "site", "left").withColumn("towards", F.coalesce("site_prior", F.array(*[F.lit(x) for x in share])))
-    hosts = hosts.select("host", F.array(*smoothed(hosts, [F.col("towards")[k] for k in range(n)])).alias("host_prior"))
-
-    out = seen.join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left")
-    out = out.join(sites, "site", "left").join(hosts, "host", "left")
-    prior = F.coalesce("host_prior", "site_prior", F.array(*[F.lit(x) for x in share]))
-    none = F.array(*[F.lit(0.0)] * n)
-    logs = F.zip_with(F.zip_with("seen", F.transform(prior, lambda x: F.log(x)), lambda a, b: a + b), F.zip_with(F.coalesce("declared_log", none), F.coalesce("suffix_log", none), lambda a, b: a + b), lambda a, b: a + b)
-    out = out.withColumn("fused", _softmax(logs)).withColumn("best", F.array_max("fused"))
+        """The posteriors' sums for each value of a small vocabulary."""
+        return F.broadcast(seen.filter(F.col(key).isNotNull()).groupBy(key).agg(sums.alias(f"{key}_sums")))
+
+    hosts = seen.filter(F.col("host").isNotNull()).groupBy("host").agg(F.min("site").alias("site"), sums.alias("host_sums"), F.count(F.lit(1)).alias("host_rows"))
+    hosts = stash(hosts, "hosts")
+    sites = hosts.filter(F.col("site").isNotNull()).groupBy("site").agg(F.array(*[F.sum(F.col("host_sums")[k]) for k in range(n)]).alias("site_sums"), F.sum("host_rows").alias("site_rows"), F.count(F.lit(1)).alias("site_hosts"))
+    hosts = left_join(hosts, sites, "site", "site_hosts", hosts.count()).drop("site", "site_hosts")
+    out = left_join(seen.drop("site"), hosts, "host", "host_rows", all_rows)
+    out = out.join(given("declared"), "declared", "left").join(given("suffix"), "suffix", "left")
+
+    def others(of: Column, k: int) -> Column:
+        """The sum less what the row itself gave."""
+        return F.greatest(F.lit(0.0), of - F.col("post")[k])
+
+    logs = []
+    for k in range(n):
+        prior = (others(F.lit(total[k]), k) + 1.0) / (all_rows - 1.0 + n)
+        for level in ("site", "host"):
+            own = (others(F.col(f"{level}_sums")[k], k) + PRIOR_ROWS * prior) / (F.col(f"{level}_rows") - 1 + PRIOR_ROWS)
+            prior = F.coalesce(own, prior)
+        told = [F.coalesce(F.log((others(F.col(f"{key}_sums")[k], k) + 0.5) / (others(F.lit(total[k]), k) + 50.0)), F.lit(0.0)) for key in ("declared", "suffix")]
+        logs.append(F.col("seen")[k] + F.log(prior) + told[0] + told[1])
+    out = out.withColumn("fused", _softmax(F.array(*logs))).withColumn("best", F.array_max("fused"))
     lang = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("fused", F.col("best")).cast("int"))
     return out.select("id", lang.alias("lang"), F.round("best", 6).alias("confidence"), (lang == UND).alias("rejected"))
 
