@@ -1,13 +1,20 @@
 """Quality classifier: a linear-chain conditional random field over a text's lines.
 
 Every line is labelled good or bad. Its features are its own, its neighbours' and whether
-it has any; the chain adds a 2 x 2 transition. Training gives each line of a labelled text
-the text's label. The marginals of forward-backward, weighted with line lengths, are
-averaged into the text's quality, which a logistic curve fitted on the training texts maps
-to a score.
+it has any; the chain adds a 2 x 2 transition. The marginals of forward-backward, weighted
+with line lengths, are averaged into the text's quality, which a logistic curve fitted on
+the training texts maps to a score.
+
+Texts are labelled, lines aren't: a bad text may hold good lines. So training starts from
+lines that have their text's label, by their own features alone, and goes on by expectation and maximisation with
+constrained posteriors: lines keep what forward-backward says of them, but for a tilt, as
+small as can be and in proportion to their length, that brings the quality of a good text
+to GOOD_FROM or more and that of a bad one to BAD_TO or less; these expectations of lines
+and of transitions are what the next weights are fitted to.
 
 Bounds of the training sample (the only sample here): about TRAIN_DOCS labelled texts, a
-share of all by hashed id, of at most TRAIN_BYTES bytes. Scoring reads every whole text.
+share of all by hashed id, of at most TRAIN_BYTES bytes, and no more than twice TRAIN_DOCS.
+Scoring reads every whole text.
 
 Defined cases. A null text is empty: one empty line. A null doc_id isn't held out. Labels
 repeated for a doc_id count once, as the smallest; null labels don't count. Without any
@@ -29,6 +36,7 @@ from pyspark.sql import functions as F
 from slotline.llm.common import hashed_share, texts
 
 TRAIN_DOCS, TRAIN_BYTES = 4000, 30_000
+GOOD_FROM, BAD_TO = 0.9, 0.5
 THRESHOLD = 0.7
 OWN = 13
 SCORED = "doc_id long, score double, lines array<struct<start:long,length:long,p_good:double>>"
@@ -105,8 +113,8 @@ class Model:
     change: np.ndarray  # 2 x 2, from label to label
     curve: tuple[float, float]  # slope and place of the logistic curve
 
-    def marginals(self, chains: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """P(good) of each line, expected transitions in all, and each chain's log partition.
+    def marginals(self, chains: list[np.ndarray], tilt: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """P(good) of each line, expected transitions in all, and each chain's log partition; `tilt` is added to the lines' scores.
 
         All chains move together, longest first; a step handles those that are as long.
         """
@@ -114,7 +122,7 @@ class Model:
         size = np.array([len(chains[i]) for i in order])
         unary = np.zeros((len(order), int(size[0]), 2))
         for row, i in enumerate(order):
-            unary[row, : size[row], 1] = chains[i] @ self.weights
+            unary[row, : size[row], 1] = chains[i] @ self.weights + (0 if tilt is None else tilt[i])
         alpha, beta, live = np.zeros_like(unary), np.zeros_like(unary), np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
         alpha[:, 0] = unary[:, 0]
         for t in range(1, size[0]):
@@ -139,13 +147,28 @@ class Model:
 
 
 def quality(good: np.ndarray, size: np.ndarray) -> float:
-    """Length-weighted mean of the log odds of the lines' marginals."""
-    p = np.clip(good, 1e-4, 1 - 1e-4)
-    return float((np.log(p / (1 - p)) * size).sum() / size.sum())
-
-
-def train(texts_: list[bytes], labels: np.ndarray, steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Model:
-    """Maximum likelihood by Adam over the whole sample, then the logistic curve on its qualities."""
+    """Length-weighted mean of the lines' marginals."""
+    return float((good * size).sum() / size.sum())
+
+
+def constrained(model: Model, chains: list[np.ndarray], sizes: list[np.ndarray], good_texts: bool, halvings: int = 8) -> tuple[list[np.ndarray], np.ndarray]:
+    """P(good) of the lines of texts of one label, and expected transitions, with the smallest tilt that keeps their qualities' bound."""
+    sign, bound = (1, GOOD_FROM) if good_texts else (-1, BAD_TO)
+    shape = [s / s.mean() for s in sizes]
+    low, high = np.zeros(len(chains)), np.full(len(chains), 40.0)  # the bound is kept at `high`
+    for _ in range(halvings):
+        mid = (low + high) / 2
+        got, _, _ = model.marginals(chains, [sign * m * x for m, x in zip(mid, shape, strict=True)])
+        kept = np.array([sign * (quality(g, s) - bound) >= 0 for g, s in zip(got, sizes, strict=True)])
+        low, high = np.where(kept, low, mid), np.where(kept, mid, high)
+    free, _, _ = model.marginals(chains)
+    high[[sign * (quality(g, s) - bound) >= 0 for g, s in zip(free, sizes, strict=True)]] = 0
+    got, pairs, _ = model.marginals(chains, [sign * m * x for m, x in zip(high, shape, strict=True)])
+    return got, pairs
+
+
+def train(texts_: list[bytes], labels: np.ndarray, steps: int = 40, rounds: int = 8, again: int = 12, rate: float = 0.1, penalty: float = 1e-3) -> Model:
+    """Maximum likelihood by Adam over the whole sample, in `rounds` rounds of expectations after the first, then the logistic curve on its qualities."""
     found = [line_features(t) for t in texts_]
     chains, sizes = [with_neighbours(own) for own, _ in found], [size for _, size in found]
     width = 3 * OWN + 3
@@ -154,26 +177,38 @@ def train(texts_: list[bytes], labels: np.ndarray, steps: int = 150, rate: float
     if not 0 < share < 1 or not len(labels):
         return Model(model.weights, model.change, (0.0 if share == 0.5 else 1.0, -40.0 if share == 1 else 40.0 if share == 0 else 0.0))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))  # both labels count alike
-    sums = sum(w * c.sum(axis=0) * y for c, y, w in zip(chains, labels, weight, strict=True))
     lines = sum(map(len, chains))
-    steps_in = [sum(w * (len(c) - 1) for c, w, y in zip(chains, weight, labels, strict=True) if y == label) for label in (0, 1)]
-    seen = np.diag(steps_in)
     parts = []
     for label in (0, 1):
         own = np.flatnonzero(labels == label)
         parts += [own[p] for p in groups([len(chains[i]) for i in own])]
-    m, v = [np.zeros(width + 4) for _ in range(2)]
-    for step in range(1, steps + 1):
-        slope, moved = -sums / lines, -seen / lines
-        for part in parts:
-            w = weight[part[0]]
-            good, pairs, _ = model.marginals([chains[i] for i in part])
-            slope = slope + w * np.concatenate([chains[i] for i in part]).T @ np.concatenate(good) / lines
-            moved = moved + w * pairs / lines
-        g = np.concatenate([slope, moved.ravel()]) + penalty * np.concatenate([model.weights, model.change.ravel()])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        by = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        model.weights, model.change = model.weights - by[:width], model.change - by[width:].reshape(2, 2)
+    stacked = [np.concatenate([chains[i] for i in part]) for part in parts]
+
+    def maximise(wanted: np.ndarray, seen: np.ndarray | None, steps: int) -> None:
+        """Adam towards expected features and transitions (None: only a line's own features move)."""
+        m, v = [np.zeros(width + 4) for _ in range(2)]
+        for step in range(1, steps + 1):
+            slope, moved = -wanted / lines, np.zeros((2, 2)) if seen is None else -seen / lines
+            for part, rows in zip(parts, stacked, strict=True):
+                w = weight[part[0]]
+                good, pairs, _ = model.marginals([chains[i] for i in part])
+                slope = slope + w * rows.T @ np.concatenate(good) / lines
+                moved = moved if seen is None else moved + w * pairs / lines
+            if seen is None:
+                slope[OWN:-1] = 0
+            g = np.concatenate([slope, moved.ravel()]) + penalty * np.concatenate([model.weights, model.change.ravel()])
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            by = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            model.weights, model.change = model.weights - by[:width], model.change - by[width:].reshape(2, 2)
+
+    wanted = sum(w * c.sum(axis=0) * y for c, y, w in zip(chains, labels, weight, strict=True))
+    maximise(wanted, None, steps)  # lines that all have their text's label would only teach the chain to stay, and to follow neighbours
+    for _ in range(rounds):
+        wanted, seen = np.zeros(width), np.zeros((2, 2))
+        for part, rows in zip(parts, stacked, strict=True):
+            got, pairs = constrained(model, [chains[i] for i in part], [sizes[i] for i in part], bool(labels[part[0]]))
+            wanted, seen = wanted + weight[part[0]] * rows.T @ np.concatenate(got), seen + weight[part[0]] * pairs
+        maximise(wanted, seen, again)
     q = np.empty(len(chains))
     for part in parts:
         good, _, _ = model.marginals([chains[i] for i in part])
@@ -200,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     known = known.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     short = texts(docs).filter(F.octet_length("text") <= train_bytes)
     chosen = hashed_share(known, train_docs, "doc_id")  # a bounded number of ids
-    rows = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "text").limit(2 * train_docs)
+    chosen = chosen.orderBy(F.xxhash64("doc_id")).limit(2 * train_docs)
+    rows = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * train_docs)
     got = rows.toPandas()
     return train([t.encode() for t in got["text"]], got["quality"].to_numpy(float))
 

@@ -43,6 +43,34 @@ def test_held_out_accuracy(spark):
     assert len(held) > 50 and np.mean([p == y for p, y in held]) >= 0.95
 
 
+def test_lines_of_both_labels():
+    """Bad texts in which good lines stand between junk: the lines get labels of their own, and the texts stay bad."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("aeinrst"), rng.integers(2, 8)))
+    good = lambda: " ".join(word() for _ in range(12)).capitalize() + "."
+    junk = lambda: " | ".join(word().upper() + "!!" for _ in range(12))
+    texts = ["\n".join(good() for _ in range(8)) for _ in range(60)] + ["\n".join(junk() for _ in range(8)) for _ in range(30)]
+    mixed = ["\n".join(x for _ in range(4) for x in (junk(), good())) for _ in range(30)]
+    model = qc.train([t.encode() for t in texts + mixed], np.repeat([1.0, 0.0], 60))
+    right, scores = [], []
+    for t in mixed:
+        own, size = qc.line_features(t.encode())
+        p = model.marginals([qc.with_neighbours(own)])[0][0]
+        right += ((p >= 0.5) == [False, True] * 4).tolist()
+        scores.append(model.score(qc.quality(p, size)))
+    assert np.mean(right) > 0.9 and max(scores) < 0.5
+
+
+def test_constraints_hold():
+    rng = np.random.default_rng(0)
+    model = qc.Model(rng.normal(size=4), rng.normal(size=(2, 2)), (1.0, 0.0))
+    chains = [rng.normal(size=(n, 4)) for n in (1, 5, 3, 2)]
+    sizes = [rng.integers(1, 9, len(c)) for c in chains]
+    for label, holds in ((True, lambda q: q >= qc.GOOD_FROM), (False, lambda q: q <= qc.BAD_TO)):
+        got, pairs = qc.constrained(model, chains, sizes, label)
+        assert all(holds(qc.quality(g, s)) for g, s in zip(got, sizes, strict=True)) and np.isclose(pairs.sum(), 0 + 4 + 2 + 1)
+
+
 def test_odd_rows(odd_docs, no_docs, odd_labels, no_labels):
     for labels in (odd_labels, no_labels):
         got = qc.classify(odd_docs, labels).collect()
