@@ -5,9 +5,9 @@
 RATE by UP/DOWN, overlapped Hann frames, a log-mel filterbank, and speech segments by
 hysteresis on the frame energy (a segment opens above HIGH and closes below LOW standard
 deviations over the file's mean). Log-mel frames are dealt into windows of a fixed shape
-FRAMES x MELS, each with its time span; `tensors` turns the column into an Arrow
-fixed-shape tensor array. Every file is analysed whole, and alone, so equal payloads give
-equal values.
+FRAMES x MELS, each with its time span, and stored in the `tensors` column as an Arrow
+stream whose type is a fixed-shape tensor (Spark has no such type of its own); `read_tensors`
+gives them back. Every file is analysed whole, and alone, so equal payloads give equal values.
 
 Defined cases. A null text is an empty payload, stored as 64 zero bytes. A null doc_id stays
 null. Repeated rows are analysed once each. A file shorter than one frame is padded to one
@@ -22,18 +22,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import texts
+from slotline.llm.common import small_batches, texts
 
-BLOCK, RATE, UP, DOWN = 64, 16_000, 1, 2
+BLOCK, RATE, UP, DOWN = 64, 16_000, 3, 4
 FRAME, HOP, MELS, FRAMES = 256, 128, 32, 64
 HIGH, LOW = 0.5, 0.0
-HEADER = 44
 
 SPAN = "struct<start_ms:double,end_ms:double>"
-FEATURES = f"doc_id long, media binary, n_frames long, windows array<struct<start_ms:double,end_ms:double,frames:int,tensor:array<float>>>, segments array<{SPAN}>"
+FEATURES = f"doc_id long, n_bytes long, media binary, samples binary, n_frames long, n_windows long, tensors binary, tensor_hash long, segments array<{SPAN}>"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
+WINDOWS = pa.schema([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("frames", pa.int32()), ("tensor", TENSOR)])
 
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -121,22 +123,39 @@ def hysteresis(energy: np.ndarray, high: float = HIGH, low: float = LOW) -> list
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
 
 
-def features(media: bytes, up: int = UP, down: int = DOWN) -> tuple[int, list[dict], list[dict]]:
+def write_tensors(start: np.ndarray, end: np.ndarray, frames: np.ndarray, mel: np.ndarray) -> bytes:
+    """Windows (n x FRAMES x MELS) with their spans and numbers of frames as an Arrow stream."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(mel.ravel(), pa.float32()), FRAMES * MELS)
+    batch = pa.record_batch([pa.array(start), pa.array(end), pa.array(frames, pa.int32()), pa.ExtensionArray.from_storage(TENSOR, flat)], schema=WINDOWS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, WINDOWS) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.RecordBatch:
+    """What `write_tensors` wrote; `tensor` is a fixed-shape tensor array."""
+    with pa.ipc.open_stream(stored) as reader:
+        return reader.read_next_batch()
+
+
+def features(media: bytes, up: int = UP, down: int = DOWN) -> tuple[bytes, int, bytes, list[dict]]:
+    """A file's samples, number of frames, tensors and speech segments."""
     rate, samples = from_wav(media)
     new_rate = rate * up / down
     y = resample((samples.astype(np.float32) - 128) / 128, up, down)
     mel, energy = log_mel(y - y.mean(), new_rate)
     ms = lambda frame: frame * HOP / new_rate * 1000
-    pad = np.pad(mel, ((0, -len(mel) % FRAMES), (0, 0)))
-    windows = [
-        {"start_ms": ms(k), "end_ms": ms(min(k + FRAMES, len(mel)) - 1) + FRAME / new_rate * 1000, "frames": min(FRAMES, len(mel) - k), "tensor": pad[k : k + FRAMES].ravel()}
-        for k in range(0, len(mel), FRAMES)
-    ]
-    return len(mel), windows, [{"start_ms": ms(a), "end_ms": ms(b)} for a, b in hysteresis(energy)]
+    first = np.arange(0, len(mel), FRAMES)
+    frames = np.minimum(FRAMES, len(mel) - first)
+    pad = np.pad(mel, ((0, -len(mel) % FRAMES), (0, 0))).reshape(-1, FRAMES, MELS)
+    tensors = write_tensors(ms(first.astype(float)), ms(first + frames - 1.0) + FRAME / new_rate * 1000, frames, pad)
+    return samples.tobytes(), len(mel), tensors, [{"start_ms": ms(a), "end_ms": ms(b)} for a, b in hysteresis(energy)]
 
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id and the text's bytes as a WAV file."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,42 +169,29 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def analyse(stored: DataFrame) -> DataFrame:
-    """The features of each stored file, beside its doc_id, n_bytes and media."""
-    schema = FEATURES.replace("media", "n_bytes long, media", 1)
+    """The features of each stored file, beside its doc_id, n_bytes, media and the samples read from it; `tensor_hash` is of the tensors read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window = pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("frames", pa.int32()), ("tensor", pa.list_(pa.float32()))])
         span = pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())])
+        names = [c.split()[0] for c in FEATURES.split(", ")]
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
-                got = [features(m) for m in part.column("media").to_pylist()]
-                n, windows, segments = zip(*got, strict=True)
-                columns = [pa.array(n, pa.int64()), pa.array(windows, pa.list_(window)), pa.array(segments, pa.list_(span))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_bytes", "media")), *columns], ["doc_id", "n_bytes", "media", "n_frames", "windows", "segments"])
-
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
-
-
-def tensors(windows: pa.Array) -> pa.Array:
-    """The tensors of a list of windows (a column of `analyse` as Arrow) as one fixed-shape tensor array."""
-    flat = windows.flatten().field("tensor").flatten()
-    kind = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS))
-
+                samples, n, tensors, segments = zip(*(features(m) for m in part.column("media").to_pylist()), strict=True)
+                back = [read_tensors(t).column("tensor").to_numpy_ndarray() for t in tensors]
+                hashes = [xxhash.xxh64_intdigest(t.tobytes()) - (1 << 63) for t in back]
+                columns = [pa.array(samples, pa.binary()), pa.array(n, pa.int64()), pa.array([len(t) for t in back], pa.int64()), pa.array(tensors, pa.binary()), pa.array(hashes, pa.int64()), pa.array(segments, pa.list_(span))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), *columns], names)
 
-def payload(media: str = "media") -> Column:
-    """The sample bytes of a stored file."""
-    return F.substring(media, HEADER + 1, 2**31 - 1)
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
 
 
 def digest(analysed: DataFrame) -> DataFrame:
     """The query's form of `analyse`: digests of the stored file, of what it gives back and of the features."""
-    data = analysed.withColumn("samples", payload())
     speech = F.aggregate("segments", F.lit(0.0), lambda s, x: s + x.end_ms - x.start_ms)
-    feature = F.concat_ws(" ", F.concat(F.col("n_frames").cast("string"), F.lit("f")), F.concat(F.size("windows").cast("string"), F.lit("w")), F.concat(F.size("segments").cast("string"), F.lit("s")),
-                          F.concat(F.round(speech).cast("long").cast("string"), F.lit("ms")), F.lower(F.hex(F.xxhash64(F.col("windows.tensor")))))
-    return data.select(
+    counts = [F.concat(F.col(c).cast("string"), F.lit(unit)) for c, unit in (("n_frames", "f"), ("n_windows", "w"))]
+    feature = F.concat_ws(" ", *counts, F.concat(F.size("segments").cast("string"), F.lit("s")), F.concat(F.round(speech).cast("long").cast("string"), F.lit("ms")), F.lower(F.hex("tensor_hash")))
+    return analysed.select(
         "doc_id",
         "n_bytes",
         F.length("samples").cast("long").alias("payload_bytes"),

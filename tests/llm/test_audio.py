@@ -66,10 +66,16 @@ def test_query(odd_docs, no_docs):
 
 
 def test_tensors(odd_docs):
-    rows = au.analyse(au.store(odd_docs.filter("doc_id = 8"))).select("windows").toArrow()
-    got = au.tensors(rows["windows"].combine_chunks())
-    assert got.type == pa.fixed_shape_tensor(pa.float32(), [au.FRAMES, au.MELS])
-    n = len(rows["windows"][0])
-    assert got.to_numpy_ndarray().shape == (n, au.FRAMES, au.MELS) and n > 10
-    spans = rows["windows"][0].as_py()
-    assert all(a["end_ms"] > a["start_ms"] and a["start_ms"] < b["start_ms"] for a, b in zip(spans, spans[1:], strict=False))
+    """The stored column gives back fixed-shape tensors, equal to the windows of the log-mel frames."""
+    row = au.analyse(au.store(odd_docs.filter("doc_id = 8"))).collect()[0]
+    got = au.read_tensors(bytes(row.tensors))
+    tensors = got.column("tensor")
+    assert tensors.type == pa.fixed_shape_tensor(pa.float32(), [au.FRAMES, au.MELS])
+    n = row.n_windows
+    assert tensors.to_numpy_ndarray().shape == (n, au.FRAMES, au.MELS) and n > 10
+    start, end, frames = (got.column(c).to_numpy() for c in ("start_ms", "end_ms", "frames"))
+    assert (end > start).all() and (np.diff(start) > 0).all() and frames.sum() == row.n_frames
+    y = au.resample((np.frombuffer(row.samples, np.uint8).astype(np.float32) - 128) / 128)
+    mel, _ = au.log_mel(y - y.mean(), au.RATE * au.UP / au.DOWN)
+    assert np.allclose(tensors.to_numpy_ndarray().reshape(-1, au.MELS)[: len(mel)], mel, atol=1e-4)
+    assert au.UP > 1 and bytes(row.media).endswith(bytes(row.samples))
