@@ -8,7 +8,12 @@ one is cut so that the sequence closes full, and its rest goes back to the windo
 left over at the end of a task is cut into sequences whose lengths are powers of two,
 which need no padding. Nothing is shuffled, and a task holds WINDOW examples at most.
 
-Defined cases. A null text is empty: its only token is the end id. A null doc_id stays
+`instructions` makes examples of conversations: what is said up to an assistant's text is a
+prompt without loss, the text and its closing string bear loss, so that all three limits
+of INSTRUCTIONS bind. `pack_documents` packs texts, all of whose tokens bear loss.
+
+Defined cases. Turns after a conversation's last assistant's text are an example without
+loss; a null conv_id is a conversation of its own. A null text is empty: its only token is the end id. A null doc_id stays
 null. Repeated rows are packed once each. Texts are tokenised whole: white space never
 lies inside a token of this vocabulary, so words are looked up one by one.
 """
@@ -41,6 +46,10 @@ class Limits:
     loss: int = 4096
 
 
+#: For instruction data: a sequence's share of loss-bearing tokens is bounded as its segments are.
+INSTRUCTIONS = Limits(4096, 24, 2048)
+
+
 class Words(dict):
     """Bytes of a word (no white space inside) to its ids as little-endian uint32 bytes."""
 
@@ -101,7 +110,7 @@ class Packer:
     def loss(start: int, length: int, prompt: int) -> int:
         return max(0, start + length - max(start, prompt))
 
-    def add(self, doc_id: int | None, ids: bytes, prompt: int = 0) -> None:
+    def add(self, doc_id: int | tuple | None, ids: bytes, prompt: int = 0) -> None:
         total, start = len(ids) // 4, 0
         whole = min(self.limits.tokens, self.limits.loss)
         while total - start >= whole:
@@ -204,8 +213,52 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     return texts(docs).mapInArrow(run, "doc_id long, ids binary, prompt long")
 
 
+def instructions(turns: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id (the conversation), part (the position of the example's last turn), ids and prompt, of turns as `chat_format.format_turns` gives them.
+
+    Each turn is tokenised for itself, an assistant's opening with its prompt; its text ends with the end id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, end = words(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        conv, prompt, last, out = (), [], 0, []
+
+        def rows() -> pa.RecordBatch:
+            d, part, ids, n = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(part, pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "part", "ids", "prompt"])
+
+        def open_end() -> None:
+            if prompt:
+                ids = b"".join(prompt)
+                out.append((*conv, last, ids, len(ids) // 4))
+                prompt.clear()
+
+        for b in batches:
+            for doc_id, position, formatted, text, start in zip(*(b.column(c).to_pylist() for c in ("conv_id", "position", "formatted", "text", "loss_start")), strict=True):
+                if conv != (doc_id,):
+                    open_end()
+                    conv = (doc_id,)
+                last = position
+                if start is None:
+                    prompt.append(memo.of(formatted))
+                else:
+                    before = b"".join(prompt)
+                    prompt.clear()
+                    out.append((doc_id, position, before + memo.of(text) + end, len(before) // 4))
+                if len(out) >= 500:
+                    yield rows()
+        open_end()
+        if out:
+            yield rows()
+
+    return turns.select("conv_id", "position", "formatted", "text", "loss_start").mapInArrow(run, "doc_id long, part long, ids binary, prompt long")
+
+
 def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """A row per piece of each example. `examples`: doc_id, ids, prompt (leading tokens without loss)."""
+    """A row per piece of each example. `examples`: doc_id, ids, prompt (leading tokens without loss), and part if a doc_id has several."""
+    if "part" not in examples.columns:
+        examples = examples.withColumn("part", F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PIECES.split(", ")]
@@ -214,21 +267,29 @@ def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
         def rows() -> pa.RecordBatch:
             got, packer.out = packer.out, []
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names)
+            key, *rest = zip(*got, strict=True)
+            doc_id, part = zip(*key, strict=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip((doc_id, *rest), kinds, strict=True)), pa.array(part, pa.int64())], [*names, "part"])
 
         for b in batches:
-            for doc_id, ids, prompt in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "prompt")), strict=True):
-                packer.add(doc_id, ids, prompt or 0)
+            for doc_id, part, ids, prompt in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "ids", "prompt")), strict=True):
+                packer.add((doc_id, part), ids, prompt or 0)
                 if len(packer.out) >= 1000:
                     yield rows()
         packer.finish()
         if packer.out:
             yield rows()
 
-    return examples.select("doc_id", "ids", "prompt").mapInArrow(run, PIECES)
+    return examples.select("doc_id", "part", "ids", "prompt").mapInArrow(run, f"{PIECES}, part long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits()) -> DataFrame:
     """The query's form: pieces with the digest of their ids."""
     pieces = pack(tokenise(docs, tokenizer_path), limits)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def pack_instructions(turns: DataFrame, tokenizer_path: str, limits: Limits = INSTRUCTIONS) -> DataFrame:
+    """The query's form for conversations: conv_id, position (of an example's last turn) and its pieces, with their loss-bearing tokens."""
+    pieces = pack(instructions(turns, tokenizer_path), limits)
+    return pieces.select(F.col("doc_id").alias("conv_id"), F.col("part").alias("position"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("doc_tokens").alias("example_tokens"), "loss_tokens", "sequence_id", "offset")

@@ -36,6 +36,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.format_turns(table(spark, sf_dir, "conversations"))
+    return packing.pack_instructions(turns, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.analyse(audio.store(table(spark, sf_dir, "documents"))))
 
@@ -62,7 +67,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_quality_crf, op2_url_filter, op3_ngram_join, op4_chat_format, op5_packing, op6_exact_dedup, op7_audio_features,
+    op1_quality_crf, op2_url_filter, op3_ngram_join, op4_chat_format, op5_packing, op5_instruction_packing, op6_exact_dedup, op7_audio_features,
     op8_language_id, op8_page_language, op9_pseudo_likelihood, op10_mixing,
 )}
 

@@ -63,6 +63,56 @@ def test_documents(spark):
     assert query == {(p["doc_id"], p["start"]): zlib.crc32(p["ids"]) for p in pieces}
 
 
+def examples_of(rows, encode):
+    """(conv_id, position) to ids and loss flags, by a plain loop over turns in order."""
+    from slotline.llm import chat_format as cf
+
+    out, prompt, last = {}, [], None
+    for conv, position, role, text in rows:
+        if last is not None and last[0] != conv and prompt:
+            out[last] = (prompt, [0] * len(prompt))
+        if last is None or last[0] != conv:
+            prompt = []
+        last = (conv, position)
+        if role == "assistant":
+            own = [*encode(text), 2]
+            out[last] = (prompt + own, [0] * len(prompt) + [1] * len(own))
+            prompt = []
+        else:
+            prompt = prompt + encode(cf.render(role, text)[0])
+    if prompt:
+        out[last] = (prompt, [0] * len(prompt))
+    return out
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_instructions(spark, odd):
+    """Every id and every loss-bearing token lies in exactly one piece, and all three limits bind."""
+    from slotline.llm import chat_format as cf
+
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", ""), (1, 2, "assistant", "again </s>"), (None, 0, "user", None), (None, None, None, "x"), (3, 0, "system", "s"), (3, 0, "system", "s"), (4, 0, "assistant", "word " * 9000)]
+    df = spark.createDataFrame([(*r, 5, "y") for r in rows], "conv_id long, turn long, role string, text string, part int, ids string") if odd else spark.read.parquet(f"{TESTDATA}/sf0.01/conversations.parquet")
+    turns = cf.format_turns(df)
+    w = pk.words(PATH)
+    want = examples_of([(r.conv_id, r.position, r.role, r.text) for r in turns.collect()], lambda t: np.frombuffer(w.encode(t), "<u4").tolist())
+    pieces = [r.asDict() for r in pk.pack(pk.instructions(turns, PATH), pk.INSTRUCTIONS).collect()]
+    check_sequences(pieces, pk.INSTRUCTIONS)
+    by, sequences = defaultdict(list), defaultdict(lambda: np.zeros(3, int))
+    for p in pieces:
+        by[p["doc_id"], p["part"]].append(p)
+        sequences[p["sequence_id"]] += (p["length"], 1, p["loss_tokens"])
+    assert by.keys() == want.keys()
+    for k, own in by.items():
+        ids, loss = want[k]
+        own.sort(key=lambda p: p["start"])
+        assert b"".join(p["ids"] for p in own) == np.array(ids, "<u4").tobytes()
+        assert [p["loss_tokens"] for p in own] == [sum(loss[p["start"] : p["start"] + p["length"]]) for p in own]
+    if not odd:
+        full = np.array(list(sequences.values())) == (pk.INSTRUCTIONS.tokens, pk.INSTRUCTIONS.segments, pk.INSTRUCTIONS.loss)
+        assert full.any(axis=0).all(), np.array(list(sequences.values()))
+    assert pk.pack_instructions(cf.format_turns(df.limit(0)), PATH).count() == 0
+
+
 @pytest.mark.parametrize("text", ["", " ", "It's THE ÉCOLE's <|endoftext|> x", "a.,b ,.. don't 12.5 ß.", "İstanbul ΣΑΣ ﬁn\u0301 e\u0301.", "a\u00a0b\u2003c\x1cd\x85e", "\u0301x y\u0301", "Ⅷ ² ½ _a_ 日本語. ª.", "K\u212a \u00c5\u212b."])
 def test_words_equal_the_whole_text(text):
     w = pk.words(PATH)
