@@ -9,8 +9,9 @@ costs a text by its words and long texts aren't changed first, and measures the
 by the inverse Gram matrix of the sqrt(t_d) p_dk, for which the step is 1: a step takes
 p_d G^-1 (totals - targets) from w_d. Steps gather momentum, which starts anew whenever the
 distance grows. An iteration is one distributed sum of K numbers; rates are a function of a
-row's K numbers and of the K-vectors and momentum of the steps so far, so nothing but those
-is kept between iterations.
+row's K numbers, its rate and momentum so far and the K-vectors of the last steps. Every
+KEPT steps the rows are written with their rates, so that no step is computed more often
+than that.
 
 The target total is the largest that lets the domain with the most words keep them, unless
 one is given. Rates start at 1.
@@ -32,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import SPACE, free, hashed_share, stash, texts
+from slotline.llm.common import SPACE, Scratch, free, hashed_share, stash, texts
 
 DOMAINS = ("good", "good_toxic", "bad", "bad_toxic")
 #: The shares of words asked for in production.
@@ -40,7 +41,7 @@ TARGETS = {"good": 0.9, "good_toxic": 0.04, "bad": 0.05, "bad_toxic": 0.01}
 TRAIN_DOCS = 4000
 BUCKETS, SHAPES = 4096, 16
 EFFECTIVE_WORDS = 60.0
-ITERATIONS, TOLERANCE = 40, 1e-6
+ITERATIONS, TOLERANCE, KEPT = 40, 1e-6, 8
 
 
 @dataclass
@@ -121,9 +122,9 @@ class Step:
 
 
 def rate(steps: list[Step], highest: float | None = None, ahead: bool = False) -> Column:
-    """A row's rate after the given steps, from 1 on; `ahead`: where its momentum takes it, for the next step's totals."""
+    """A row's rate after the given steps, from its columns w and y on; `ahead`: where its momentum takes it, for the next step's totals."""
     if not steps:
-        return F.lit(1.0)
+        return F.col("y" if ahead else "w")
     moves = [F.lit(np.array([s.move[k] for s in steps])) for k in range(len(DOMAINS))]
     momentum = F.lit(np.array([s.momentum for s in steps]))
 
@@ -132,13 +133,14 @@ def rate(steps: list[Step], highest: float | None = None, ahead: bool = False) -
         w = F.greatest(F.lit(0.0), to if highest is None else F.least(to, F.lit(highest)))
         return F.struct(w.alias("w"), (w + F.get(momentum, j) * (w - x.w)).alias("y"))
 
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("y"))
+    start = F.struct("w", "y")
     last = F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, step)
     return F.when(F.col("tokens") > 0, last.y if ahead else last.w).otherwise(F.lit(1.0))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, highest: float | None = None, iterations: int = ITERATIONS) -> list[Step]:
-    """The steps of projected gradient descent; `rate` turns them into each row's rate."""
+def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None = None, highest: float | None = None, iterations: int = ITERATIONS) -> DataFrame:
+    """`members` with their rates w after projected gradient descent, which goes on from 1."""
+    members, scratch = members.withColumns({"w": F.lit(1.0), "y": F.lit(1.0)}), None
     own = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
     k = len(DOMAINS)
     sums = members.agg(*[F.sum(own[i]).alias(f"s{i}") for i in range(k)], *[F.sum(own[i] * F.col(f"p_{DOMAINS[j]}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
@@ -152,7 +154,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
     speed, before = 1.0, np.inf
     for _ in range(iterations):
         w = rate(steps, highest, ahead=True)
-        got = natural if not steps else np.array(members.agg(*[F.sum(w * x) for x in own]).first(), float)
+        got = natural if before == np.inf else np.array(members.agg(*[F.sum(w * x) for x in own]).first(), float)
         off = got - goal
         distance = float(off @ inverse @ off)
         if np.abs(off).sum() <= TOLERANCE * max(goal.sum(), 1.0):
@@ -162,16 +164,21 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total: float | None
         after = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         steps.append(Step(inverse @ off, (speed - 1) / after))
         speed, before = after, distance
-    return steps
+        if len(steps) == KEPT:
+            written = Scratch(members.sparkSession, "rates")
+            members = written.put(members.withColumns({"w": rate(steps, highest), "y": rate(steps, highest, ahead=True)}), "members")
+            if scratch:
+                scratch.drop()
+            scratch, steps = written, []
+    return members.withColumn("w", rate(steps, highest)).drop("y")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, highest: float | None = None) -> DataFrame:
     """doc_id, mark, tokens, p_<domain>, domain (the likeliest) and rate of every row."""
-    members = stash(memberships(docs, labels), "members")
-    steps = fit_rates(members, targets or TARGETS, total, highest)
+    members = fit_rates(stash(memberships(docs, labels), "members"), targets or TARGETS, total, highest)
     ps = F.array(*[F.col(f"p_{d}") for d in DOMAINS])
     likeliest = F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), F.array_position(ps, F.array_max(ps)).cast("int"))
-    return members.withColumn("domain", likeliest).withColumn("rate", F.round(rate(steps, highest), 6))
+    return members.withColumn("domain", likeliest).withColumn("rate", F.round("w", 6)).drop("w")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

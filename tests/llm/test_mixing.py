@@ -28,8 +28,9 @@ def test_rates_are_the_best_ones(spark):
     rows = [(int(n), *map(float, q)) for n, q in zip(t, p, strict=True)]
     members = spark.createDataFrame(rows, "tokens long, " + ", ".join(f"p_{d} double" for d in mx.DOMAINS)).cache()
     targets = {"good": 0.97, "good_toxic": 0.01, "bad": 0.01, "bad_toxic": 0.01}
-    steps = mx.fit_rates(members, targets, total=3000.0, iterations=120)
-    got = np.array([r.w for r in members.select(mx.rate(steps).alias("w")).collect()])
+    got = mx.fit_rates(members, targets, total=3000.0, iterations=120).select("w", *members.columns).toPandas().to_numpy()
+    assert len(got) == 200
+    got, t, p = got[:, 0], got[:, 1], got[:, 2:]  # the rows come in any order
     a, goal = t[:, None] * p, 3000.0 * np.array(list(targets.values()))
     inverse = np.linalg.inv((t[:, None] * p).T @ p)
     w = np.ones(200)
