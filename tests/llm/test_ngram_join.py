@@ -57,6 +57,21 @@ def test_equals_brute_force(spark, seed):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
 
 
+def test_dealt_lists_and_blocks(spark, monkeypatch):
+    """Common lists dealt over several parts, large components in blocks of their own, and sets cut into ranges."""
+    for name, value in (("ROWS_A_LIST", 5), ("BLOCK", 8), ("CELL", 2), ("ROUNDS", 1), ("WHOLE", 60)):
+        monkeypatch.setattr(nj, name, value)
+    rng = random.Random(11)
+    fresh = lambda n: [rng.choice(WORDS) + str(rng.randrange(2000)) for _ in range(n)]
+    rows = []
+    for size, words in ((70, 90), (50, 55)):
+        base = fresh(words)
+        rows += [" ".join(edited(rng, base, rng.randrange(0, 5))) for _ in range(size)]
+    rows = list(enumerate(rows))
+    got = nj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in nj.join(odd_docs).collect()), key=str) == brute(rows)
@@ -71,7 +86,7 @@ def test_repeated_rows_in_several_partitions(spark, monkeypatch):
 
     No shingle stands out here, as in a large input; any order gives the same links.
     """
-    monkeypatch.setattr(nj, "levels", lambda counted: np.zeros(nj.BUCKETS, np.uint8))
+    monkeypatch.setattr(nj, "ordered", lambda h, level: h >> np.uint64(4))
     rng = random.Random(5)
     fresh = lambda n: [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n)]
     repeated, once = [], []
@@ -89,6 +104,14 @@ def test_repeated_rows_in_several_partitions(spark, monkeypatch):
     assert sorted((tuple(r) for r in nj.join(docs).collect()), key=str) == brute([r for p in parts for r in p])
 
 
+def test_representatives_of_repeated_ids(spark):
+    """Of an id that stands for two texts only the row whose text is near a smaller id's goes."""
+    one, two = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, one), (2, one + " more"), (2, two), (2, one + " more"), (3, None), (None, one), (4, "x y")]
+    kept = nj.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=str)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(50)] + [(100 + k, 100) for k in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(90)] + [(7, 7)]
