@@ -1,7 +1,8 @@
 """A pipeline of the training-data operators over the documents table.
 
 Each stage gets the rows that the one before it kept, written as Parquet and read again.
-All but the last return the columns of documents.
+All but the last return the columns of documents, others that the table may have included,
+whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,27 +15,43 @@ from slotline.llm.common import stash, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are of no known language go."""
+    """Documents that are of no known language go.
+
+    Null, empty and letterless texts go; of a repeated doc_id all rows stay unless all are
+    rejected, of null doc_ids likewise. Without any row that names a language all go.
+    """
     return langid.accepted(docs)
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
+    """Of equal texts the one with the smallest doc_id stays.
+
+    Null texts are empty and equal; a null doc_id is larger than any other; of rows repeated
+    in doc_id and text one stays.
+    """
     return exact_dedup.deduplicate(docs)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the one with the smallest doc_id stays."""
+    """Of each group of near-duplicates the one with the smallest doc_id stays.
+
+    Rows with a null doc_id all stay, texts without words are near nothing, and of a repeated
+    doc_id only the rows whose own text is near that of a smaller doc_id go.
+    """
     return ngram_join.representatives(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the rates that bring the label domains to their target weights."""
+    """Documents by the rates that bring the label domains to their target weights.
+
+    Texts without words stay once; null labels don't count; repeated rows get one rate and
+    stay as often as it says each; without labels all is one domain.
+    """
     return mixing.mixed(docs, table(spark, sf_dir, "labels"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens: of every row all tokens, of an empty or null text the end id."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

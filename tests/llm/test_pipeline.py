@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 import corpus_pipeline as cp
 from slotline.llm import packing
+from slotline.llm.common import stash
 from tests.conftest import TESTDATA
 from tests.llm.test_exact_dedup import norm
 from tests.llm.test_ngram_join import brute
@@ -42,5 +44,32 @@ def test_stages(spark, tmp_path):
     assert got == want
 
 
+@pytest.fixture()
+def folder(spark, tmp_path, odd_docs, no_docs, odd_labels, no_labels):
+    def write(name, docs, labels):
+        for table, df in (("documents", docs), ("labels", labels)):
+            df.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        return f"{tmp_path}/{name}"
+
+    return {"empty": write("empty", no_docs, no_labels), "odd": write("odd", odd_docs.unionByName(odd_docs), odd_labels)}
+
+
+def test_empty_tables(spark, folder):
+    assert cp.run(spark, folder["empty"]).count() == 0
+
+
+def test_odd_rows(spark, folder, odd_docs):
+    """Nulls, repeated rows, long texts and clashing columns through every stage and through `run`."""
+    docs = spark.read.parquet(f"{folder['odd']}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, folder["odd"])
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        docs = stash(out, name)
+    texts = {norm(r.text) for r in docs.select("text").collect()}
+    assert "" not in texts and texts <= {norm(r.text) for r in odd_docs.select("text").collect()}
+    pieces = cp.run(spark, folder["odd"]).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0
