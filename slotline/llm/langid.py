@@ -44,19 +44,28 @@ from slotline.llm.common import free, hashed_share, left_join, stash
 
 TRAIN_DOCS, TRAIN_BYTES = 2000, 30_000
 GRAMS = 1 << 15
-DAMP, MOST, MARGIN = 0.3, 200.0, 1.75
+DAMP, MOST, MARGIN = 0.3, 200.0, 2.0
 LOW, SURE = 0.01, 400
 PRIOR_ROWS = 5.0
 UND = "und"
-_LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
+_LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+_BLANK = np.array([b in b" \t\n\x0b\x0c\r.,;:!?" for b in range(256)])  # ends a word
+_WORD = _LETTER | (np.arange(256) == 32)
 
 
 def gram_ids(raw: bytes) -> np.ndarray:
-    """A hashed id of each 1-, 2- and 3-gram of a text's bytes; ASCII capitals as small letters."""
-    b = np.frombuffer(b" " + raw.lower() + b" ", np.uint8).astype(np.uint32)
+    """A hashed id of each 1-, 2- and 3-gram of a text's bytes; ASCII capitals as small letters.
+
+    Numbers, signs and what touches them belong to no language: a gram is of letters, and of
+    spaces where words begin or end.
+    """
+    b = np.frombuffer(b" " + raw.lower() + b" ", np.uint8)
+    b = np.where(_BLANK[b], np.uint32(32), b)
+    fits, letter = _WORD[b], _LETTER[b]
     two = b[:-1] * 257 + b[1:] + 1000
     three = two[:-1] * 263 + b[2:] * 31 + 77
-    return np.concatenate([b, two * 2654435761 >> 17, three * 2654435761 >> 17]) % GRAMS
+    pair = fits[:-1] & fits[1:] & (letter[:-1] | letter[1:])
+    return np.concatenate([b[letter], two[pair] * 2654435761 >> 17, three[pair[:-1] & fits[2:]] * 2654435761 >> 17]) % GRAMS
 
 
 @dataclass

@@ -107,6 +107,8 @@ def test_texts_of_no_known_language_go(spark):
     strange = [(-1, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 600))), (-2, "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 4), (-3, finnish * 2)]
     more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in strange], docs.schema)
     kept = {r.doc_id for r in li.accepted(docs.unionByName(more)).select("doc_id").collect()}
+    numbers = "Thedha ingoust erther 16.76.88.133 in the, 4160062719256784 lyndti the enhere. on +1 (428) 555-6997 token = '1d46e940c38b6b02bbe8d98b2da087fb424daede'"
+    assert li.accepted(docs.limit(0).unionByName(spark.createDataFrame([(-4, numbers, "en", "s", 1)], docs.schema)).unionByName(docs)).filter("doc_id = -4").count() == 1
     assert not kept & {-1, -2, -3} and kept == {r.doc_id for r in docs.filter(r"text rlike '\\p{L}'").select("doc_id").collect()}
 
 
