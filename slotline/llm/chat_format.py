@@ -15,7 +15,8 @@ occur in it. A turn that parses back alone does so in any conversation, because
 string is the first one found in it. Only assistant texts bear loss.
 
 Turns are sorted within partitions that hold whole conversations and are streamed, so a
-conversation of any length needs the memory of one turn.
+conversation of any length needs the memory of one turn. One conversation is the work of one
+task, as places in its text and the digests of its turns follow from all turns before.
 
 Defined cases. A null text or role is empty; an empty role is of the last kind. Turns go by
 (turn, role, text), null turns first; repeated rows are turns of their own. Rows with a null

@@ -16,8 +16,8 @@ than that.
 The target total is the largest that lets the domain with the most words keep them, unless
 one is given. Rates start at 1.
 
-Bounds of the training sample (the only sample here): about TRAIN_DOCS labelled texts, a
-share of all by hashed id. All else covers all texts.
+Bounds of the training sample (the only sample here): about TRAIN_DOCS labelled doc_ids, a
+share of all by hashed id, and no more than twice as many. All else covers all texts.
 
 Defined cases. A null, empty or blank text has no words and keeps rate 1, as it can't change
 any total. Null labels don't count; a doc_id labelled repeatedly counts once, by its smallest
@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
     """Smoothed counts of the labelled sample; they come to K x (BUCKETS + SHAPES + 1) numbers at most."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).dropna()
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
-    chosen = hashed_share(known, train_docs, "doc_id")  # a bounded number of ids
+    chosen = hashed_share(known, train_docs, "doc_id").orderBy(F.xxhash64("doc_id")).limit(2 * train_docs)
     chosen = chosen.select(F.col("doc_id").alias("labelled"), domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = with_words(rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "domain"), "domain")

@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     short = texts(docs).filter(F.octet_length("text") <= train_bytes)
-    chosen = hashed_share(known, train_docs, "doc_id")  # a bounded number of ids
+    chosen = hashed_share(known, train_docs, "doc_id")
     chosen = chosen.orderBy(F.xxhash64("doc_id")).limit(2 * train_docs)
     rows = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * train_docs)
     got = rows.toPandas()

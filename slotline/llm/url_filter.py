@@ -48,6 +48,18 @@ RULES = (
 )
 
 
+def rules_of(rows: DataFrame, most: int = 10_000) -> tuple[Rule, ...]:
+    """Rules from a table (verdict, name, globs, stated), in order of name; more than `most` are refused, as every task holds all masks.
+
+    Null or empty globs make no rule; a null verdict blocks, a null `stated` is false.
+    """
+    kept = rows.select(F.coalesce("verdict", F.lit("block")).alias("verdict"), "name", F.filter("globs", lambda g: g.isNotNull()).alias("globs"), F.coalesce("stated", F.lit(False)).alias("stated"))
+    got = kept.filter("size(globs) > 0 and name is not null").orderBy("name", "verdict", "globs", "stated").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rules")
+    return tuple(Rule(r.verdict, r.name, tuple(r.globs), r.stated) for r in got)
+
+
 class Automaton:
     """Masks of all globs of all rules."""
 

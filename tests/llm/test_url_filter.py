@@ -42,6 +42,19 @@ def test_production_rules():
     assert names == ["net/", "net/", None, None, "example.net/en/", "net/", "example.com/de/", "example.com/de/", "org/fr/", None, "spam-*", "spam-*", None, None, "org/fr/"]
 
 
+def test_rules_of_a_table(spark):
+    rows = [(r.verdict, r.name, list(r.globs), r.stated) for r in uf.RULES]
+    odd = [("block", "none", None, True), (None, "x", [None, "x.com**"], None), ("allow", None, ["**"], True), ("allow", "empty", [], True)]
+    rules = spark.createDataFrame(rows + odd, "verdict string, name string, globs array<string>, stated boolean")
+    got = uf.rules_of(rules)
+    assert sorted(got, key=lambda r: r.name) == sorted([*uf.RULES, uf.Rule("block", "x", ("x.com**",))], key=lambda r: r.name)
+    pages = spark.createDataFrame([(1, "http://x.com/a"), (2, "http://a.net/"), (3, "http://spam-x.org/")], "page_id long, url string")
+    assert {r.page_id: (r.verdict, r.rule, r.glob_rule) for r in uf.judge(pages, got).collect()} == {1: ("block", None, "x"), 2: ("block", "net/", None), 3: ("block", None, "spam-*")}
+    assert uf.rules_of(rules.limit(0)) == ()
+    with pytest.raises(ValueError):
+        uf.rules_of(rules, most=3)
+
+
 def test_odd_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "http://EXAMPLE.net/EN/?q"), (6, "x://a://b/c#d"), (7, "http://é.NET/" + "y" * 20_000), (8, "http://a.net?x/y"), (None, "http://a.org/fr/")]
     df = spark.createDataFrame([(*r, "h", "p", "v") for r in rows], "page_id long, url string, host string, path string, verdict string")
