@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import hashed_share, small_batches, stash, texts
+from slotline.llm.common import hashed_share, small_batches, stash, texts, tidy
 from slotline.llm.words import chunks
 
-HOT, NAMED, CLASSES, WINDOW = 1 << 18, 1024, 128, 2
+HOT, NAMED, CLASSES, WINDOW = 1 << 18, 256, 128, 2
 WIDTH, HIDDEN = 16, 32
 TRAIN_DOCS, TRAIN_BYTES, EPOCHS = 1000, 30_000, 2
-BATCH, RATE = 1024, 0.001
+BATCH, RATE = 2048, 0.0015
 EDGE = NAMED + CLASSES  # the token beyond a text's ends
 JOINED = 65_535  # in place of a token: a word whose count is joined
 
@@ -70,7 +70,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield from met()
 
-    return texts(docs).select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return texts(docs).select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -290,7 +290,7 @@ def train_all(chains: DataFrame, of_token: np.ndarray, p: list[np.ndarray], batc
             flat = np.concatenate([a.ravel() for a in trainer.p]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * words), pa.array(np.full(len(flat), words))], ["place", "weight", "words"])
 
-    got = chains.select("tokens").mapInArrow(run, "place long, weight double, words long").groupBy("place").agg((F.sum("weight") / F.sum("words")).alias("weight")).toArrow()
+    got = chains.select("tokens").mapInArrow(tidy(run), "place long, weight double, words long").groupBy("place").agg((F.sum("weight") / F.sum("words")).alias("weight")).toArrow()
     if not got.num_rows:
         return p
     flat = np.empty(sum(sizes), np.float32)
@@ -369,7 +369,7 @@ def chains_of(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     kept, v_n = ["doc_id", "bytes", "n_words", "within", "tokens"], v.n
     names = ["row", *kept, "places", "bucket", "k"]
-    sent = stash(texts(docs).mapInArrow(run, f"{CHAINS}, bucket long, k long"), "chains")
+    sent = stash(texts(docs).mapInArrow(tidy(run), f"{CHAINS}, bucket long, k long"), "chains")
     rows = sent.filter("bucket is null")
     rare = sent.filter("bucket is not null").select("row", "bucket", "k")
     known = v.counts.filter(F.col("n") < v.least)
@@ -405,7 +405,7 @@ def score_chains(chains: DataFrame, model: Model) -> DataFrame:
             mean = np.array(got) / np.maximum(1, n.to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(got, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-    return chains.select("doc_id", "n_words", "within", "tokens").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+    return chains.select("doc_id", "n_words", "within", "tokens").mapInArrow(tidy(run), "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
