@@ -17,8 +17,8 @@ from slotline.llm.common import stash, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are of no known language go.
 
-    Null, empty and letterless texts go; of a repeated doc_id all rows stay unless all are
-    rejected, of null doc_ids likewise. Without any row that names a language all go.
+    Null, empty and letterless texts go; rows of a repeated or null doc_id go each by its own
+    text. Without any row that names a language all go.
     """
     return langid.accepted(docs)
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import SPACE, free, stash, texts
+from slotline.llm.common import SPACE, free, stash, texts, tidy
 
 ROWS_A_NODE = 1_000_000
 RUN, BLOCK = 200_000, 10_000  # entries sorted at once at a leaf, and sent in a block
@@ -108,7 +108,7 @@ def leaf_runs(rows: DataFrame, leaves: int) -> DataFrame:
         if waiting:
             yield from dealt(merge(waiting), node, 1)
 
-    return rows.select("doc_id", "tag", "sha", "n_bytes", "mark").mapInArrow(run, BLOCKS)
+    return rows.select("doc_id", "tag", "sha", "n_bytes", "mark").mapInArrow(tidy(run), BLOCKS)
 
 
 def merged(blocks: Iterator[tuple[bytes, bytes]]) -> Iterator[np.ndarray]:
@@ -151,7 +151,7 @@ def exchange(blocks: DataFrame, leaves: int, following: int | None) -> DataFrame
                 columns = [sha, pa.array(e["n_bytes"]), pa.array(e["mark"]), pa.array(e["id"], mask=e["no_id"]), pa.array(e["tag"]), pa.array(e["n"])]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in MERGED.split(", ")])
 
-    return blocks.repartitionById(leaves, F.col("node")).sortWithinPartitions("first").mapInArrow(run, BLOCKS if following is not None else MERGED)
+    return blocks.repartitionById(leaves, F.col("node")).sortWithinPartitions("first").mapInArrow(tidy(run), BLOCKS if following is not None else MERGED)
 
 
 def merge_runs(rows: DataFrame, rows_a_node: int = ROWS_A_NODE) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import free, hashed_share, left_join, stash
+from slotline.llm.common import free, hashed_share, left_join, small_batches, stash, tidy
 
 TRAIN_DOCS, TRAIN_BYTES = 2000, 30_000
 GRAMS = 1 << 15
@@ -108,10 +108,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_
     return train([t.encode() for t in got["text"]], got["lang"].tolist())
 
 
-def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """id, declared, suffix, site, host and `seen`, the text's log likelihoods, for `rows` with a text."""
+def text_evidence(rows: DataFrame, model: Model, *more: str) -> DataFrame:
+    """id, declared, suffix, site, host, `more` (long columns) and `seen`, the text's log likelihoods, for `rows` with a text."""
     saved = pickle.dumps(model)
-    kept = ["id", "declared", "suffix", "site", "host"]
+    kept = ["id", "declared", "suffix", "site", "host", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(saved)
@@ -119,7 +119,7 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
             seen = pa.array([model.evidence(t.encode()) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), seen], [*kept, "seen"])
 
-    return rows.select(*kept, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "id long, declared string, suffix string, site string, host string, seen array<double>")
+    return rows.select(*kept, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "id long, declared string, suffix string, site string, host string, " + "".join(f"{c} long, " for c in more) + "seen array<double>")
 
 
 def _softmax(logs: Column) -> Column:
@@ -128,16 +128,17 @@ def _softmax(logs: Column) -> Column:
     return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda s, y: s + y))
 
 
-def fuse(rows: DataFrame, model: Model) -> DataFrame:
-    """id, lang, confidence and rejected.
+def fuse(rows: DataFrame, model: Model, *more: str) -> DataFrame:
+    """id, lang, confidence, rejected and `more`, long columns of the rows.
 
     `rows`: id, text, declared, suffix, site, host; any of them may be null.
     """
+    small_batches(rows.sparkSession)
     names = [*model.languages, UND]
     n = len(names)
     vocabulary = lambda c, letters: F.when(F.col(c).rlike(f"^[a-z]{letters}$"), F.col(c)).alias(c)
-    rows = rows.select("id", "text", vocabulary("declared", "{2,3}"), vocabulary("suffix", "{2}"), "site", "host")
-    seen = stash(text_evidence(rows, model).withColumn("post", _softmax(F.col("seen"))), "langid")
+    rows = rows.select("id", "text", vocabulary("declared", "{2,3}"), vocabulary("suffix", "{2}"), "site", "host", *more)
+    seen = stash(text_evidence(rows, model, *more).withColumn("post", _softmax(F.col("seen"))), "langid")
     sums = F.array(*[F.coalesce(F.sum(F.col("post")[k]), F.lit(0.0)) for k in range(n)])
     total, all_rows = seen.agg(sums, F.count(F.lit(1))).first()
 
@@ -166,7 +167,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
         logs.append(F.col("seen")[k] + F.log(prior) + told[0] + told[1])
     out = out.withColumn("fused", _softmax(F.array(*logs))).withColumn("best", F.array_max("fused"))
     lang = F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("fused", F.col("best")).cast("int"))
-    return out.select("id", lang.alias("lang"), F.round("best", 6).alias("confidence"), (lang == UND).alias("rejected"))
+    return out.select("id", lang.alias("lang"), F.round("best", 6).alias("confidence"), (lang == UND).alias("rejected"), *more)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
@@ -197,10 +198,12 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that aren't rejected, with all their columns.
 
-    A document is rejected if all rows of its doc_id are; rows with a null doc_id stay unless
-    all of them are rejected.
+    Rows of one doc_id, or without any, go each by its own text; rows repeated in both that
+    differ in their source stay or go together, and go if one of them is rejected.
     """
-    bad = identify(docs).groupBy("doc_id").agg(F.min("rejected").alias("rejected")).filter("rejected")
-    gone = free("rejected")
-    bad = stash(bad.select(F.col("doc_id").alias(gone)), "rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = document_rows(docs.select("doc_id", "text", "source")).withColumn("mark", mark)
+    id_, mark_ = map(free, ("id", "mark"))
+    bad = fuse(rows, fit(docs), "mark").filter("rejected").select(F.col("id").alias(id_), F.col("mark").alias(mark_)).distinct()
+    bad = stash(bad, "rejected")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (mark == F.col(mark_)), "left_anti")

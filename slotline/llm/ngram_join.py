@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import Scratch, free, partitions, small_batches, stash, texts
+from slotline.llm.common import Scratch, free, partitions, small_batches, stash, texts, tidy
 from slotline.llm.words import U, chunks, mix
 
 SHINGLE, PERCENT = 5, 75
@@ -153,7 +153,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             yield counts(RANGES, None, bins.tobytes())
 
     rows = texts(docs).withColumn("mark", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, n long, m1 long, m2 long, range int, places binary, counts binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, mark long, n long, m1 long, m2 long, range int, places binary, counts binary")
 
 
 def levels(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,7 +271,7 @@ def signatures(docs: DataFrame, level: np.ndarray, cuts: Cuts) -> DataFrame:
         if keys:
             yield from flush()
 
-    return texts(docs).select("text").mapInArrow(run, "part int, fragment int, classes binary, marks binary, rows binary")
+    return texts(docs).select("text").mapInArrow(tidy(run), "part int, fragment int, classes binary, marks binary, rows binary")
 
 
 def list_pairs(size: np.ndarray, mark: np.ndarray, cls: np.ndarray, is_core: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -353,7 +353,7 @@ def candidates(sent: DataFrame, cuts: Cuts) -> DataFrame:
         while got:
             yield from of(*got.popitem())
 
-    return sent.repartitionById(cuts.parts, F.col("part")).mapInArrow(run, CANDIDATES)
+    return sent.repartitionById(cuts.parts, F.col("part")).mapInArrow(tidy(run), CANDIDATES)
 
 
 def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -370,7 +370,7 @@ def bloom(ids: DataFrame) -> bytes:
             yield _batch(place=(_bloom_places(b.column(0).to_numpy(), bits).ravel(), pa.int64()))
 
     word = F.shiftright("place", 15)
-    found = ids.mapInArrow(run, "place long").groupBy(word.alias("word")).agg(F.bitmap_construct_agg(F.col("place") % (1 << 15)).alias("bits"))
+    found = ids.mapInArrow(tidy(run), "place long").groupBy(word.alias("word")).agg(F.bitmap_construct_agg(F.col("place") % (1 << 15)).alias("bits"))
     out = np.zeros((bits >> 15, 1 << 12), np.uint8)
     for r in found.collect():  # BLOOM_BITS at most
         out[r.word] = np.frombuffer(r.bits, np.uint8)
@@ -411,7 +411,7 @@ def sets(docs: DataFrame, wanted: bytes) -> DataFrame:
                     d, m1, m2, form, x = zip(*out, strict=True)
                     yield _batch(doc_id=(d, pa.int64()), m1=(m1, pa.int64()), m2=(m2, pa.int64()), form=(form, pa.int32()), hashes=(x, pa.binary()))
 
-    return texts(docs).mapInArrow(run, "doc_id long, m1 long, m2 long, form int, hashes binary")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, m1 long, m2 long, form int, hashes binary")
 
 
 def whole_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -441,7 +441,7 @@ def similar(pairs: DataFrame, mine: DataFrame) -> DataFrame:
     both = pairs.select("a", "b", "a1", "a2", "b1", "b2", (F.col("n_a") + F.col("n_b")).alias("sizes"), F.explode(forms).alias("form"))
     for s in "ab":
         both = both.join(mine.toDF(f"{s}1", f"{s}2", "form", f"h{s}"), [f"{s}1", f"{s}2", "form"])
-    total = both.select("a", "b", "sizes", "ha", "hb").mapInArrow(run, "a long, b long, sizes long, shared long").groupBy("a", "b", "sizes").agg(F.sum("shared").alias("shared"))
+    total = both.select("a", "b", "sizes", "ha", "hb").mapInArrow(tidy(run), "a long, b long, sizes long, shared long").groupBy("a", "b", "sizes").agg(F.sum("shared").alias("shared"))
     return total.filter((100 + PERCENT) * F.col("shared") >= PERCENT * F.col("sizes")).select("a", "b")
 
 

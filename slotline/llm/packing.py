@@ -21,7 +21,7 @@ lies inside a token of this vocabulary, so words are looked up one by one.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import texts
+from slotline.llm.common import small_batches, texts, tidy
 
 END_ID = 2
 WINDOW = 256
@@ -199,8 +199,8 @@ class Packer:
         self.open, self.used = [], np.zeros(3)
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian uint32 bytes, the end id last) and prompt = 0, for `pack`."""
+def tokenising(tokenizer_path: str, end_id: int = END_ID) -> Callable:
+    """For mapInArrow: doc_id, part = 0, ids (little-endian uint32 bytes, the end id last) and prompt = 0, of doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, end = words(tokenizer_path), np.array([end_id], "<u4").tobytes()
@@ -208,9 +208,16 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 ids = [memo.of(t) + end for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([0] * len(ids), pa.int64())], ["doc_id", "ids", "prompt"])
+                none = pa.array([0] * len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), none, pa.array(ids, pa.binary()), none], ["doc_id", "part", "ids", "prompt"])
+        memo.clear()  # the worker stays for other tasks
+
+    return run
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids binary, prompt long")
+
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """The examples that `pack` takes, of texts."""
+    return texts(docs).mapInArrow(tidy(tokenising(tokenizer_path, end_id)), "doc_id long, part long, ids binary, prompt long")
 
 
 def instructions(turns: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -251,14 +258,16 @@ def instructions(turns: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
         open_end()
         if out:
             yield rows()
+        memo.clear()  # the worker stays for other tasks
 
-    return turns.select("conv_id", "position", "formatted", "text", "loss_start").mapInArrow(run, "doc_id long, part long, ids binary, prompt long")
+    return turns.select("conv_id", "position", "formatted", "text", "loss_start").mapInArrow(tidy(run), "doc_id long, part long, ids binary, prompt long")
 
 
-def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """A row per piece of each example. `examples`: doc_id, ids, prompt (leading tokens without loss), and part if a doc_id has several."""
-    if "part" not in examples.columns:
-        examples = examples.withColumn("part", F.lit(0).cast("long"))
+PART = f"{PIECES}, part long"
+
+
+def packer_of(limits: Limits) -> Callable:
+    """For mapInArrow: rows of PART of doc_id, part, ids and prompt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PIECES.split(", ")]
@@ -280,12 +289,19 @@ def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
         if packer.out:
             yield rows()
 
-    return examples.select("doc_id", "part", "ids", "prompt").mapInArrow(run, f"{PIECES}, part long")
+    return run
+
+
+def pack(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """A row per piece of each example. `examples`: doc_id, part (where a doc_id has several, else 0), ids and prompt (leading tokens without loss)."""
+    return examples.select("doc_id", "part", "ids", "prompt").mapInArrow(tidy(packer_of(limits)), PART)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits()) -> DataFrame:
-    """The query's form: pieces with the digest of their ids."""
-    pieces = pack(tokenise(docs, tokenizer_path), limits)
+    """The query's form: pieces with the digest of their ids; a task's texts are tokenised and packed by one worker."""
+    small_batches(docs.sparkSession)
+    tokens, packed = tokenising(tokenizer_path), packer_of(limits)
+    pieces = texts(docs).mapInArrow(tidy(lambda batches: packed(tokens(batches))), PART)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
