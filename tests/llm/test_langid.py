@@ -112,6 +112,14 @@ def test_texts_of_no_known_language_go(spark):
     assert not kept & {-1, -2, -3} and kept == {r.doc_id for r in docs.filter(r"text rlike '\\p{L}'").select("doc_id").collect()}
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").filter("length(text) > 100")
+    text = docs.first().text
+    more = [(7_000_000, text, "en", "a"), (7_000_000, "123", "en", "a"), (None, text, None, None), (None, None, None, None), (None, "?", None, "b")]
+    kept = li.accepted(docs.unionByName(spark.createDataFrame(more, docs.schema))).filter("doc_id = 7000000 or doc_id is null").collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(7_000_000, text)] and [r.text for r in kept if r.doc_id is None] == [text]
+
+
 def test_sample_has_rows_with_and_without_ids(spark):
     docs = spark.range(20_000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "concat('text ', id) as text")
     got = hashed_share(docs, 1000, "doc_id", "text").toPandas()["doc_id"].isna()
