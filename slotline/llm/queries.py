@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotline.llm import audio, chat_format, exact_dedup, langid, mixing, ngram_join, packing, pseudo_lm, quality_crf, url_filter
+from slotline.llm import audio, chat_format, exact_dedup, langid, mixing, ngram_join, packing, pseudo_lm, quality_crf, resampling, url_filter, whitening
 from slotline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,9 +67,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("mark")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that a long can't hold is null here; the operator has it as a decimal."""
+    out = whitening.whiten_rows(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_crf, op2_url_filter, op3_ngram_join, op4_chat_format, op5_packing, op5_instruction_packing, op6_exact_dedup, op7_audio_features,
-    op8_language_id, op8_page_language, op9_pseudo_likelihood, op10_mixing,
+    op8_language_id, op8_page_language, op9_pseudo_likelihood, op10_mixing, op11_importance_resampling, op12_embedding_whitening,
 )}
 
 SQL = {

@@ -15,7 +15,7 @@ def con():
 
 
 def test_names():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(SQL) <= set(QUERIES)
 
 
