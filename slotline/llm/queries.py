@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotline.llm import audio, chat_format, exact_dedup, langid, mixing, ngram_join, packing, pseudo_lm, quality_crf, resampling, url_filter, whitening
+from slotline.llm import audio, chat_format, exact_dedup, html_content, langid, mixing, ngram_join, packing, pseudo_lm, quality_crf, resampling, url_filter, whitening
 from slotline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,9 +77,14 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+def op13_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality_crf, op2_url_filter, op3_ngram_join, op4_chat_format, op5_packing, op5_instruction_packing, op6_exact_dedup, op7_audio_features,
     op8_language_id, op8_page_language, op9_pseudo_likelihood, op10_mixing, op11_importance_resampling, op12_embedding_whitening,
+    op13_html_content,
 )}
 
 SQL = {
@@ -126,4 +131,11 @@ from e group by conv_id""",
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
   doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d""",
+    "op13_html_content": r"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') as body from pages),
+b as (select page_id, url, string_split(regexp_replace(regexp_replace(body, '</?(p|h1)>', chr(1), 'g'), '<br>', ' ', 'g'), chr(1)) as parts from a),
+d as (select page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'),
+  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) as parts from b),
+t as (select page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) as text from d)
+select page_id, url, text, length(text)::bigint as n_chars from t""",
 }
