@@ -4,9 +4,9 @@ Every example is a vector of tokens, one segment and its loss-bearing tokens, an
 sequence has a limit on each. A task keeps a bounded window of examples and one open
 sequence; the dot-product heuristic places the example of the window whose vector has
 the largest dot product with what is left of the sequence. When no example fits whole,
-one is cut so that the sequence closes full, and its rest goes back to the window. What is
-left over at the end of a task is cut into sequences whose lengths are powers of two,
-which need no padding. Nothing is shuffled, and a task holds WINDOW examples at most.
+one is cut so that the sequence closes full, and its rest goes back to the window. A sequence
+that another limit closes, and what is left over at the end of a task, is cut into
+sequences whose lengths are powers of two, which need no padding. Nothing is shuffled, and a task holds WINDOW examples at most.
 
 `instructions` makes examples of conversations: what is said up to an assistant's text is a
 prompt without loss, the text and its closing string bear loss, so that all three limits
@@ -46,8 +46,8 @@ class Limits:
     loss: int = 4096
 
 
-#: For instruction data: a sequence's share of loss-bearing tokens is bounded as its segments are.
-INSTRUCTIONS = Limits(4096, 24, 2048)
+#: For instruction data: at most three quarters of a sequence's tokens bear loss (78 % do in the given conversations).
+INSTRUCTIONS = Limits(4096, 24, 3072)
 
 
 class Words(dict):
@@ -115,7 +115,7 @@ class Packer:
         whole = min(self.limits.tokens, self.limits.loss)
         while total - start >= whole:
             n = self.fit(start, total - start, prompt, self.cap)
-            self.emit([(doc_id, ids[start * 4 : (start + n) * 4], start, prompt, total)])
+            self.split([(doc_id, ids[start * 4 : (start + n) * 4], start, prompt, total)], n)
             start += n
         if start < total:
             self.wait((doc_id, ids[start * 4 :], start, prompt, total))
@@ -151,7 +151,9 @@ class Packer:
             k = int(scores.argmax())
             self.put(self.take(k), need=True)
         else:
-            k = int(need[:, 0].argmax())
+            # the longest example that some of fits: without room for loss one whose prompt isn't placed yet
+            some = np.minimum(np.minimum(need[:, 0], left[0]), need[:, 0] - need[:, 2] + left[2])
+            k = int(np.where(some > 0, need[:, 0], -1.0).argmax()) if left[1] else 0
             item = self.take(k)
             total = len(item[1]) // 4
             n = self.fit(item[2], total, item[3], left)
@@ -170,9 +172,24 @@ class Packer:
         self.used += (n, 1, self.loss(item[2], n, item[3]))
 
     def close(self) -> None:
-        self.emit(self.open)
+        self.split(self.open, int(self.used[0]))
         self.open, self.used = [], np.zeros(3)
 
+    def split(self, rest: list[tuple], left: int) -> None:
+        """Emit these `left` tokens as one sequence if they fill it, else as sequences whose lengths are powers of two."""
+        while left:
+            size = self.limits.tokens if left == self.limits.tokens else 1 << (left.bit_length() - 1)
+            left -= size
+            part = []
+            while size:
+                doc_id, ids, start, prompt, total = rest.pop(0)
+                n = min(size, len(ids) // 4)
+                part.append((doc_id, ids[: n * 4], start, prompt, total))
+                size -= n
+                if n * 4 < len(ids):
+                    rest.insert(0, (doc_id, ids[n * 4 :], start + n, prompt, total))
+            self.emit(part)
+
     def emit(self, items: list[tuple]) -> None:
         offset = 0
         for doc_id, ids, start, prompt, total in items:
@@ -184,19 +201,7 @@ class Packer:
     def finish(self) -> None:
         while self.items:
             self.place()
-        rest, left = self.open, int(self.used[0])
-        while left:
-            size, part = 1 << (left.bit_length() - 1), []
-            left -= size
-            while size:
-                doc_id, ids, start, prompt, total = rest.pop(0)
-                n = min(size, len(ids) // 4)
-                part.append((doc_id, ids[: n * 4], start, prompt, total))
-                size -= n
-                if n * 4 < len(ids):
-                    rest.insert(0, (doc_id, ids[n * 4 :], start + n, prompt, total))
-            self.emit(part)
-        self.open, self.used = [], np.zeros(3)
+        self.close()
 
 
 def tokenising(tokenizer_path: str, end_id: int = END_ID) -> Callable:

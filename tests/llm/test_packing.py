@@ -45,7 +45,19 @@ def test_every_id_once_within_limits(limits):
     for k, own in by.items():
         own.sort(key=lambda p: p["start"])
         assert b"".join(p["ids"] for p in own) == whole[k] and [p["start"] for p in own] == np.cumsum([0, *[p["length"] for p in own[:-1]]]).tolist()
-    check_sequences(pieces, limits)
+    assert check_sequences(pieces, limits)[0] == 0
+
+
+@pytest.mark.parametrize("most", [1, 3, 9])
+def test_short_texts_need_no_padding(most):
+    rng, packer = random.Random(5), pk.Packer(pk.Limits(), 0)
+    for k in range(20_000):
+        packer.add(k, b"\1\0\0\0" * rng.randint(1, most))
+    packer.finish()
+    names = [c.split()[0] for c in pk.PIECES.split(", ")]
+    pieces = [dict(zip(names, row, strict=True)) for row in packer.out]
+    pad, total = check_sequences(pieces, pk.Limits())
+    assert pad == 0 and total >= 20_000 and len({p["doc_id"] for p in pieces}) == 20_000
 
 
 def test_documents(spark):
@@ -96,7 +108,7 @@ def test_instructions(spark, odd):
     w = pk.words(PATH)
     want = examples_of([(r.conv_id, r.position, r.role, r.text) for r in turns.collect()], lambda t: np.frombuffer(w.encode(t), "<u4").tolist())
     pieces = [r.asDict() for r in pk.pack(pk.instructions(turns, PATH), pk.INSTRUCTIONS).collect()]
-    check_sequences(pieces, pk.INSTRUCTIONS)
+    assert check_sequences(pieces, pk.INSTRUCTIONS)[0] == 0
     by, sequences = defaultdict(list), defaultdict(lambda: np.zeros(3, int))
     for p in pieces:
         by[p["doc_id"], p["part"]].append(p)
