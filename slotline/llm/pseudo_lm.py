@@ -9,11 +9,13 @@ the masked word it sees the NAMED commonest words as themselves and others as th
 these are its tokens. A text's score is the sum of the log probabilities of all its words,
 each with every other word of its window in sight.
 
-Counts cover all texts, and so does the network's training: from weights that the driver
-gets from about TRAIN_DOCS texts (twice as many at most) of at most TRAIN_BYTES bytes, each task goes once over every
-word of its texts, and the tasks' weights are averaged by their words. The vocabulary grows
-with the corpus: tasks get the counts of the HOT commonest words, and all rarer words are
-joined to their counts.
+Counts cover all texts, and so does the network's training: every word of every text is gone
+over once, in rounds that each take a share of the texts (ROUNDS) by a hash. In a round each
+task goes on from the same weights over its texts, and the tasks' weights are averaged by
+their words; the first round starts from a seed and the classes' masses. The vocabulary
+grows with the corpus: tasks get the counts of the HOT commonest words, and all rarer words
+are joined to their counts. Counts of 2^EXACT or more keep their first EXACT bits, so that
+there is a bound on how many different ones there are.
 
 Defined cases. A null text is empty; a text without words has 0 words, sum and mean 0. Null
 ids stay null. Repeated rows are counted and scored each. A word that no text of the fit has
@@ -33,13 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import hashed_share, small_batches, stash, texts, tidy
+from slotline.llm.common import small_batches, stash, texts, tidy
 from slotline.llm.words import chunks
 
 HOT, NAMED, CLASSES, WINDOW = 1 << 18, 256, 128, 2
 WIDTH, HIDDEN = 16, 32
-TRAIN_DOCS, TRAIN_BYTES, EPOCHS = 1000, 30_000, 2
-BATCH, RATE = 2048, 0.0015
+EXACT = 14
+#: Sixteenths of the texts up to which a round goes, its words a step and its step size.
+ROUNDS = ((1, 512, 0.003), (4, 2048, 0.003), (16, 2048, 0.0015))
 EDGE = NAMED + CLASSES  # the token beyond a text's ends
 JOINED = 65_535  # in place of a token: a word whose count is joined
 
@@ -70,7 +73,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield from met()
 
-    return texts(docs).select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    n = F.expr(f"if(n < {1 << EXACT}, n, n - n % shiftleft(1L, length(bin(n)) - {EXACT}))")
+    return texts(docs).select("text").mapInArrow(tidy(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("n", n)
 
 
 @dataclass
@@ -108,7 +112,7 @@ class Vocabulary:
 def vocabulary(docs: DataFrame, hot: int = HOT) -> Vocabulary:
     small_batches(docs.sparkSession)
     counts = stash(word_counts(docs), "words")
-    got = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()  # as many rows as there are different counts
+    got = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()  # a row for each different count: under a million
     n, words = got["n"].to_numpy(), got["words"].to_numpy()
     order = np.argsort(n)
     n, words = np.concatenate([[0], n[order]]), np.concatenate([[1], words[order]])  # one word is unseen
@@ -231,7 +235,7 @@ class Trainer:
             self.p[i] = (self.p[i] - self.rate * (self.m[i] / (1 - 0.9**self.step)) / (np.sqrt(self.v[i] / (1 - 0.999**self.step)) + 1e-8)).astype(np.float32)
 
 
-def train(chains: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.003, seed: int = 7) -> Model:
+def train(chains: list[np.ndarray], counts: np.ndarray, epochs: int = 2, batch: int = 512, rate: float = 0.003, seed: int = 7) -> Model:
     """A network trained on these texts alone, at the driver."""
     classes, within = classes_of(counts)
     mass = np.bincount(classes, weights=counts + 0.5, minlength=CLASSES)
@@ -239,12 +243,16 @@ def train(chains: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, ba
     return Model(tokens, within, of_token, *start([tokens[c] for c in chains if len(c)], of_token, mass, epochs, batch, rate, seed))
 
 
-def start(chains: list[np.ndarray], of_token: np.ndarray, mass: np.ndarray, epochs: int = EPOCHS, batch: int = 512, rate: float = 0.003, seed: int = 7) -> list[np.ndarray]:
-    """Weights trained on the tokens of a few texts."""
-    rng = np.random.default_rng(seed)
+def seeded(mass: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Weights that say little but the classes' masses."""
     f32 = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    p = [f32(EDGE + 1, WIDTH), f32(2 * WINDOW * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), f32(HIDDEN, CLASSES), np.log((mass + 1e-3) / mass.sum()).astype(np.float32)]
-    trainer = Trainer(p, rate)
+    return [f32(EDGE + 1, WIDTH), f32(2 * WINDOW * WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), f32(HIDDEN, CLASSES), np.log((mass + 1e-3) / mass.sum()).astype(np.float32)]
+
+
+def start(chains: list[np.ndarray], of_token: np.ndarray, mass: np.ndarray, epochs: int = 2, batch: int = 512, rate: float = 0.003, seed: int = 7) -> list[np.ndarray]:
+    """Weights trained on the tokens of these texts alone, at the driver."""
+    rng = np.random.default_rng(seed)
+    trainer = Trainer(seeded(mass, rng), rate)
     if chains:
         x, y = np.concatenate([windows(c) for c in chains]), of_token[np.concatenate(chains)]
         for _ in range(epochs):
@@ -255,8 +263,17 @@ def start(chains: list[np.ndarray], of_token: np.ndarray, mass: np.ndarray, epoc
     return trainer.p
 
 
-def train_all(chains: DataFrame, of_token: np.ndarray, p: list[np.ndarray], batch: int = BATCH, rate: float = RATE) -> list[np.ndarray]:
-    """The weights p trained on by every word of all chains (`tokens`: two bytes per word).
+def train_all(chains: DataFrame, of_token: np.ndarray, mass: np.ndarray, seed: int = 7) -> list[np.ndarray]:
+    """Weights trained by every word of all chains (`tokens`: two bytes per word), a share of them in each round."""
+    p, low = seeded(mass, np.random.default_rng(seed)), 0
+    share = F.pmod(F.xxhash64("tokens", "doc_id"), F.lit(16))
+    for high, batch, rate in ROUNDS:
+        p, low = train_on(chains.filter((share >= low) & (share < high)), of_token, p, batch, rate), high
+    return p
+
+
+def train_on(chains: DataFrame, of_token: np.ndarray, p: list[np.ndarray], batch: int, rate: float) -> list[np.ndarray]:
+    """The weights p trained on by every word of these chains.
 
     Each task goes once over its chains, from p; the tasks' weights are averaged by their words.
     """
@@ -379,18 +396,15 @@ def chains_of(docs: DataFrame, v: Vocabulary) -> DataFrame:
     return stash(rows.filter("length(places) = 0").select(*kept).union(joined), "tokens")
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, hot: int = HOT) -> Model:
-    """Counts from all texts; the network starts from a bounded sample and is trained on by all texts."""
+def fit(docs: DataFrame, hot: int = HOT) -> Model:
+    """Counts and network of all texts."""
     v = vocabulary(docs, hot)
-    return fit_chains(v, chains_of(docs, v), train_docs, train_bytes)
+    return fit_chains(v, chains_of(docs, v))
 
 
-def fit_chains(v: Vocabulary, chains: DataFrame, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
-    rows = hashed_share(chains, train_docs, "doc_id", "tokens").filter(F.col("bytes") <= train_bytes)
-    sample = rows.orderBy(F.xxhash64("doc_id", "tokens"), "doc_id").limit(2 * train_docs).select("tokens").toArrow()
-    first = start([np.frombuffer(c, np.uint16) for c in sample["tokens"].to_pylist() if c], v.of_token, v.mass)
+def fit_chains(v: Vocabulary, chains: DataFrame) -> Model:
     within = v.within[np.searchsorted(v.n, v.hot_n)]
-    return Model(Hot(v.hot, v.hot_token, v.classes[0] + np.uint16(NAMED)), Hot(v.hot, within, v.within[0]), v.of_token, *train_all(chains, v.of_token, first), v)
+    return Model(Hot(v.hot, v.hot_token, v.classes[0] + np.uint16(NAMED)), Hot(v.hot, within, v.within[0]), v.of_token, *train_all(chains, v.of_token, v.mass), v)
 
 
 def score_chains(chains: DataFrame, model: Model) -> DataFrame:

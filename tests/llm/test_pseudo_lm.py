@@ -62,13 +62,12 @@ def test_odd_rows(odd_docs, no_docs):
 
 
 def test_network_learns_from_all_texts(spark):
-    """A passage that only texts outside the driver's sample hold (one is too long for it) is learned."""
+    """A passage that only one text holds, and a long one, is learned by its network, and not by one of the other texts."""
     rng = np.random.default_rng(3)
     words = [f"w{k}" for k in range(60)]
     noise = [(k, " ".join(rng.choice(words, 40))) for k in range(40)]
     passage = " ".join(words) + " "
     docs = spark.createDataFrame([*noise, (40, passage * 2500)], "doc_id long, text string").repartition(2)
-    assert len(passage * 2500) > lm.TRAIN_BYTES
     model = lm.fit(docs)
     v = model.vocabulary
     bounded = lm.Model(model.tokens, model.within, v.of_token, *lm.start([model.tokens[lm.word_ids(t)] for _, t in noise], v.of_token, v.mass), v)
@@ -102,3 +101,20 @@ def test_every_word_has_its_own_count(spark):
         assert v.of_token[np.frombuffer(by_id[doc_id].tokens, np.uint16)].tolist() == v.classes[at].tolist() and np.isclose(by_id[doc_id].within, v.within[at].astype(float).sum(), rtol=1e-4)
     share = np.bincount(v.classes[[place[n] for n in want.values()]], weights=np.exp([float(v.within[place[n]]) for n in want.values()]), minlength=lm.CLASSES)
     assert all(np.isclose(x, 1, atol=1e-2) for x in share if x)
+
+
+def test_rounds_cover_every_word_once(spark, monkeypatch):
+    """The shares of the rounds are disjoint and whole."""
+    docs = spark.createDataFrame([(k, f"w{k} x y z") for k in range(500)] + [(None, "a b")] * 3, "doc_id long, text string")
+    v = lm.vocabulary(docs)
+    chains, seen = lm.chains_of(docs, v), []
+    monkeypatch.setattr(lm, "train_on", lambda rows, of_token, p, batch, rate: (seen.append(rows.count()), p)[1])
+    lm.train_all(chains, v.of_token, v.mass)
+    assert sum(seen) == 503 and all(seen) and len(seen) == len(lm.ROUNDS)
+
+
+def test_large_counts_are_few(spark):
+    """Counts keep their first bits from a limit on, and stay in order."""
+    text = "a " * 20_001 + "b " * 20_002 + "c " * 40_000 + "d"
+    got = sorted(r.n for r in lm.word_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect())
+    assert got == [1, 20_000, 20_002, 40_000]
