@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotline.llm.common import Scratch, free, partitions, small_batches, stash, texts, tidy
+from slotline.llm.common import Scratch, free, left_join, partitions, small_batches, stash, texts, tidy
 from slotline.llm.words import U, chunks, mix
 
 SHINGLE, PERCENT = 5, 75
@@ -52,6 +52,7 @@ SHORT_LIST = 12
 WHOLE, VERTICAL = 8192, 16  # larger sets are compared in so many ranges
 ROUNDS, CELL, BLOCK, TOPS = 3, 16, 1024, 4
 BLOOM_BITS = 1 << 27  # at most
+MARK_BITS = 32  # a shingle's mark within its fragment; at most 32
 
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 _CORE, _SPLIT, _ROW = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32((1 << 30) - 1)
@@ -222,13 +223,18 @@ def cut(bins: np.ndarray, fragments: int, rows: np.ndarray, rows_a_list: int) ->
     low += [(level << 60) + (k << 60) // few for level in range(1, 16) for k in range(few)]
     low = np.unique(np.array(low, U))
     width = np.diff(np.append(low, np.iinfo(U).max))
-    shift = np.array([max(0, int(w).bit_length() - 32) for w in width], U)
+    shift = np.array([max(0, int(w).bit_length() - MARK_BITS) for w in width], U)
     spread = np.maximum(1, np.ceil(rows / rows_a_list)).astype(U)
     return Cuts(low, shift, spread, len(low) + (fragments if (spread > 1).any() else 0))
 
 
 def signatures(docs: DataFrame, level: np.ndarray, cuts: Cuts) -> DataFrame:
-    """For each task, part and fragment: its classes (name and size) and their first shingles there."""
+    """For each task, part and fragment: its classes (name and size) and their first shingles there.
+
+    Different shingles of one class may get the same mark. How many do, which is none for most
+    classes, is sent as a row of its own: what two classes share is counted short by no more
+    than the smaller of their numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -242,6 +248,12 @@ def signatures(docs: DataFrame, level: np.ndarray, cuts: Cuts) -> DataFrame:
             at = places(np.concatenate([[0], np.cumsum(n)]))
             f, mark = cuts.of(k)
             lv = (k >> U(60)).astype(np.int64)
+            place = np.lexsort((mark, f, of))
+            again = (of[place][1:] == of[place][:-1]) & (f[place][1:] == f[place][:-1]) & (mark[place][1:] == mark[place][:-1])
+            met = np.bincount(of[place][1:][again], minlength=len(keys))
+            if met.any():
+                own = np.flatnonzero(met)
+                yield _batch(part=([0], pa.int32()), fragment=([-1], pa.int32()), classes=([np.column_stack([table[own, :2], met[own]]).tobytes()], pa.binary()), marks=([b""], pa.binary()), rows=([b""], pa.binary()))
             part = cuts.part(f, lv, table[of, 0])
             row = of.astype(np.uint32) | np.where(at < core(table[of, 2]), _CORE, np.uint32(0)) | np.where(cuts.spread[lv] > 1, _SPLIT, np.uint32(0))
             to = part << 32 | f
@@ -306,7 +318,8 @@ CANDIDATES = "kind int, a1 long, a2 long, b1 long, b2 long, shared long, list lo
 
 def candidates(sent: DataFrame, cuts: Cuts) -> DataFrame:
     """Of each fragment: pairs (kind 0: names a and b, lists shared, core), members of long lists
-    (kind 1: name a, list, core) and pairs along the trees of long lists (kind 2: names a and b)."""
+    (kind 1: name a, list, core) and pairs along the trees of long lists (kind 2: names a and b);
+    and classes whose own marks coincide (kind 3: name a, shared: how many)."""
 
     def batch(kind: int, one: np.ndarray, two: np.ndarray | None, count: np.ndarray | None, number: np.ndarray | None, flag: np.ndarray | None) -> pa.RecordBatch:
         none = [None] * len(one)
@@ -349,7 +362,11 @@ def candidates(sent: DataFrame, cuts: Cuts) -> DataFrame:
         got: dict[int, list[tuple]] = {}
         for b in batches:
             for f, *rest in zip(*(b.column(c).to_pylist() for c in ("fragment", "classes", "marks", "rows")), strict=True):
-                got.setdefault(f, []).append(tuple(rest))
+                if f < 0:
+                    table = np.frombuffer(rest[0], np.int64).reshape(-1, 3)
+                    yield batch(3, table, None, table[:, 2], None, None)
+                else:
+                    got.setdefault(f, []).append(tuple(rest))
         while got:
             yield from of(*got.popitem())
 
@@ -471,14 +488,14 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def possible(shared: Column) -> Column:
-    """Whether sets a and b that share so many of their first shingles may be similar enough; 1 is for marks that coincide."""
+    """Whether sets a and b that share so many of their first shingles, or as many more as marks of theirs coincide (d_a, d_b), may be similar enough."""
     most = F.greatest("n_a", "n_b")
     needed = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT))
-    return shared + 1 >= needed - (F.ceil(PERCENT * most / 100) - 1)
+    return shared + F.least("d_a", "d_b") >= needed - (F.ceil(PERCENT * most / 100) - 1)
 
 
 NONE = np.iinfo(np.int64).min  # no list
-MEMBER = ["a", "n_a", "core", "k", "s", "c", "tops", "core_tops"]
+MEMBER = ["a", "n_a", "core", "k", "s", "d", "c", "tops", "core_tops"]
 
 
 def block_pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -489,7 +506,8 @@ def block_pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool)
     first = (na < nb) | ((na == nb) & (column("a") < y["a"]))
     ok = (column("c") != y["c"]) & (100 * smaller >= PERCENT * larger) & np.where(first, column("core"), y["core"])
     shared = np.minimum(column("k"), y["k"]) + np.minimum(column("s"), y["s"])
-    ok &= shared + 1 >= need(na, nb) - (-(-PERCENT * larger // 100) - 1)
+    shared = shared + np.minimum(column("d"), y["d"])
+    ok &= shared >= need(na, nb) - (-(-PERCENT * larger // 100) - 1)
     if same:
         ok &= column("a") < y["a"]
     i, j = np.nonzero(ok)
@@ -532,7 +550,7 @@ def meetings(rows: DataFrame) -> DataFrame:
         sides = []
         for s in (0, 1):
             part = t.filter(pc.equal(t["side"], s)).combine_chunks()
-            side = {c: part[c].to_numpy() for c in ("a", "n_a", "core", "k", "s", "c")}
+            side = {c: part[c].to_numpy() for c in ("a", "n_a", "core", "k", "s", "d", "c")}
             side |= larger_lists(part["tops"].to_pylist(), part["core_tops"].to_pylist(), t["list"][0].as_py())
             sides.append(side)
         alone = t["alone"][0].as_py()
@@ -561,7 +579,7 @@ def members(docs: DataFrame) -> DataFrame:
     counted = scratch.put(profiles(docs), "profiles")
     rows = counted.filter("n is not null").select("doc_id", "mark", "n", "m1", "m2")
     level, common, bins = levels(counted)
-    classes = rows.filter("n > 0").groupBy("n", "m1", "m2").agg(F.min("doc_id").alias("rep_id"))
+    classes = rows.filter("n > 0").groupBy("n", "m1", "m2").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     cuts = cut(bins, max(partitions(spark), -(-total // (4 * ROWS_A_FRAGMENT))), common, ROWS_A_LIST)
@@ -576,11 +594,15 @@ def members(docs: DataFrame) -> DataFrame:
     lists = scratch.put(numbered(found.filter("kind = 1").select("a1", "a2", "list", "core"), "a").groupBy("list", "a", "n_a").agg(F.max("core").alias("core")), "lists")
     in_long = scratch.put(lists.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "long")
     sides = ["a1", "a2", "b1", "b2"]
-    short = found.filter("kind <> 1").groupBy(*sides).agg(F.sum("shared").alias("shared"), F.max(F.col("core") | (F.col("kind") == 2)).alias("core"))
+    met = found.filter("kind = 3").groupBy("a1", "a2").agg(F.max("shared").alias("d"))
+    met = scratch.put(numbered(met, "a").select("a", "d"), "coinciding")
+    short = found.filter("kind in (0, 2)").groupBy(*sides).agg(F.sum("shared").alias("shared"), F.max(F.col("core") | (F.col("kind") == 2)).alias("core"))
     short = numbered(short, "a", "b").withColumn("shared", F.coalesce("shared", F.lit(0)))
     short = short.join(in_long.withColumnRenamed("k", "k_a"), "a", "left").join(in_long.select(F.col("a").alias("b"), F.col("k").alias("k_b")), "b", "left")
     more = F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0)))
-    short = scratch.put(short.filter(possible(F.col("shared") + more)).drop("k_a", "k_b"), "short")
+    for s in "ab":
+        short = short.join(met.toDF(s, f"d_{s}"), s, "left").fillna(0, [f"d_{s}"])
+    short = scratch.put(short.filter(possible(F.col("shared") + more)).drop("k_a", "k_b", "d_a", "d_b"), "short")
 
     def links(pairs: DataFrame) -> DataFrame:
         """Of pairs with names those that are similar enough; only their sets are read."""
@@ -596,7 +618,7 @@ def members(docs: DataFrame) -> DataFrame:
         sized = lists.join(lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")), "list")
         first = F.slice(F.sort_array(F.collect_list(F.struct("size", "list", "core")), asc=False), 1, TOPS)
         tops = sized.groupBy("a").agg(first.alias("t")).select("a", F.col("t.list").alias("tops"), F.col("t.core").alias("core_tops"))
-        about = in_long.join(beside, "a", "left").join(tops, "a").withColumn("s", F.coalesce("s", F.lit(0)))
+        about = in_long.join(beside, "a", "left").join(tops, "a").join(met, "a", "left").fillna(0, ["s", "d"])
         in_lists = scratch.put(sized.join(about, "a"), "members")
 
         def mixed(linked: DataFrame) -> DataFrame:
@@ -615,17 +637,19 @@ def members(docs: DataFrame) -> DataFrame:
             # pairs of a few classes that a hash puts side by side join most components
             place = F.pmod(F.xxhash64("a", "list", "turn"), F.lit(1 << 30)) / F.lit(float(1 << 30))
             cells = left.filter(F.array_contains("tops", F.col("list"))).withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS)))).withColumn("cell", F.floor(place * F.ceil(F.col("size") / CELL)))
-            other = cells.select("list", "turn", "cell", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("c").alias("d"), F.col("k").alias("k_b"), F.col("s").alias("s_b"))
+            other = cells.select("list", "turn", "cell", F.col("a").alias("b"), F.col("n_a").alias("n_b"), F.col("c").alias("c_b"), F.col("k").alias("k_b"), F.col("s").alias("s_b"), F.col("d").alias("d_b"))
             near = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-            near &= F.col("core") & (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (F.col("c") != F.col("d"))
-            some = cells.join(other, ["list", "turn", "cell"]).filter(near & possible(F.least("k", "k_b") + F.least("s", "s_b")))
+            near &= F.col("core") & (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (F.col("c") != F.col("c_b"))
+            some = cells.withColumnRenamed("d", "d_a").join(other, ["list", "turn", "cell"]).filter(near & possible(F.least("k", "k_b") + F.least("s", "s_b")))
             linked = joined(linked, some.select("a", "b", "n_a", "n_b").distinct())
             linked = joined(linked, meetings(mixed(linked)))
-    named = classes.join(linked, F.col("cid") == F.col("node"), "left").select("n", "m1", "m2", "rep_id", F.coalesce("component", "cid").alias("c"))
+    named = classes.join(linked, F.col("cid") == F.col("node"), "left").select("n", "m1", "m2", "rep_id", "copies", F.coalesce("component", "cid").alias("c"))
     named = scratch.put(named, "named")
     smallest = named.groupBy("c").agg(F.min("rep_id").alias("component_id"))
-    named = named.join(smallest, "c").select("n", "m1", "m2", "component_id")
-    out = rows.filter("n > 0").join(named, ["n", "m1", "m2"]).select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id")
+    name = F.struct("n", "m1", "m2").alias("name")
+    named = scratch.put(named.join(smallest, "c").select(name, "copies", "component_id"), "component")
+    texts_of = named.agg(F.sum("copies")).first()[0] or 0
+    out = left_join(rows.filter("n > 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), name), named, "name", "copies", texts_of).select("doc_id", "mark", "n_shingles", "component_id")
     out = stash(out.unionByName(rows.filter("n = 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "components")
     scratch.drop()
     return out

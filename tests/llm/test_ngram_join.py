@@ -72,6 +72,37 @@ def test_dealt_lists_and_blocks(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("bits", [3, 8])
+def test_coinciding_marks(spark, monkeypatch, bits):
+    """Where different shingles of a text get one mark, pairs just similar enough are still found.
+
+    The shingles that a pair shares are common ones, which go last in the order.
+    """
+    monkeypatch.setattr(nj, "MARK_BITS", bits)
+    rng = random.Random(bits)
+    fresh = lambda n: [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n)]
+    rows = []
+    for _ in range(6):
+        base = fresh(400)
+        for share in (0.84, 0.86, 0.88, 0.9):
+            rows.append(" ".join(base[: int(400 * share)] + fresh(400 - int(400 * share))))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    counts = []
+    nj_candidates = nj.candidates
+    monkeypatch.setattr(nj, "candidates", lambda sent, cuts: (counts.append(sent.filter("fragment < 0").count()), nj_candidates(sent, cuts))[1])
+    got = nj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+    assert counts[0] > 0
+
+
+def test_very_common_text(spark):
+    """A text that most rows hold is joined to its component without its rows meeting in one task."""
+    rows = [(k, "one two three four five six seven") for k in range(500)] + [(k, f"x{k} y z a b c d e") for k in range(500, 520)] + [(None, "one two three four five six seven")]
+    got = nj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in nj.join(odd_docs).collect()), key=str) == brute(rows)
