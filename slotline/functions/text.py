@@ -48,5 +48,6 @@ def url_quote(x: Column | str) -> Column:
 
 
 def request_id(*fields: str) -> Column:
-    """A repeatable identifier of a booking."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
+    """A repeatable identifier of a booking: each field goes in with its length, and a null one as `-`, so that no two lists of fields run together."""
+    text = [F.col(f).cast("string") for f in fields]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]), 256)

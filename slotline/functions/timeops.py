@@ -48,9 +48,16 @@ def compact_utc(utc: Column | str) -> Column:
     return F.date_format(_c(utc), "yyyyMMdd'T'HHmmss'Z'")
 
 
+def ntz_of(instant: Column | str) -> Column:
+    """An instant as TIMESTAMP_NTZ in UTC, whatever the session's zone."""
+    seconds = (F.unix_micros(_c(instant)).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def parse_iso(text: Column | str) -> Column:
     """ISO text with or without an offset or a fraction as TIMESTAMP_NTZ in UTC; null if it can't be read.
 
-    The session's time zone has to be UTC.
+    Text without an offset is UTC; the session's zone plays no part.
     """
-    return F.try_to_timestamp(_c(text)).cast("timestamp_ntz")
+    offset = F.rlike(_c(text), F.lit(r"[T ]\d{1,2}:.*(?:Z|[+-]\d{1,2}(?::?\d{2})?)\s*$"))
+    return F.when(offset, ntz_of(F.try_to_timestamp(_c(text)))).otherwise(_c(text).try_cast("timestamp_ntz"))

@@ -8,6 +8,31 @@ from pyspark.sql import functions as F
 from slotline.functions.timeops import SLOT_MINUTES
 
 
+def _islands(rows: DataFrame, *group: str) -> DataFrame:
+    """Within each group the unions of intervals that overlap or touch: an interval that begins after all before it have ended opens a new one."""
+    w = Window.partitionBy(*group).orderBy("busy_start", "busy_end")
+    until = F.max("busy_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("busy_start") <= until, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_island", island).groupBy(*group, "_island").agg(F.min("busy_start").alias("busy_start"), F.max("busy_end").alias("busy_end")).drop("_island")
+
+
+def merged_busy(busy: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """staff_id, busy_start, busy_end: each staff member's busy time as disjoint intervals, within `first` and `last` if given.
+
+    Intervals are merged within the day in which they begin first, which spreads one staff
+    member's calendar over tasks, and what is left of each day, a few intervals, once more.
+    Empty and reversed intervals go, and those without a staff member or an end.
+    """
+    start, end = F.col("busy_start"), F.col("busy_end")
+    if first is not None:
+        start = F.greatest(start, first)
+    if last is not None:
+        end = F.least(end, last)
+    rows = busy.filter("staff_id is not null and busy_start < busy_end").select("staff_id", start.alias("busy_start"), end.alias("busy_end")).filter("busy_start < busy_end").distinct()
+    days = _islands(rows.withColumn("_day", F.to_date("busy_start")), "staff_id", "_day")
+    return _islands(days.drop("_day"), "staff_id")
+
+
 def _by_day(busy: DataFrame) -> DataFrame:
     """Each busy interval on every day on which a slot that it touches may start."""
     first = F.to_date(F.col("busy_start") - F.expr(f"INTERVAL {SLOT_MINUTES} MINUTES"))
@@ -74,3 +99,12 @@ def availability_map(rows: DataFrame) -> DataFrame:
 
 def any_open(rows: DataFrame) -> DataFrame:
     return rows.groupBy("staff_id").agg(F.bool_or("offered").alias("any_open"), F.count_if("offered").alias("n_open"))
+
+
+def open_slots_merged(slots: DataFrame, busy: DataFrame) -> DataFrame:
+    """`open_slots` by the union of busy times within the calendar: a slot meets an interval or two, however many overlap or however long they are."""
+    first, last = slots.agg(F.min("start_utc").cast("string"), F.max("end_utc").cast("string")).first()
+    if first is None:
+        return slots
+    first, last = (F.lit(x).cast("timestamp_ntz") for x in (first, last))
+    return open_slots(slots, merged_busy(busy.filter((F.col("busy_end") > first) & (F.col("busy_start") < last)), first, last))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotline.functions.text import CONFIRMED, PENDING, filled, status_of
+from slotline.operators.ordering import number_rows
 
 ALL = "all"
 CONFIRMING = ("event_created", "confirmed", "email_sent")
@@ -47,6 +48,11 @@ def numbered(rows: DataFrame, day: str = "created") -> DataFrame:
     return with_status(rows).withColumn("number", F.row_number().over(w))
 
 
+def numbered_list(rows: DataFrame, status: str = ALL, at: str = "created", id_: str = "booking_id") -> DataFrame:
+    """The bookings of a status with numbers from 1 over the whole list, in order of time and id; those without a time come first."""
+    return number_rows(status_filter(rows, status), F.col(at).asc_nulls_first(), F.col(id_).asc_nulls_first())
+
+
 def has_link(rows: DataFrame) -> DataFrame:
     return rows.filter(filled("event_link"))
 

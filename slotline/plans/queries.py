@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from slotline.operators import bookings as bk
 from slotline.operators import catalogue as cat
 from slotline.operators import outreach as out
 from slotline.operators import slots as sl
+from slotline.operators import state as st
 from slotline.plans import views as v
-from slotline.sources import bookings_csv, landed_json
+from slotline.sources import bookings_csv, landed_json, split_csv, versions
 from slotline.sources.dimensions import SLOT_OPTIONS, option_of
 from slotline.sources.scratch import new_path
 from slotline.streaming import intake
@@ -23,6 +25,8 @@ from slotline.streaming import intake
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TERM, OFFICE = "ne", "office@example.com"
+BUCKETS = 64
+STATE = "booking_id long, status string, confirmed_utc timestamp_ntz, email_sent_utc timestamp_ntz, event_link string, meet_link string"
 
 
 def query(f: Query) -> Query:
@@ -111,6 +115,20 @@ def taken_slots(s: SparkSession, d: str) -> DataFrame:
     return av.taken_slots(v.calendar(s, d), v.busy(s, d)).select("staff_id", "slot_key", "start_utc", "end_utc")
 
 
+@query
+def open_slots_merged(s: SparkSession, d: str) -> DataFrame:
+    """The open slots again, by each staff member's busy time as disjoint intervals."""
+    return av.open_slots_merged(v.calendar(s, d), v.busy(s, d)).select("staff_id", "slot_key", "start_utc", "end_utc")
+
+
+@query
+def merged_busy(s: SparkSession, d: str) -> DataFrame:
+    """The six hours after each click and purchase, and each month after a signup of every eleventh staff member, as disjoint intervals."""
+    e = v.read(s, d, "events").filter("event_type in ('click', 'purchase') or event_type = 'signup' and user_id % 11 = 0")
+    span = F.when(F.col("event_type") == "signup", F.expr("INTERVAL 30 DAYS")).otherwise(F.expr("INTERVAL 6 HOURS"))
+    return av.merged_busy(e.select(F.col("user_id").alias("staff_id"), F.col("ts").alias("busy_start"), (F.col("ts") + span).alias("busy_end")))
+
+
 def _available(s: SparkSession, d: str) -> DataFrame:
     return av.availability(v.calendar(s, d), v.busy(s, d), v.checks(s, d))
 
@@ -171,6 +189,17 @@ def scan_bookings(s: SparkSession, d: str) -> DataFrame:
     return back.select(timeops.parse_iso("created_utc").alias("created"), "name", or_default("email", "").alias("email"), "slot_label", "message", or_default("event_link", "").alias("event_link"))
 
 
+@query
+def scan_headers(s: SparkSession, d: str) -> DataFrame:
+    """The bookings, written as a folder of CSV files with three headers, in one scan that splits files."""
+    rows, path = v.bookings(s, d), new_path(s, "bookings")
+    text = rows.select(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss").alias("created_utc"), "name", "email", F.col("slot_key").alias("slot_label"), F.concat("message", F.lit(",\n"), F.col("booking_id").cast("string")).alias("message"), "event_link", "status", "meet_link", "booking_id")
+    for k, columns in enumerate((["created_utc", "name", "email", "message"], ["status", "message", "created_utc", "name", "event_link"], ["name", "created_utc", "meet_link", "message", "status", "slot_label"])):
+        bookings_csv.write(text.filter(F.col("booking_id") % 3 == k).select(*columns), path)
+    back = split_csv.scan(s, path)
+    return back.select(timeops.parse_iso("created_utc").alias("created"), "name", "message", *[or_default(c, "").alias(c) for c in ("email", "event_link", "meet_link", "slot_label", "status")])
+
+
 @query
 def status_filter(s: SparkSession, d: str) -> DataFrame:
     return bk.status_filter(v.bookings(s, d), "pending").select("booking_id", "status")
@@ -221,6 +250,12 @@ def review_numbered(s: SparkSession, d: str) -> DataFrame:
     return bk.numbered(v.bookings(s, d)).select("booking_id", "status", "number")
 
 
+@query
+def review_list(s: SparkSession, d: str) -> DataFrame:
+    """Numbers over the whole list of pending bookings."""
+    return bk.numbered_list(v.bookings(s, d), "pending").select("booking_id", "number")
+
+
 @query
 def label_to_key(s: SparkSession, d: str) -> DataFrame:
     """A map from label to key, looked up for each slot that is offered."""
@@ -289,28 +324,83 @@ def booking_state(s: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def booking_state_stream(s: SparkSession, d: str) -> DataFrame:
-    """The same fold on a file stream of the action log, drained to a table."""
+def booking_state_delta(s: SparkSession, d: str) -> DataFrame:
+    """A snapshot of the log up to a day, in buckets of the booking, and what came since."""
+    log, path = v.actions(v.read(s, d, "events")), new_path(s, "snapshot")
+    before = st.save_by_booking(st.partial_state(log.filter("at < '2024-01-20'")), f"snapshot_{uuid.uuid4().hex}", path, BUCKETS)
+    return st.state_of(st.advance(before, log.filter("at >= '2024-01-20'")))
+
+
+@query
+def booking_state_bucketed(s: SparkSession, d: str) -> DataFrame:
+    """The fold over a log in buckets of the booking, without an exchange."""
+    log = st.save_by_booking(v.actions(v.read(s, d, "events")), f"log_{uuid.uuid4().hex}", new_path(s, "log"), BUCKETS)
+    return bk.booking_state(log)
+
+
+def _event_stream(s: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
-    events = s.readStream.schema(s.read.parquet(path).schema).parquet(path + "*")
+    return s.readStream.schema(s.read.parquet(path).schema).parquet(path + "*")
+
+
+@query
+def booking_state_stream(s: SparkSession, d: str) -> DataFrame:
+    """The same fold on a file stream of the action log; a batch stores the bookings that it changed."""
     sink = new_path(s, "state")
-    intake.drain(intake.running_state(v.actions(events)), sink, new_path(s, "state-checkpoint"), "complete")
-    got = s.read.parquet(sink)
-    last = got.select(F.max("epoch").alias("epoch")).first().epoch
-    return got.filter(F.col("epoch") == last).drop("epoch")
+    intake.store_changes(intake.running_state(v.actions(_event_stream(s, d))), sink, new_path(s, "state-checkpoint")).awaitTermination()
+    return versions.latest(s, sink, "booking_id", STATE)
+
+
+@query
+def booking_state_versions(s: SparkSession, d: str) -> DataFrame:
+    """The stream stopped after a part of the log, its versions compacted, and taken up again."""
+    events, log, sink, checkpoint = v.read(s, d, "events"), new_path(s, "log"), new_path(s, "state"), new_path(s, "state-checkpoint")
+    for part in ("event_id % 3 > 0", "event_id % 3 = 0"):
+        events.filter(part).write.mode("append").parquet(log)
+        stream = v.actions(s.readStream.schema(events.schema).parquet(log))
+        intake.store_changes(intake.running_state(stream), sink, checkpoint).awaitTermination()
+        if part == "event_id % 3 > 0":
+            versions.compact(s, sink, "booking_id", STATE)
+    return versions.latest(s, sink, "booking_id", STATE)
 
 
 @query
 def intake_stream(s: SparkSession, d: str) -> DataFrame:
     """Every record delivered twice, kept once."""
-    path = f"{d}/events.parquet"
-    events = v.actions(s.readStream.schema(s.read.parquet(path).schema).parquet(path + "*"))
-    twice = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
+    twice = v.actions(_event_stream(s, d)).withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
     sink = new_path(s, "intake")
     intake.drain(intake.without_redelivered(twice, "action_id", delay="60 days"), sink, new_path(s, "intake-checkpoint"))
     return s.read.parquet(sink).select("action_id", "booking_id", "action")
 
 
+@query
+def intake_log(s: SparkSession, d: str) -> DataFrame:
+    """The later half of the log, then all of it, twice; every seventh record has no id. Each is stored once."""
+    events, landed, log, checkpoint = v.read(s, d, "events"), new_path(s, "landed"), new_path(s, "intake"), new_path(s, "intake-checkpoint")
+    for part in ("ts >= '2024-01-15'", "true"):
+        events.filter(part).write.mode("append").parquet(landed)
+        rows = v.actions(s.readStream.schema(events.schema).parquet(landed)).withColumn("action_id", F.expr("if(action_id % 7 = 0, null, action_id)"))
+        twice = rows.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
+        intake.store_intake(twice, log, checkpoint, "action_id").awaitTermination()
+    return s.read.parquet(log).select("action_id", "booking_id", "action")
+
+
+@query
+def answered_requests(s: SparkSession, d: str) -> DataFrame:
+    """Each click asks, and views of the same booking within twelve hours answer; a row far ahead moves both watermarks past the last request."""
+    events, log, sink, checkpoint = v.read(s, d, "events"), new_path(s, "asked"), new_path(s, "answered"), new_path(s, "answered-checkpoint")
+    last = events.agg(F.coalesce(F.max("ts"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"))
+    ahead = last.select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.lit("click"), F.lit("view"))).alias("event_type"))
+    for part in (events, ahead):
+        part.select("event_id", "ts", "user_id", "event_type").write.mode("append").parquet(log)
+        rows = s.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string").parquet(log)
+        rows = rows.withColumn("booking_id", F.col("user_id") * 100 + F.dayofmonth("ts"))
+        requests = rows.filter("event_type = 'click'").select(F.col("event_id").alias("request_id"), "booking_id", F.col("ts").alias("asked_at"))
+        answers = rows.filter("event_type = 'view'").select("booking_id", F.col("event_id").alias("answer_id"), F.col("ts").alias("answered_at"))
+        intake.drain(intake.answered(requests, answers, "12 hours"), sink, checkpoint)
+    return s.read.parquet(sink).filter("request_id >= 0").select("request_id", "booking_id", "answer_id")
+
+
 @query
 def dedup_bookings(s: SparkSession, d: str) -> DataFrame:
     rows = v.actions(v.read(s, d, "events"))

@@ -45,7 +45,7 @@ def _quote(x: str) -> str:
 
 OVER = "exists (select 1 from busy where busy.staff_id = c.staff_id and busy_start < end_utc and busy_end > start_utc)"
 REQUEST = """'{{"summary":"Session with ' || name || '","description":"' || replace(message, '"', '\\"') || '","start":{{"dateTime":"' || strftime(start_utc, '%Y-%m-%dT%H:%M:%SZ') || '","timeZone":"UTC"}},"end":{{"dateTime":"' || strftime(end_utc, '%Y-%m-%dT%H:%M:%SZ')
-  || '","timeZone":"UTC"}},"attendees":[' || {people} || '{{"email":"office@example.com"}}],"conferenceData":{{"createRequest":{{"requestId":"' || sha256(booking_id::varchar) || '"}}}}}}'"""
+  || '","timeZone":"UTC"}},"attendees":[' || {people} || '{{"email":"office@example.com"}}],"conferenceData":{{"createRequest":{{"requestId":"' || sha256(length(booking_id::varchar) || ':' || booking_id::varchar) || '"}}}}}}'"""
 MESSAGE = "'Hi ' || coalesce(nullif(name, ''), 'there') || ', your session ' || coalesce(slot_key, '') || ' is confirmed.' || case when meet_link <> '' then ' Join: ' || meet_link else '' end"
 LANDED = "land as (select user_id * 100 + day(ts) as booking_id, event_id, ts as at_ts, 'https://calendar.example.com/' || event_id as event_link, case when event_id % 3 = 0 then 'last:' || event_id end as meet_link from events where event_type = 'view')"
 
@@ -61,6 +61,11 @@ SQL = {
     "compact_utc": f"with {SLOTTED} select booking_id, strftime(start_utc, '%Y%m%dT%H%M%SZ') as start_compact from u",
     "parse_slot": f"with {SLOTTED} select booking_id, start_utc from u",
     "open_slots": f"with {CALENDAR} select staff_id, slot_key, start_utc, end_utc from c where not {OVER}",
+    "open_slots_merged": f"with {CALENDAR} select staff_id, slot_key, start_utc, end_utc from c where not {OVER}",
+    "merged_busy": """with e as (select user_id as staff_id, ts as s, ts + case event_type when 'signup' then interval 30 day else interval 6 hour end as t from events where event_type in ('click', 'purchase') or event_type = 'signup' and user_id % 11 = 0),
+m as (select *, max(t) over (partition by staff_id order by s, t rows between unbounded preceding and 1 preceding) as until from e),
+g as (select *, sum(case when s <= until then 0 else 1 end) over (partition by staff_id order by s, t rows unbounded preceding) as island from m)
+select staff_id, min(s) as busy_start, max(t) as busy_end from g group by staff_id, island""",
     "taken_slots": f"with {CALENDAR} select staff_id, slot_key, start_utc, end_utc from c where {OVER}",
     "slot_availability": f"with {AVAILABLE} select staff_id, start_utc, slot_no, available, availability_known, offered from a",
     "slot_fallback": f"with {AVAILABLE}, n as (select *, sum(offered::int) over (partition by staff_id) as n_open from a) select staff_id, start_utc, slot_no, offered, n_open = 0 as fallback from n where offered or n_open = 0",
@@ -71,6 +76,8 @@ SQL = {
     "busy_count": f"with {CALENDAR} select staff_id, staff_id % 5 <> 0 as calendar_known, case when staff_id % 5 <> 0 then (select count(*) from busy where busy.staff_id = staff.staff_id) else 0 end::int as n_busy, case when staff_id % 5 <> 0 then (select count(*) from busy where busy.staff_id = staff.staff_id) else 0 end = 0 as free from staff",
     "freebusy_request": f"""with {CALENDAR} select staff_id, start_utc, '{{"timeMin":"' || strftime(start_utc, '%Y-%m-%dT%H:%M:%SZ') || '","timeMax":"' || strftime(end_utc, '%Y-%m-%dT%H:%M:%SZ') || '","items":[{{"id":"' || staff_id || '"}}]}}' as request from c""",
     "scan_bookings": f"with {BOOKINGS} select created, name, coalesce(email, '') as email, slot_key as slot_label, message || ',' || chr(10) || booking_id as message, coalesce(event_link, '') as event_link from b",
+    "scan_headers": f"""with {BOOKINGS} select created, name, message || ',' || chr(10) || booking_id as message, case booking_id % 3 when 0 then coalesce(email, '') else '' end as email, case booking_id % 3 when 1 then coalesce(event_link, '') else '' end as event_link,
+  case booking_id % 3 when 2 then coalesce(meet_link, '') else '' end as meet_link, case booking_id % 3 when 2 then slot_key else '' end as slot_label, case booking_id % 3 when 0 then '' else coalesce(raw_status, '') end as status from b""",
     "status_filter": f"with {BOOKINGS} select booking_id, status from b where status = 'pending'",
     "distinct_status": f"with {BOOKINGS} select distinct status from b",
     "status_options": f"with {BOOKINGS} select 0 as place, 'all' as status union all select row_number() over (order by status)::int, status from (select distinct status from b)",
@@ -82,6 +89,7 @@ SQL = {
     "review_rows": f"with {BOOKINGS} select booking_id, concat_ws(' - ', name, email, slot_key) as title, status, message, concat_ws(' ', nullif(event_link, ''), nullif(meet_link, '')) as links from b",
     "review_numbered": f"with {BOOKINGS} select booking_id, status, row_number() over (partition by status, created::date order by created, booking_id)::int as number from b",
     "label_to_key": f"with {CALENDAR} select staff_id, week, slot_no, slot_key from c",
+    "review_list": f"with {BOOKINGS} select booking_id, row_number() over (order by created, booking_id) as number from b where status = 'pending'",
     "append_union": f"with {BOOKINGS} select booking_id, created from b",
     "union_by_name": f"with {BOOKINGS} select booking_id, name, case when booking_id % 2 = 1 then raw_status end as status from b",
     "append_log": f"with {BOOKINGS} select year(created)::int as year, count(*) as n, count(distinct created::date) as n_days, max(booking_id) as last_id from b group by 1",
@@ -90,6 +98,11 @@ SQL = {
     "apply_updates": f"with {BOOKINGS} select booking_id, case when booking_id % 3 = 0 then 'confirmed' else raw_status end as status, case when booking_id % 6 = 0 then 'moved' else event_link end as event_link from b",
     "booking_state": STATE,
     "booking_state_stream": STATE,
+    "booking_state_versions": STATE,
+    "booking_state_delta": STATE,
+    "booking_state_bucketed": STATE,
+    "intake_log": f"with {ACTIONS}, d as (select distinct case when action_id % 7 <> 0 then action_id end as action_id, booking_id, at_ts, action, event_link, meet_link from act) select action_id, booking_id, action from d",
+    "answered_requests": f"with {ACTIONS} select r.action_id as request_id, r.booking_id, a.action_id as answer_id from act r left join act a on a.event_type = 'view' and a.booking_id = r.booking_id and a.at_ts between r.at_ts and r.at_ts + interval 12 hour where r.event_type = 'click'",
     "intake_stream": f"with {ACTIONS} select action_id, booking_id, action from act",
     "dedup_bookings": f"with {ACTIONS} select booking_id, action_id, event_link from act qualify row_number() over (partition by booking_id order by (event_link <> '') desc, at_ts desc, action_id desc) = 1",
     "collapse_bookings": f"with {SLOTTED} select name, email, start_local as slot_local_start, booking_id, event_link from u qualify row_number() over (partition by name, email, start_local order by coalesce(event_link, '') <> '' desc, created desc, booking_id desc) = 1",
@@ -108,7 +121,7 @@ SQL = {
     "outreach_feed": f"with {BOOKINGS} select booking_id, email as recipient, 'Session ' || coalesce(slot_key, '') as subject, {MESSAGE} as body from b where trim(email) <> ''",
     "url_quoted": f"with {BOOKINGS} select booking_id, {_quote("message || ' ~*/+é'")} as quoted from b",
     "calendar_link": f"with {SLOTTED} select booking_id, 'https://calendar.example.com/render?action=TEMPLATE&text=' || {_quote('name')} || '&dates=' || strftime(start_utc, '%Y%m%dT%H%M%SZ') || '/' || strftime(end_utc, '%Y%m%dT%H%M%SZ') || '&details=' || {_quote('message')} as link from u",
-    "request_ids": f"with {BOOKINGS} select booking_id, sha256(coalesce(name, '') || '|' || coalesce(email, '') || '|' || coalesce(slot_key, '')) as request_id from b",
+    "request_ids": f"with {BOOKINGS} select booking_id, sha256(coalesce(length(name) || ':' || name, '-') || coalesce(length(email) || ':' || email, '-') || coalesce(length(slot_key) || ':' || slot_key, '-')) as request_id from b",
     "event_links": f"with {LANDED} select event_id, event_link, meet_link from land",
     "event_request": f"with {SLOTTED} select booking_id, {REQUEST.format(people="''")} as request from u",
     "event_requests": f"""with {SLOTTED} select booking_id, {REQUEST.format(people="case when email <> '' then '{\"email\":\"' || email || '\"},' else '' end")} as request from u where event_link is null or event_link = ''""",

@@ -41,8 +41,12 @@ def write(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def append_parquet(df: DataFrame, path: str) -> None:
-    """The typed log: appended to, in a folder for each day of intake."""
-    df.withColumn("intake_date", F.to_date("created_utc")).write.mode("append").partitionBy("intake_date").parquet(path)
+    """The typed log: appended to, in a folder for each day of intake.
+
+    Rows are rebalanced by day first: a day's rows are in as many files as their size needs,
+    not in one for each task, and a hot day is split.
+    """
+    df.withColumn("intake_date", F.to_date("created_utc")).hint("rebalance", "intake_date").write.mode("append").partitionBy("intake_date").parquet(path)
 
 
 def rewrite_parquet(versions: list[DataFrame], path: str) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotline.functions.timeops import ntz_of
+
 FREEBUSY = "calendars map<string,struct<busy:array<struct<start:timestamp,end:timestamp>>,errors:array<struct<reason:string>>>>"
 EVENT = "htmlLink string, conferenceData struct<entryPoints:array<struct<entryPointType:string,uri:string>>>"
 
@@ -23,7 +25,7 @@ def freebusy(landed: DataFrame) -> DataFrame:
 def busy_intervals(answers: DataFrame) -> DataFrame:
     """staff_id, busy_start, busy_end (UTC) of the answers of `freebusy`."""
     one = answers.select("staff_id", F.explode("busy").alias("b"))
-    return one.select("staff_id", F.col("b.start").cast("timestamp_ntz").alias("busy_start"), F.col("b.end").cast("timestamp_ntz").alias("busy_end"))
+    return one.select("staff_id", ntz_of("b.start").alias("busy_start"), ntz_of("b.end").alias("busy_end"))
 
 
 def event_links(payload: Column | str) -> tuple[Column, Column]:

@@ -1,15 +1,18 @@
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from slotline.functions.text import request_id
 from slotline.operators import availability as av
 from slotline.operators import bookings as bk
 from slotline.operators import catalogue as cat
 from slotline.operators import outreach as out
 from slotline.operators.slots import slot_calendar
+from slotline.operators.ordering import number_rows
 from slotline.plans import views
-from slotline.streaming import intake
+from slotline.sources.bookings_csv import append_parquet
 from tests.conftest import TESTDATA
 
 SF = f"{TESTDATA}/sf0.001"
@@ -109,10 +112,45 @@ def test_outreach_needs_a_recipient(spark):
     assert [r.booking_id for r in got] == [3] and got[0].body.endswith("Join: m")
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    path = f"{SF}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
-    intake.drain(intake.running_state(views.actions(events)), str(tmp_path / "s"), str(tmp_path / "c"), "complete")
-    got = spark.read.parquet(str(tmp_path / "s")).drop("epoch")
-    want = bk.booking_state(views.actions(spark.read.parquet(path)))
-    assert got.exceptAll(want.select(got.columns)).isEmpty() and got.count() == want.count()
+def test_merged_busy(spark, slots):
+    """Disjoint unions of overlapping, touching, contained, repeated and years-long intervals give the same open slots, with fewer rows to join."""
+    t = datetime(2025, 12, 6, 20)
+    m = timedelta(minutes=1)
+    rows = [("a", t, t + 90 * m), ("a", t + 30 * m, t + 60 * m), ("a", t + 90 * m, t + 91 * m), ("a", t + 200 * m, t + 201 * m), ("a", t + 200 * m, t + 201 * m), ("a", t + 5 * m, t + 5 * m), ("a", t + 9 * m, t), ("b", datetime(2020, 1, 1), datetime(2030, 1, 1)), (None, t, t + m), ("c", t, None)]
+    rows += [("c", datetime(2025, 12, 7, 21) + k * m, datetime(2025, 12, 7, 21) + (k + 15) * m) for k in range(300)]
+    df = busy(spark, *rows)
+    got = sorted((r.staff_id, r.busy_start, r.busy_end) for r in av.merged_busy(df).collect())
+    assert got == [("a", t, t + 91 * m), ("a", t + 200 * m, t + 201 * m), ("b", datetime(2020, 1, 1), datetime(2030, 1, 1)), ("c", datetime(2025, 12, 7, 21), datetime(2025, 12, 7, 21) + 314 * m)]
+    plain, merged = av.open_slots(slots, df), av.open_slots_merged(slots, df)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, merged.collect())) and 0 < plain.count() < 12
+    first, last = F.lit("2025-12-06").cast("timestamp_ntz"), F.lit("2025-12-14").cast("timestamp_ntz")
+    assert av._by_day(av.merged_busy(df, first, last)).count() < 20 < 3000 < av._by_day(df).count()
+    assert av.open_slots_merged(slots, df.limit(0)).count() == 12 and av.open_slots_merged(slots.limit(0), df).count() == 0 and av.merged_busy(df.limit(0)).count() == 0
+
+
+def test_numbers_over_a_whole_list(spark):
+    """As one window gives them, over nulls and over many rows of one day."""
+    t = datetime(2025, 1, 1)
+    rows = [(k, t if k % 3 else t + timedelta(hours=k % 7), "" if k % 2 else "confirmed") for k in range(3000)] + [(9000, None, None), (None, t, None)]
+    df = spark.createDataFrame(rows, "booking_id long, created timestamp_ntz, status string").repartition(7)
+    for status in ("pending", "all"):
+        listed = bk.status_filter(df, status)
+        want = {r.booking_id: r.n for r in listed.withColumn("n", F.row_number().over(Window.orderBy(F.asc_nulls_first("created"), F.asc_nulls_first("booking_id")))).collect()}
+        assert {r.booking_id: r.number for r in bk.numbered_list(df, status).collect()} == want
+    assert "Window" not in bk.numbered_list(df)._jdf.queryExecution().executedPlan().toString()
+    assert bk.numbered_list(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(1,)] * 40, "id int").repartition(5)
+    assert sorted(r.number for r in number_rows(same, "id").collect()) == list(range(1, 41))
+
+
+def test_request_ids_do_not_run_together(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("", "x"), (None, "x"), ("-", ""), ("1:a", ""), ("1", ":a")], "a string, b string")
+    assert rows.select(request_id("a", "b").alias("id")).distinct().count() == 7
+
+
+def test_files_of_a_day_are_bounded(spark, tmp_path):
+    """However many tasks write, a small day is one file for each append."""
+    rows = spark.range(2000).select(F.col("id"), (F.lit("2025-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("id") % 3)).alias("created_utc")).repartition(16)
+    append_parquet(rows, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2000
+    assert all(len(list(d.glob("*.parquet"))) <= 2 for d in (tmp_path / "log").glob("intake_date=*"))

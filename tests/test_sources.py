@@ -1,4 +1,9 @@
-from slotline.sources import bookings_csv, landed_json
+from datetime import datetime
+
+import pytest
+
+from slotline.functions.timeops import parse_iso
+from slotline.sources import bookings_csv, landed_json, scratch
 
 HEAD = "created_utc,name,email,slot_label,slot_local_start,slot_local_end,message,event_link,meet_link"
 
@@ -49,3 +54,26 @@ def test_freebusy(spark):
     rows = [("a", True, True, f1), ("b", True, True, '{"calendars":{"b":{"busy":[]}}}'), ("c", True, False, '{"calendars":{"c":{"errors":[{"reason":"x"}]}}}'), ("d", False, True, "{}")]
     got = {r.staff_id: r for r in landed_json.freebusy(spark.createDataFrame(rows, "staff_id string, checked boolean, ok boolean, payload string")).collect()}
     assert {k: (r.n_busy, r.calendar_known) for k, r in got.items()} == {"a": (1, True), "b": (0, True), "c": (0, False), "d": (0, False)}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_instants_in_any_session_zone(spark, zone):
+    """Texts and landed answers are read as UTC whatever the session's zone, also in the hour that comes twice."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = {"2025-12-07T15:00:00-06:00": datetime(2025, 12, 7, 21), "2025-12-01T06:08:19.650101": datetime(2025, 12, 1, 6, 8, 19, 650101), "2025-11-02T01:30:00-05:00": datetime(2025, 11, 2, 6, 30), "2025-11-02T01:30:00-04:00": datetime(2025, 11, 2, 5, 30), "2025-03-09T02:30:00Z": datetime(2025, 3, 9, 2, 30), "2025-12-01": datetime(2025, 12, 1), "x": None}
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        assert {r.t: r.u for r in df.select("t", parse_iso("t").alias("u")).collect()} == texts
+        answer = '{"calendars":{"a":{"busy":[{"start":"2025-11-02T05:30:00.000001Z","end":"2025-11-02T01:30:00-05:00"}]}}}'
+        rows = landed_json.busy_intervals(landed_json.freebusy(spark.createDataFrame([("a", True, True, answer)], "staff_id string, checked boolean, ok boolean, payload string")))
+        assert [tuple(r) for r in rows.collect()] == [("a", datetime(2025, 11, 2, 5, 30, 0, 1), datetime(2025, 11, 2, 6, 30))]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_release(spark):
+    """What was put in the shared folder can be removed."""
+    df = scratch.kept(spark.range(5), "some")
+    assert df.count() == 5 and scratch.release(spark) >= 1
+    assert scratch.release(spark) == 0
