@@ -320,7 +320,7 @@ def log_likelihood(model: Model, tables: np.ndarray, buckets: np.ndarray, block:
     return float(model.within[buckets].sum(dtype=np.float64)) + of_classes(model, tables, model.tokens[buckets], block)
 
 
-def of_classes(model: Model, tables: np.ndarray, c: np.ndarray, block: int = 1024) -> float:
+def of_classes(model: Model, tables: np.ndarray, c: np.ndarray, block: int = 2048) -> float:
     """Sum of the log probabilities of the classes of a text's tokens c."""
     total = 0.0
     for x, y in blocks(c, block):
@@ -329,6 +329,29 @@ def of_classes(model: Model, tables: np.ndarray, c: np.ndarray, block: int = 102
     return total
 
 
+def of_all(model: Model, tables: np.ndarray, chains: list[np.ndarray], block: int = 2048) -> np.ndarray:
+    """`of_classes` of each of several texts; short ones share a block, with edges between them."""
+    size, out = np.array([len(c) for c in chains], np.int64), np.zeros(len(chains))
+    short = np.flatnonzero((size > 0) & (size <= block))
+    upto = np.cumsum(size[short])
+    a = 0
+    while a < len(short):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + block, "right")))
+        own = short[a:b]
+        y, n = np.concatenate([chains[k] for k in own.tolist()]), size[own]
+        begin = np.cumsum(n) - n
+        at = np.arange(len(y)) + np.repeat(WINDOW * np.arange(1, len(own) + 1), n)
+        padded = np.full(len(y) + WINDOW * (len(own) + 1), EDGE, np.int16)
+        padded[at] = y
+        x = np.stack([padded[at + d] for d in range(-WINDOW, WINDOW + 1) if d], axis=1)
+        z, _, sums = exponents(hidden(tables, model.first_bias, x), model.second, model.second_bias)
+        out[own] = np.add.reduceat((z[np.arange(len(y)), model.of_token[y]] - np.log(sums)).astype(np.float64), begin)
+        a = b
+    for k in np.flatnonzero(size > block).tolist():
+        out[k] = of_classes(model, tables, chains[k], block)
+    return out
+
+
 CHAINS = "row long, doc_id long, bytes long, n_words long, within double, tokens binary, places binary"
 
 
@@ -415,8 +438,9 @@ def score_chains(chains: DataFrame, model: Model) -> DataFrame:
         tables = model.tables()
         for b in batches:
             n = b.column("n_words")
-            got = [share + of_classes(model, tables, np.frombuffer(c, np.uint16)) if c else 0.0 for c, share in zip(b.column("tokens").to_pylist(), b.column("within").to_pylist(), strict=True)]
-            mean = np.array(got) / np.maximum(1, n.to_numpy())
+            got = b.column("within").to_numpy() + of_all(model, tables, [np.frombuffer(c, np.uint16) for c in b.column("tokens").to_pylist()])
+            got = np.where(n.to_numpy() > 0, got, 0.0)
+            mean = got / np.maximum(1, n.to_numpy())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, pa.array(got, pa.float64()), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
     return chains.select("doc_id", "n_words", "within", "tokens").mapInArrow(tidy(run), "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")

@@ -118,3 +118,13 @@ def test_large_counts_are_few(spark):
     text = "a " * 20_001 + "b " * 20_002 + "c " * 40_000 + "d"
     got = sorted(r.n for r in lm.word_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect())
     assert got == [1, 20_000, 20_002, 40_000]
+
+
+def test_texts_that_share_a_block():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 5, 4000)
+    model = lm.train([rng.integers(0, 4000, 300)], counts, epochs=1)
+    chains = [model.tokens[rng.integers(0, 4000, n)] for n in (0, 1, 2, 30, 0, 7, 64, 65, 200, 3, 0)]
+    got = lm.of_all(model, model.tables(), chains, block=64)
+    assert np.allclose(got, [lm.of_classes(model, model.tables(), c) if len(c) else 0 for c in chains], atol=1e-3)
+    assert lm.of_all(model, model.tables(), []).tolist() == []
