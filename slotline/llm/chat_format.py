@@ -132,12 +132,16 @@ class Reader:
             self.rest = self.rest[turn[4] :]
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                self.loss.update(text.encode())
-                self.loss_chars += len(text)
             got.append((role, text))
         return got
 
+    def bear(self, content: str) -> str:
+        """Count the content of a span under the loss mask, and return its text."""
+        text = unescape(content)
+        self.loss.update(text.encode())
+        self.loss_chars += len(text)
+        return text
+
     def row(self, conv: int | None) -> tuple:
         if self.rest:
             raise ValueError(f"conversation {conv} ends within a turn")
@@ -148,7 +152,11 @@ READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """A row per conversation of `format_turns`, from its formatted text; each turn must equal its source."""
+    """A row per conversation of `format_turns`, from its formatted text; each turn must equal its source.
+
+    Loss is read through the mask, the spans from loss_start to loss_end, which must hold each
+    assistant's text and nothing else.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in READ.split(", ")]
@@ -159,13 +167,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         reader, last, out = Reader(), (), []
         for b in batches:
-            for conv, role, text, formatted in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "formatted")), strict=True):
+            for conv, role, text, formatted, start, end in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "formatted", "loss_start", "loss_end")), strict=True):
                 if last != (conv,):
                     if last:
                         out.append(reader.row(*last))
                     reader, last = Reader(), (conv,)
+                place = reader.chars
                 if reader.feed(formatted) != [(role, text)]:
                     raise ValueError(f"conversation {conv} doesn't read back")
+                if (start is None) != (role != "assistant") or start is not None and reader.bear(formatted[start - place : end - place]) != text:
+                    raise ValueError(f"conversation {conv} has a wrong loss mask")
             if len(out) > 1000:
                 yield batch(out)
                 out = []
@@ -174,4 +185,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if out:
             yield batch(out)
 
-    return formatted.select("conv_id", "role", "text", "formatted").mapInArrow(run, READ)
+    return formatted.select("conv_id", "role", "text", "formatted", "loss_start", "loss_end").mapInArrow(run, READ)

@@ -13,8 +13,10 @@ to GOOD_FROM or more and that of a bad one to BAD_TO or less; these expectations
 and of transitions are what the next weights are fitted to.
 
 Bounds of the training sample (the only sample here): about TRAIN_DOCS labelled texts, a
-share of all by hashed id, of at most TRAIN_BYTES bytes, and no more than twice TRAIN_DOCS.
-Scoring reads every whole text.
+share of all by hashed id, of at most TRAIN_BYTES bytes, no more than twice TRAIN_DOCS, and
+of these, by hash, as many as hold TRAIN_LINES lines. Scoring reads every whole text; one of
+more than LONG lines has its features worked out a block of lines at a time, and its chain
+in segments side by side, so that it takes a few numbers for each line.
 
 Defined cases. A null text is empty: one empty line. A null doc_id isn't held out. Labels
 repeated for a doc_id count once, as the smallest; null labels don't count. Without any
@@ -25,6 +27,7 @@ scored each for itself. Labels, language, source and ids are no features.
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 
 from slotline.llm.common import hashed_share, texts
 
-TRAIN_DOCS, TRAIN_BYTES = 4000, 30_000
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 4000, 30_000, 300_000
+LONG = 16_384
 GOOD_FROM, BAD_TO = 0.9, 0.5
 THRESHOLD = 0.7
 OWN = 13
@@ -50,6 +54,12 @@ for _b in range(256):
 def line_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Features of each line of a text, and the lines' lengths in bytes."""
     lines = raw.split(b"\n")
+    return features_of(lines, Counter(lines))
+
+
+def features_of(lines: list[bytes], times: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """`line_features` of some of a text's lines; `times` says how often the text has each."""
+    raw = b"\n".join(lines)
     n = np.fromiter(map(len, lines), np.int64, len(lines))
     starts = np.cumsum(n + 1) - n - 1
     sums = np.zeros((len(lines), 5), np.float64)
@@ -57,13 +67,11 @@ def line_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         counts = np.add.reduceat(_KIND[np.frombuffer(raw + b"\n", np.uint8)], starts, axis=0, dtype=np.float64)
         sums[:] = counts
     size = np.maximum(n, 1)
-    seen: dict[bytes, int] = {}
     words = np.empty((len(lines), 4))
     for k, line in enumerate(lines):
         w = line.split()
-        seen[line] = seen.get(line, 0) + 1
         words[k] = (len(w), len(set(w)), sum(map(bytes.__eq__, w, w[1:])), line[-1:] in b".!?" and len(line) > 0)
-    again = np.fromiter((seen[line] for line in lines), np.float64, len(lines))
+    again = np.fromiter((times[line] for line in lines), np.float64, len(lines))
     count = np.maximum(words[:, 0], 1)
     own = np.stack(
         [
@@ -95,11 +103,57 @@ def with_neighbours(own: np.ndarray) -> np.ndarray:
     return np.hstack([own, np.vstack([blank, own[:-1]]), np.vstack([own[1:], blank]), edge])
 
 
+def unaries(raw: bytes, weights: np.ndarray, block: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """What `weights` give each line of a text, and the lines' lengths in bytes, a block of lines and its two neighbours at a time."""
+    lines = raw.split(b"\n")
+    times, out, sizes = Counter(lines), [], []
+    for a in range(0, len(lines), block):
+        first, last = max(0, a - 1), min(len(lines), a + block + 1)
+        own, size = features_of(lines[first:last], times)
+        rows = with_neighbours(own)
+        rows[0, 3 * OWN] = first == 0
+        rows[-1, 3 * OWN + 1] = last == len(lines)
+        inner = slice(a - first, a - first + min(block, len(lines) - a))
+        out.append(rows[inner] @ weights)
+        sizes.append(size[inner])
+    return np.concatenate(out), np.concatenate(sizes)
+
+
+def _along(unary: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Forward messages of one chain (n x 2), in about root of n segments that move together.
+
+    First each segment's effect on either entering label is worked out, then what enters each
+    segment one after the other, then the messages within all segments.
+    """
+    n = len(unary)
+    k = int(np.ceil(np.sqrt(n)))
+    u = np.zeros((k, k, 2))
+    u.reshape(-1, 2)[:n] = unary
+    step = lambda a: np.logaddexp(a[..., :1] + change[0], a[..., 1:] + change[1])
+    effect = change[None] + u[:, 0, None, :]
+    for t in range(1, k):
+        effect = step(effect) + u[:, t, None, :]
+    out = np.empty_like(u)
+    out[0, 0] = u[0, 0]
+    for t in range(1, k):
+        out[0, t] = step(out[0, t - 1]) + u[0, t]
+    enter = np.empty((k, 2))
+    if k > 1:
+        enter[1] = out[0, -1]
+    for j in range(2, k):
+        enter[j] = np.logaddexp(enter[j - 1, 0] + effect[j - 1, 0], enter[j - 1, 1] + effect[j - 1, 1])
+    now = enter[1:]
+    for t in range(k if k > 1 else 0):
+        now = step(now) + u[1:, t]
+        out[1:, t] = now
+    return out.reshape(-1, 2)[:n]
+
+
 def groups(sizes: list[int], cells: int = 200_000, most: int = 500) -> Iterator[list[int]]:
-    """Chains of a like length together, so that a padded group keeps within `cells` (or is one chain)."""
+    """Chains of a like length together, so that a padded group keeps within `cells` (or is one chain); those of more than LONG lines alone."""
     part: list[int] = []
     for i in sorted(range(len(sizes)), key=sizes.__getitem__):
-        if part and ((len(part) + 1) * sizes[i] > cells or len(part) == most):
+        if part and (sizes[i] > LONG or (len(part) + 1) * sizes[i] > cells or len(part) == most):
             yield part
             part = []
         part.append(i)
@@ -141,6 +195,12 @@ class Model:
             out[i] = good[row, : size[row]]
         return out, pairs, total
 
+    def long_marginals(self, unary: np.ndarray) -> np.ndarray:
+        """P(good) of each line of one long chain, from its lines' scores; backward messages are forward ones of the chain turned round."""
+        u = np.stack([np.zeros(len(unary)), unary], axis=1)
+        both = _along(u, self.change) + _along(u[::-1], self.change.T)[::-1] - u
+        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
+
     def score(self, quality: float) -> float:
         slope, place = self.curve
         return float(1 / (1 + np.exp(-np.clip(slope * (quality - place), -40, 40))))
@@ -238,6 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_
     chosen = chosen.orderBy(F.xxhash64("doc_id")).limit(2 * train_docs)
     rows = short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * train_docs)
     got = rows.toPandas()
+    got = got[(got["text"].str.count("\n") + 1).cumsum() <= TRAIN_LINES]
     return train([t.encode() for t in got["text"]], got["quality"].to_numpy(float))
 
 
@@ -251,9 +312,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             raw = [t.encode() for t in b.column("text").to_pylist()]
             for part in groups([t.count(b"\n") + 1 for t in raw]):
-                found = [line_features(raw[i]) for i in part]
-                good, _, _ = model.marginals([with_neighbours(own) for own, _ in found])
-                scores = [model.score(quality(g, size)) for g, (_, size) in zip(good, found, strict=True)]
+                if raw[part[0]].count(b"\n") >= LONG:  # such texts come one by one
+                    unary, size = unaries(raw[part[0]], model.weights)
+                    good, sizes = [model.long_marginals(unary)], [size]
+                else:
+                    found = [line_features(raw[i]) for i in part]
+                    good, _, _ = model.marginals([with_neighbours(own) for own, _ in found])
+                    sizes = [size for _, size in found]
+                scores = [model.score(quality(g, size)) for g, size in zip(good, sizes, strict=True)]
                 length = [np.fromiter(map(len, raw[i].split(b"\n")), np.int64) for i in part]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in length])]).astype(np.int32)
                 starts = np.concatenate([np.cumsum(x + 1) - x - 1 for x in length])

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from slotline.llm import chat_format as cf
 
@@ -49,3 +50,11 @@ def test_loss_spans(spark, rows):
     out = sorted(cf.format_turns(df).collect(), key=lambda r: r.position)
     whole = "".join(r.formatted for r in out)
     assert [cf.unescape(whole[r.loss_start : r.loss_end]) for r in out if r.loss_start is not None] == ["a</s>b", "a</s>b"]
+
+
+@pytest.mark.parametrize("wrong", ["loss_start + 1", "null"])
+def test_a_wrong_mask_is_seen(spark, rows, wrong):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    bad = cf.format_turns(df).withColumn("loss_start", F.expr(f"cast(if(conv_id = 1, {wrong}, loss_start) as bigint)"))
+    with pytest.raises(Exception, match="wrong loss mask"):
+        cf.read_back(bad).collect()

@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 
 from slotline.llm import quality_crf as qc
 from tests.conftest import TESTDATA
@@ -83,3 +84,30 @@ def test_lines(odd_docs, odd_labels):
     for r in qc.score(odd_docs.filter("doc_id = 9"), model).collect():
         text = odd_docs.filter("doc_id = 9").first().text.encode()
         assert [text[x.start : x.start + x.length] for x in r.lines] == text.split(b"\n")
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 17, 100, 1000])
+def test_segments_equal_the_chain(n):
+    rng = np.random.default_rng(n)
+    model = qc.Model(rng.normal(size=1), rng.normal(size=(2, 2)), (1.0, 0.0))
+    chain = rng.normal(size=(n, 1)) * 3
+    assert np.allclose(model.long_marginals(chain @ model.weights), model.marginals([chain])[0][0])
+
+
+def test_blocks_equal_the_whole_text():
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=3 * qc.OWN + 3)
+    for text in (b"", b"\n", b"a\nb b\n\nA Long line, with words.\na", b"\n".join(rng.choice([b"", b"x", b"Some words here.", b"### | ###"], 50))):
+        own, size = qc.line_features(text)
+        for block in (1, 2, 7, 100):
+            got, sizes = qc.unaries(text, weights, block)
+            assert np.allclose(got, qc.with_neighbours(own) @ weights) and (sizes == size).all()
+
+
+def test_a_million_lines(spark, odd_docs, odd_labels):
+    """A text of very many short lines is scored like a short one of the same kind, in bounded memory."""
+    model = qc.train([b"Some words that are fine.\n" * 5, b"x\n" * 5] * 20, np.array([1.0, 0.0] * 20))
+    docs = spark.createDataFrame([(1, "x\n" * 1_000_000), (2, "x\n" * 30_000), (3, "Some words that are fine.\n" * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.n) for r in qc.score(docs, model).selectExpr("doc_id", "score", "size(lines) as n").collect()}
+    assert got[1][1] == 1_000_001 and got[2][1] == 30_001 and got[3][1] == 20_001
+    assert got[1][0] < 0.2 and got[2][0] < 0.2 and got[3][0] > 0.8
