@@ -54,6 +54,13 @@ def ntz_of(instant: Column | str) -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
+def micros_of(time: Column | str) -> Column:
+    """Microseconds of a TIMESTAMP_NTZ since 1970, as if it were UTC, whatever the session's zone."""
+    time = _c(time).cast("timestamp_ntz")
+    minutes = (F.date_diff(time.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(time)) * 60 + F.minute(time)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
+
+
 def parse_iso(text: Column | str) -> Column:
     """ISO text with or without an offset or a fraction as TIMESTAMP_NTZ in UTC; null if it can't be read.
 

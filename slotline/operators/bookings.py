@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotline.functions.text import CONFIRMED, PENDING, filled, status_of
+from slotline.functions.timeops import micros_of
 from slotline.operators.ordering import number_rows
 
 ALL = "all"
@@ -43,9 +44,15 @@ def review_rows(rows: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, day: str = "created") -> DataFrame:
-    """Numbers from 1 within each status and day, in order of time and id."""
-    w = Window.partitionBy("status", F.to_date(day)).orderBy(day, "booking_id")
-    return with_status(rows).withColumn("number", F.row_number().over(w))
+    """Numbers from 1 within each status and day, in order of time and id.
+
+    The whole list is numbered, which deals a hot day over tasks, and each day's first number
+    is taken off: a row for each status and day, which is broadcast (a century has 36,525 days).
+    """
+    listed = number_rows(with_status(rows).withColumn("_day", F.to_date(day)), "status", "_day", day, "booking_id")
+    first = listed.groupBy(F.col("status").alias("_status"), F.col("_day").alias("_first_day")).agg(F.min("number").alias("_first"))
+    out = listed.join(F.broadcast(first), (F.col("status") == F.col("_status")) & F.col("_day").eqNullSafe(F.col("_first_day")))
+    return out.withColumn("number", (F.col("number") - F.col("_first") + 1).cast("int")).drop("_day", "_status", "_first_day", "_first")
 
 
 def numbered_list(rows: DataFrame, status: str = ALL, at: str = "created", id_: str = "booking_id") -> DataFrame:
@@ -62,8 +69,13 @@ def needs_event(rows: DataFrame) -> DataFrame:
 
 
 def apply_updates(rows: DataFrame, changes: DataFrame, columns: list[str], key: str = "booking_id") -> DataFrame:
-    """All rows, with the columns of their change where it has one; `changes` has a row a key at most."""
-    new = changes.select(F.col(key), *[F.col(c).alias(f"new_{c}") for c in columns])
+    """All rows, with the columns of their change where it has one.
+
+    Of several changes of one key the largest counts, by the columns in turn, so that no row
+    is doubled; a change of no row, and one without a key, is none.
+    """
+    largest = changes.groupBy(key).agg(F.max(F.struct(*columns)).alias("_new"))
+    new = largest.select(F.col(key), *[F.col(f"_new.{c}").alias(f"new_{c}") for c in columns])
     out = rows.join(new, key, "left")
     return out.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
@@ -107,12 +119,13 @@ def double_bookings(rows: DataFrame, minutes: int = 30) -> DataFrame:
 
     Both sides are dealt to buckets of `minutes`, so that a join key holds a staff member's
     bookings of one bucket only; a pair is reported in the bucket where its overlap begins.
-    Rows without a staff member aren't audited.
+    Rows without a staff member or a time, and empty intervals, aren't audited; rows without an
+    id are in no pair, and of a repeated id each row is.
     """
     micros = minutes * 60 * 1_000_000
-    bucket = lambda x: F.floor(F.unix_micros(x.cast("timestamp")) / micros)
+    bucket = lambda x: F.floor(micros_of(x) / micros)
     dealt = rows.filter(F.col("staff_id").isNotNull() & (F.col("start") < F.col("end"))).withColumn(
-        "bucket", F.explode(F.sequence(bucket(F.col("start")), F.floor((F.unix_micros(F.col("end").cast("timestamp")) - 1) / micros)))
+        "bucket", F.explode(F.sequence(bucket(F.col("start")), F.floor((micros_of("end") - 1) / micros)))
     )
     a, b = dealt.alias("a"), dealt.alias("b")
     on = F.expr("a.staff_id = b.staff_id and a.bucket = b.bucket and a.id < b.id and a.start < b.end and b.start < a.end")

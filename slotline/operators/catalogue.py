@@ -18,8 +18,9 @@ def lookup(catalogue: DataFrame, id_: int) -> DataFrame:
 
 
 def selected_detail(selected: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Each selection with its entry; a miss is kept and flagged."""
-    entry = catalogue.select("id", "title", "summary", F.lit(True).alias("_found"))
+    """Each selection with its entry; a miss is kept and flagged. Of repeated ids the first by title and summary counts, as in `lookup`."""
+    first = catalogue.filter("id is not null").groupBy("id").agg(F.min(F.struct("title", "summary")).alias("_entry"))
+    entry = first.select("id", "_entry.title", "_entry.summary", F.lit(True).alias("_found"))
     return selected.join(entry, selected.program_id == entry.id, "left").select(*selected.columns, "title", "summary", F.coalesce("_found", F.lit(False)).alias("found"))
 
 

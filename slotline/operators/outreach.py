@@ -61,7 +61,8 @@ def freebusy_request(rows: DataFrame) -> DataFrame:
 def merge_responses(rows: DataFrame, responses: DataFrame) -> DataFrame:
     """All bookings; those with an answer (booking_id, at, payload) get its links and are confirmed.
 
-    Of several answers to one booking the latest counts.
+    Of several answers to one booking the latest counts, of those of one time the last in order
+    of their links; one without a time is before all others.
     """
     link, meet = event_links("payload")
     got = responses.select("booking_id", F.struct("at", link.alias("event_link"), meet.alias("meet_link")).alias("r")).groupBy("booking_id").agg(F.max("r").alias("r"))

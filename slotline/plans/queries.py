@@ -265,9 +265,10 @@ def label_to_key(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def append_union(s: SparkSession, d: str) -> DataFrame:
-    """The log before and after a day, appended."""
-    rows = v.bookings(s, d).select("booking_id", "created")
-    return rows.filter("created < '1998-01-01'").union(rows.filter("created >= '1998-01-01'"))
+    """The bookings and those that came in by the event log (its signups), one behind the other, with what each is from."""
+    old = v.bookings(s, d).select("booking_id", "created", F.lit("bookings").alias("origin"))
+    new = v.read(s, d, "events").filter("event_type = 'signup'").select("event_id", "ts", F.lit("events"))
+    return old.union(new)
 
 
 @query

@@ -90,7 +90,7 @@ select staff_id, min(s) as busy_start, max(t) as busy_end from g group by staff_
     "review_numbered": f"with {BOOKINGS} select booking_id, status, row_number() over (partition by status, created::date order by created, booking_id)::int as number from b",
     "label_to_key": f"with {CALENDAR} select staff_id, week, slot_no, slot_key from c",
     "review_list": f"with {BOOKINGS} select booking_id, row_number() over (order by created, booking_id) as number from b where status = 'pending'",
-    "append_union": f"with {BOOKINGS} select booking_id, created from b",
+    "append_union": f"with {BOOKINGS} select booking_id, created, 'bookings' as origin from b union all select event_id, ts, 'events' from events where event_type = 'signup'",
     "union_by_name": f"with {BOOKINGS} select booking_id, name, case when booking_id % 2 = 1 then raw_status end as status from b",
     "append_log": f"with {BOOKINGS} select year(created)::int as year, count(*) as n, count(distinct created::date) as n_days, max(booking_id) as last_id from b group by 1",
     "rewrite_log": f"with {BOOKINGS} select booking_id, name, case when booking_id % 2 = 1 then raw_status end as status, case when booking_id % 2 = 1 then meet_link end as meet_link from b",

@@ -154,3 +154,50 @@ def test_files_of_a_day_are_bounded(spark, tmp_path):
     append_parquet(rows, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2000
     assert all(len(list(d.glob("*.parquet"))) <= 2 for d in (tmp_path / "log").glob("intake_date=*"))
+
+
+def test_repeated_changes_and_entries(spark):
+    """Neither doubles a row, and nulls and empty tables have defined results."""
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (None, "c", "y")], "booking_id long, status string, event_link string")
+    changes = spark.createDataFrame([(1, "z", None), (1, "y", "w"), (1, "z", "v"), (9, "q", "q"), (None, "n", "n")], "booking_id long, status string, event_link string")
+    got = sorted(map(tuple, bk.apply_updates(rows, changes, ["status", "event_link"]).collect()), key=str)
+    assert got == sorted([(1, "z", "v"), (2, "b", "x"), (None, "c", "y")], key=str)
+    assert bk.apply_updates(rows.limit(0), changes, ["status"]).count() == 0 and bk.apply_updates(rows, changes.limit(0), ["status"]).count() == 3
+    entries = spark.createDataFrame([(1, "b", "x"), (1, "a", "z"), (1, "a", "y"), (None, "n", "n")], "id int, title string, summary string")
+    picked = spark.createDataFrame([(1,), (1,), (2,), (None,)], "program_id int")
+    got = sorted(map(tuple, cat.selected_detail(picked, entries).collect()), key=str)
+    assert got == sorted([(1, "a", "y", True), (1, "a", "y", True), (2, None, None, False), (None, None, None, False)], key=str)
+
+
+def test_answers_of_one_time(spark):
+    t = datetime(2025, 1, 1)
+    rows = spark.createDataFrame([(1, "pending", "", None)], "booking_id long, status string, event_link string, meet_link string")
+    said = spark.createDataFrame([(1, t, '{"htmlLink":"a"}'), (1, t, '{"htmlLink":"b"}'), (1, None, '{"htmlLink":"z"}')], "booking_id long, at timestamp_ntz, payload string")
+    assert [(r.event_link, r.status) for r in out.merge_responses(rows, said).collect()] == [("b", "confirmed")]
+    assert out.merge_responses(rows, said.limit(0)).first().status == "pending" and out.merge_responses(rows.limit(0), said).count() == 0
+
+
+def test_numbers_within_days(spark):
+    t = datetime(2025, 1, 1)
+    rows = [(k, t + timedelta(hours=k % 30), "confirmed" if k % 4 == 0 else "") for k in range(200)] + [(900, None, ""), (901, None, "")]
+    df = spark.createDataFrame(rows, "booking_id long, created timestamp_ntz, status string").repartition(5)
+    w = Window.partitionBy("status", F.to_date("created")).orderBy("created", "booking_id")
+    want = {r.booking_id: r.n for r in bk.with_status(df).withColumn("n", F.row_number().over(w)).collect()}
+    assert {r.booking_id: r.number for r in bk.numbered(df).collect()} == want and bk.numbered(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_clashes_in_any_session_zone(spark, zone):
+    """Also in the hours that a zone skips and repeats; nulls are in no pair."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        m = timedelta(minutes=1)
+        rows = [("a", 3 * k + j, day + 17 * k * m, day + (17 * k + 40) * m) for j, day in enumerate((datetime(2025, 3, 9, 1), datetime(2025, 11, 2, 0, 30))) for k in range(12)]
+        rows = [(s, i + 100 * (t.month == 11), t, u) for s, i, t, u in rows] + [("a", None, datetime(2025, 3, 9, 2), datetime(2025, 3, 9, 3)), ("a", 999, None, datetime(2025, 3, 9, 3)), (None, 998, datetime(2025, 3, 9, 2), datetime(2025, 3, 9, 3))]
+        df = spark.createDataFrame(rows, "staff_id string, id long, start timestamp_ntz, end timestamp_ntz")
+        good = [r for r in rows if None not in r]
+        want = sorted((x[1], y[1]) for x in good for y in good if x[1] < y[1] and x[2] < y[3] and y[2] < x[3])
+        assert sorted((r.id_a, r.id_b) for r in bk.double_bookings(df).collect()) == want and want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
