@@ -25,6 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+STATE = 1 << 21  # words of 64 bits that a group of URLs has for its state
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -85,8 +88,9 @@ class Automaton:
         self.words = (len(steps) + 63) // 64
         self.start, self.any, self.seg = self._mask(start), self._mask(loop_any), self._mask(loop_seg)
         self.next = np.stack([self._mask([i for i, (kind, b, _) in enumerate(steps) if kind == "byte" and b == c or kind == "any" and c != ord("/")]) for c in range(256)])
-        order = sorted(range(len(rules)), key=lambda k: (not rules[k].stated, -len(rules[k].name)))
-        self.accept = [(k, self._mask([i for i, r in accept if r == k])) for k in order]
+        self.order = np.array(sorted(range(len(rules)), key=lambda k: (not rules[k].stated, -len(rules[k].name))), np.int32)
+        rank = {int(k): place for place, k in enumerate(self.order)}
+        self.accept = [(i // 64, i % 64, rank[k]) for i, k in accept]  # word and bit of each pattern's end, and its rule's rank
 
     def _mask(self, bits: list[int]) -> np.ndarray:
         out = np.zeros(self.words, np.uint64)
@@ -95,7 +99,12 @@ class Automaton:
         return out
 
     def run(self, urls: list[bytes]) -> np.ndarray:
-        """The index of the winning rule of each URL, or -1."""
+        """The index of the winning rule of each URL, or -1; URLs go in groups whose state holds STATE words at most (or one URL)."""
+        size = max(1, STATE // max(1, self.words))
+        parts = [self._run(urls[k : k + size]) for k in range(0, len(urls), size)]
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+    def _run(self, urls: list[bytes]) -> np.ndarray:
         order = sorted(range(len(urls)), key=lambda i: -len(urls[i]))
         size = np.array([len(urls[i]) for i in order], np.int64)
         ends = np.cumsum(size)
@@ -112,11 +121,12 @@ class Automaton:
             moved |= now & self.any
             moved |= np.where((c != ord("/"))[:, None], now & self.seg, np.uint64(0))
             state[:active] = moved
-        found = np.full(len(urls), -1, np.int32)
-        for k, mask in reversed(self.accept):
-            found[(state & mask).any(axis=1)] = k
+        best = np.full(len(urls), len(self.order), np.int32)
+        for word, bit, rank in self.accept:
+            hit = (state[:, word] >> np.uint64(bit)) & one != 0
+            best[hit] = np.minimum(best[hit], rank)
         out = np.empty(len(urls), np.int32)
-        out[order] = found
+        out[order] = np.append(self.order, np.int32(-1))[best]
         return out
 
 

@@ -63,3 +63,16 @@ def test_odd_urls(spark):
     assert got[5] == ("example.net", "/EN/", "net/", "block") and got[6] == ("a:", "//b/c", None, "allow")
     assert got[7][2] == "net/" and got[8] == ("a.net", "", None, "allow") and got[None][2] == "org/fr/"
     assert uf.judge(df.limit(0)).count() == 0
+
+
+def test_groups_of_urls(monkeypatch):
+    """However few words a group's state may hold, the winners are the same; many rules need many words."""
+    rules = uf.RULES + tuple(uf.site_rule("block", f"host{k}.com/") for k in range(600))
+    urls = [f"host{k}.com/x{k}".encode() for k in range(0, 700, 7)] + [b"spam-x.org", b"a.net/", b"", b"org/fr/1"]
+    automaton = uf.Automaton(rules)
+    want = automaton.run(urls).tolist()
+    assert automaton.words > 100 and want == [brute(u, rules) for u in urls]
+    for state in (1, 3 * automaton.words, 10**9):
+        monkeypatch.setattr(uf, "STATE", state)
+        assert automaton.run(urls).tolist() == want
+    assert automaton.run([]).tolist() == [] and uf.Automaton(()).run([b"x"]).tolist() == [-1]
