@@ -2,8 +2,8 @@
 
 A page is a tree of block elements and blocks of text (`html_tree`), and each node a binary
 variable: main text or not. A node's potential depends on what it is called and on how much
-text and how many links are below it; a potential between parent and child says how likely
-main text begins or ends at a node of that kind. Sum-product messages pass upward from the
+text and how many links are below it (see COMMON); a potential between parent and child says
+how likely main text begins or ends at a node of that kind. Sum-product messages pass upward from the
 deepest nodes and downward again, level by level for all pages of a batch at once, which
 gives each node's exact marginal. Weights are trained by the gradient of the likelihood of
 labelled pages, which the same messages give. Blocks whose marginal is over a half are the
@@ -34,7 +34,11 @@ from slotline.llm.html_tree import MARK, Tree, parse
 from slotline.llm.page_layouts import labelled_pages
 
 GROUP = 4 << 20  # characters of pages whose trees are worked on together
-STEPS, RATE, DECAY = 250, 0.15, 2e-3  # training: gradient steps, their size, weight decay
+STEPS, RATE = 250, 0.15  # training: gradient steps and their size
+DECAY, COMMON_DECAY = 3e-4, 3e-3  # weight decay of names, and of features that every node has
+#: These features and tags say where main text begins or ends, but not that a node is main text: else
+#: the many blocks of a long page would together outweigh what their container is called.
+COMMON = ("block", "element", "ends a sentence", "<p>", "<li>", "<td>", "<tr>", "<div>", "<ul>", "<ol>")
 
 
 def _log2(x: np.ndarray) -> np.ndarray:
@@ -59,8 +63,7 @@ class Forest:
         order = np.argsort(self.depth, kind="stable")
         ends = np.searchsorted(self.depth[order], np.arange(int(self.depth.max(initial=0)) + 2))
         self.levels = [order[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        main_chars = np.where(self.main, self.chars, 0)
-        self.chars_below, self.linked_below, self.main_below = (self._below(x) for x in (self.chars, self.linked, main_chars))
+        self.chars_below, self.linked_below = self._below(self.chars), self._below(self.linked)
         self.names = [x for t in trees for x in t.names]
 
     def _below(self, values: np.ndarray) -> np.ndarray:
@@ -69,14 +72,6 @@ class Forest:
             np.add.at(out, self.parent[level], out[level])
         return out
 
-    def labels(self) -> np.ndarray:
-        """Of a leaf its mark, of an element whether most of its text is main; elements without text are as their parent."""
-        out = np.where(self.leaf, self.main, 2 * self.main_below > self.chars_below)
-        for level in self.levels[1:]:
-            bare = level[self.chars_below[level] == 0]
-            out[bare] = out[self.parent[bare]]
-        return out
-
     def features(self, index: dict[str, int], grow: bool) -> tuple[np.ndarray, np.ndarray]:
         """Node and feature of each feature that a node has; names that `index` lacks are added, or left out."""
         size, share = _log2(self.chars_below), (4 * self.linked_below) // np.maximum(self.chars_below, 1)
@@ -155,16 +150,19 @@ def fit(pages: list[str]) -> Model:
     """Train on labelled pages: gradient steps, each divided by a running mean of its own size, on the likelihood of all labels."""
     forest, index = Forest([parse(p) for p in pages]), {}
     nodes, ids = forest.features(index, True)
-    y, n = forest.labels(), len(forest.parent)
+    y, n = forest.main, len(forest.parent)
     of_parent = np.where(forest.parent >= 0, y[forest.parent], False)
     inner = forest.parent >= 0
     seen = np.stack([y, inner & ~of_parent & y, inner & of_parent & ~y]).astype(float)
     model = Model(index, np.zeros((3, len(index))))
+    common = np.array([f.startswith(COMMON) for f in index], bool)
+    decay = np.where(common, COMMON_DECAY, DECAY)
+    free = np.stack([~common, *[np.ones(len(index), bool)] * 2])
     speed, size = np.zeros_like(model.weights), np.zeros_like(model.weights)
     for step in range(1, STEPS + 1 if pages else 1):
         b = sum_product(forest, *model.potentials(n, nodes, ids))
         off = seen - np.stack([b.marginal, b.pair[:, 0, 1], b.pair[:, 1, 0]])
-        gradient = np.stack([np.bincount(ids, o[nodes], len(index)) for o in off]) / len(pages) - DECAY * model.weights
+        gradient = np.stack([np.bincount(ids, o[nodes], len(index)) for o in off]) / len(pages) * free - decay * model.weights
         speed, size = 0.9 * speed + 0.1 * gradient, 0.99 * size + 0.01 * gradient**2
         model.weights = model.weights + RATE * (speed / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.99**step)) + 1e-6)
     return model

@@ -17,14 +17,14 @@ from slotline.llm.html_tree import MARK
 CONTAINERS = (
     "<article>", "<main>", "<main><article>", "<article class='post'>", "<article class='entry hentry'>", "<section class='article-text'>",
     "<div class='content'>", "<div id='content'>", "<div id='main-content'>", "<div class='post-body'>", "<div class='entry-content'>",
-    "<div class='article-body'>", "<div class='story text'>", "<div role='main'>", "<div class='main'><div class='text'>", "<div class='page'><article>",
+    "<div class='article-body'>", "<div class='story text'>", "<div role='main'>", "<div class='main'><div class='text'>", "<div class='page'><article>", "<section>", "<div id='article'>", "<div class='blog-post'>", "<div class='main-text'>", "<div class='body'>",
 )
 PARTS = (
     "<nav><ul>{links}</ul></nav>", "<nav class='navbar'>{inline_links}</nav>", "<div class='menu'><ul>{links}</ul></div>", "<ul id='navigation'>{links}</ul>",
     "<div class='breadcrumb'>{inline_links}</div>", "<div class='pagination'>{inline_links}</div>", "<div class='tags'>{inline_links}</div>",
-    "<header><h2>{title}</h2><p>{sentence}</p></header>", "<header>{sentence}</header>", "<div id='header'><h2>{title}</h2>{inline_links}</div>", "<div class='banner' role='banner'><p>{sentence}</p></div>",
-    "<footer>&copy; {sentence}</footer>", "<footer><p>{sentence}</p><ul>{links}</ul></footer>", "<div id='footer'><p>&copy; {sentence}</p></div>", "<div class='copyright legal'>{sentence}</div>",
-    "<aside><h3>{title}</h3><p>{prose}</p></aside>", "<aside class='sidebar'><ul>{links}</ul></aside>", "<div class='sidebar'><h3>{title}</h3><p>{sentence}</p></div>", "<div id='sidebar'>{prose}</div>", "<div class='widget'><h4>{title}</h4><ul>{links}</ul></div>",
+    "<header><h2>{title}</h2><p>{sentence}</p></header>", "<header>{sentence}</header>", "<header><h1>{title}</h1>{inline_links}</header>", "<header><h1>{word}</h1></header>", "<header class='masthead'><div><h1>{title}</h1><p>{sentence}</p></div></header>", "<div id='header'><h2>{title}</h2>{inline_links}</div>", "<div class='banner' role='banner'><p>{sentence}</p></div>",
+    "<footer>&copy; {sentence}</footer>", "<footer>{word}</footer>", "<footer><p>{prose}</p></footer>", "<footer class='bottom'><div>{inline_links}</div><p>&copy; {word}</p></footer>", "<footer><p>{sentence}</p><ul>{links}</ul></footer>", "<div id='footer'><p>&copy; {sentence}</p></div>", "<div class='copyright legal'>{sentence}</div>",
+    "<aside><h3>{title}</h3><p>{prose}</p></aside>", "<aside>{prose}</aside>", "<aside class='sidebar'><ul>{links}</ul></aside>", "<div class='sidebar'><h3>{title}</h3><p>{sentence}</p></div>", "<div id='sidebar'>{prose}</div>", "<div class='widget'><h4>{title}</h4><ul>{links}</ul></div>",
     "<div class='ad'>{sentence}</div>", "<div class='ads'><p>{sentence}</p></div>", "<div class='advert sponsored'>{sentence}</div>", "<div class='advertisement'><p>{prose}</p></div>", "<section class='promo'><h3>{title}</h3><p>{sentence}</p></section>",
     "<div class='cookie-notice'><p>{sentence}</p><button>{word}</button></div>", "<div id='cookies' role='dialog'><p>{prose}</p></div>", "<div class='notice' role='alert'>{sentence}</div>", "<div class='consent popup'><p>{sentence}</p></div>",
     "<form><p>{sentence}</p><label>{word}</label><input><button>{word}</button></form>", "<form class='search'><input><button>{word}</button></form>", "<form id='login'><label>{word}</label><input> {sentence}</form>", "<div class='newsletter subscribe'><form><p>{sentence}</p><input></form></div>",
@@ -32,7 +32,13 @@ PARTS = (
     "<section id='comments'><h3>{title}</h3>{comments}</section>", "<section class='comments'>{comments}</section>", "<div class='comments'><h3>{title}</h3>{comments}</div>", "<ol class='commentlist'><li class='comment'><p>{prose}</p></li><li class='comment'><p>{sentence}</p></li></ol>", "<div id='disqus' class='discussion'>{comments}</div>",
     "<div hidden><p>{prose}</p></div>", "<div style='display:none'>{sentence}</div>",
 )
-BLOCKS = ("<p>{prose}</p>", "<p>{prose}</p>", "<p>{prose}", "<p>{sentence}</p>", "<p>{word}.</p>", "<p><b>{sentence}<br>", "<h2>{title}</h2>", "<h3>{title}</h3>", "<ul><li>{sentence}</li><li>{sentence}</li></ul>", "<ol><li>{prose}</li><li>{word}</li></ol>", "<blockquote><p>{prose}</p></blockquote>", "<pre>{sentence}</pre>", "<figure><img><figcaption>{sentence}</figcaption></figure>", "<table><tr><td>{word}</td><td>{sentence}</td></tr></table>", "<div>{prose}</div>", "<div><p>{sentence}</p></div>", "<p>{sentence} <a href='/x'>{title}</a> {sentence}</p>")
+# What parts that aren't main text are called, beside the parts above: plain values.
+NAMES = (
+    "side-bar", "right-rail", "top-nav", "main-menu", "site-header", "masthead", "page-header", "site-footer", "page-footer", "colophon", "toolbar", "popup", "overlay", "modal", "gdpr", "cookie-banner", "legal-notice", "disclaimer", "alert-box",
+    "responses", "replies", "respond", "comment-list", "reader-comments", "user-reviews", "breadcrumbs", "pager", "related-posts", "see-also", "trending", "most-popular", "teaser", "share-buttons", "social-links", "sign-up", "login-box", "search-box", "contact-form",
+    "ad", "ads", "comments", "sidebar", "footer", "header", "menu", "adsense", "ad-slot", "ad-unit", "sponsor", "partner-links", "advert-box", "promo-box", "announcement", "skip-link", "widget-area", "tag-cloud",
+)
+BLOCKS = ("<p>{prose}</p>", "<p>{prose}</p>", "<p>{junk}</p>", "<p>{junk}</p>", "<p>{prose}", "<p>{sentence}</p>", "<p>{word}.</p>", "<p><b>{sentence}<br>", "<h2>{title}</h2>", "<h3>{title}</h3>", "<ul><li>{sentence}</li><li>{sentence}</li></ul>", "<ol><li>{prose}</li><li>{word}</li></ol>", "<blockquote><p>{prose}</p></blockquote>", "<pre>{sentence}</pre>", "<figure><img><figcaption>{sentence}</figcaption></figure>", "<table><tr><td>{word}</td><td>{sentence}</td></tr></table>", "<div>{prose}</div>", "<div><p>{sentence}</p></div>", "<p>{sentence} <a href='/x'>{title}</a> {sentence}</p>")
 _TELLING = re.compile(r" (?:class|id|role)='[^']*'")
 
 
@@ -54,17 +60,18 @@ class _Filler:
     def fill(self, template: str) -> str:
         kinds = {
             "word": lambda: self.words(1, 1),
+            "junk": lambda: " ".join(w + self.rng.choice(("", "***", "%%%", "$", "|")) for w in self.words(1, 80).split()),
             "title": lambda: self.words(1, 8).capitalize(),
             "sentence": self.sentence,
             "prose": lambda: " ".join(self.sentence() for _ in range(self.rng.randint(1, 12))),
             "links": lambda: "".join(f"<li>{self.link()}</li>" for _ in range(self.rng.randint(2, 8))),
             "inline_links": lambda: self.rng.choice((" ", " | ", " / ")).join(self.link() for _ in range(self.rng.randint(2, 6))),
-            "comments": lambda: "".join(self.fill(self.rng.choice(("<div class='comment'><p>{prose}</p></div>", "<p>{sentence}</p>", "<div><b>{word}</b><p>{prose}</p></div>"))) for _ in range(self.rng.randint(1, 5))),
+            "comments": lambda: "".join(self.fill(self.rng.choice(("<div class='comment'><p>{prose}</p></div>", "<p>{sentence}</p>", "<div><b>{word}</b><p>{prose}</p></div>"))) for _ in range(self.rng.choice((1, 2, 3, 4, 5, 25)))),
         }
         return re.sub(r"\{(\w+)\}", lambda m: kinds[m[1]](), template)
 
 
-def labelled_pages(n: int = 500, seed: int = 13) -> list[str]:
+def labelled_pages(n: int = 600, seed: int = 13) -> list[str]:
     """`n` pages, the same for a seed, whose elements say in `data-main` whether they hold main text."""
     rng = random.Random(seed)
     filler, out = _Filler(rng), []
@@ -74,21 +81,25 @@ def labelled_pages(n: int = 500, seed: int = 13) -> list[str]:
 
     def other() -> str:
         part = rng.choice(PARTS)
+        if rng.random() < 0.35:
+            inner = rng.choice(("<p>{prose}</p>", "<p>{sentence}</p>", "<p>{sentence}</p><p>{prose}</p>", "{sentence}", "{prose}", "<h3>{title}</h3><p>{prose}</p>", "{inline_links}", "<ul>{links}</ul>"))
+            tag, key = rng.choice(("div", "section", "p") if inner[0] == "{" else ("div", "div", "section")), rng.choice(("class", "class", "id"))
+            return mark(filler.fill(f"<{tag} {key}='{rng.choice(NAMES)}'>{inner}</{tag}>"), 0)
         if rng.random() < 0.1 and not re.search("comment|hidden|none|prose", part):
             part = _TELLING.sub("", re.sub(r"<(/?)(?:nav|header|footer|aside|section)\b", r"<\1div", part))
         return mark(filler.fill(part), 0)
 
     for _ in range(n):
-        container = rng.choice(CONTAINERS)
+        container = rng.choice(CONTAINERS[:3] if rng.random() < 0.5 else CONTAINERS)
         if rng.random() < 0.1:
             container = _TELLING.sub("", re.sub(r"<(?:article|main|section)", "<div", container))
         closing = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", container)))
         blocks = [filler.fill("<h1>{title}</h1>")] if rng.random() < 0.8 else []
-        blocks += [filler.fill(rng.choice(BLOCKS)) for _ in range(rng.choice((1, 2, 3, 5, 8, 12)))]
-        for _ in range(rng.choice((0, 0, 0, 1, 2))):
+        blocks += [filler.fill(rng.choice(BLOCKS)) for _ in range(rng.choice((1, 1, 2, 2, 3, 3, 5, 5, 8, 12, 25, 80)))]
+        for _ in range(rng.choice((0, 0, 1, 2, 3, 5))):
             blocks.insert(rng.randint(0, len(blocks)), other())
         page = [mark(container, 1) + "".join(blocks) + closing]
-        for _ in range(rng.randint(1, 4)):
+        for _ in range(rng.randint(0, 4)):
             page.insert(0, other())
         for _ in range(rng.randint(0, 4)):
             page.append(other())

@@ -66,7 +66,7 @@ def test_deep_tree():
 def test_held_out_layouts():
     pages = labelled_pages(300, seed=99)
     forest = hc.Forest([ht.parse(p) for p in pages])
-    b, y = hc.layout_model().beliefs(forest), forest.labels()
+    b, y = hc.layout_model().beliefs(forest), forest.main
     leaf = forest.leaf
     right = ((b.marginal > 0.5) == y)[leaf]
     by_chars = np.average(right, weights=forest.chars[leaf])
@@ -87,6 +87,20 @@ def test_kinds_of_parts():
             assert text_of(f"<body>{around.format(article + other)}</body>") == want
 
 
+def test_parts_within_a_short_article():
+    """Much that isn't main text within an article doesn't take the article's own blocks along."""
+    prose = "Some words that make a sentence of the usual length, more or less."
+    page = f"<body><article><h1>Title</h1><p>{prose}</p><div class='ad'><p>{prose}</p></div><p>Yes.</p><aside>{prose}</aside><div class='sidebar'>{prose}</div></article></body>"
+    assert text_of(page) == f"Title\n{prose}\nYes."
+
+
+def test_long_pages():
+    """Hundreds of blocks don't outweigh what their container is called, in an article as among its comments."""
+    odd, prose = "ODD $$ words || without an end", "Some words that make a sentence of the usual length, more or less."
+    page = f"<article>{f'<p>{odd}</p>' * 400}<section class='comments'>{f'<p>{prose}</p>' * 400}</section></article>"
+    assert text_of(f"<body><nav>{'<a href=x>Home</a>' * 9}</nav>{page}") == "\n".join([odd] * 400)
+
+
 def test_rows(spark):
     page = "<html><body><nav><ul><li><a href='/a'>A</a></li></ul></nav><article><h1>T &amp; U</h1><p>One\n two.<br><p>Three.</article><footer>F</footer>"
     rows = [(1, "u", page), (2, None, None), (3, "", ""), (None, "v", page), (1, "u", page), (4, "w", "<p>" + "word " * 400_000 + "</p>"), (5, "x", "no markup at all")]
