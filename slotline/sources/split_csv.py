@@ -15,10 +15,8 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +24,9 @@ from pyspark.sql import functions as F
 from slotline.sources.bookings_csv import SCHEMA
 from slotline.sources.scratch import kept
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 HEADERS = 1000  # different ones in a folder at most
 RECORD = "header int, file long, block long, kind int, text string"
 WHOLE, HEAD, TAIL = 0, 1, 2  # a record; what ends one that a part before began; what begins one that a later part ends
@@ -49,6 +50,10 @@ def edges(lines: DataFrame) -> DataFrame:
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of RECORD of lines (value, file, block, odd, header)."""
+    import numpy as np  # here, as only this scan needs them
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     out: list[tuple] = []
     part, inside, open_, begun = None, False, [], False
 
