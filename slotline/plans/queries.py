@@ -181,11 +181,11 @@ def freebusy_request(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def scan_bookings(s: SparkSession, d: str) -> DataFrame:
-    """The bookings, written as the CSV log and read back by name."""
+    """The bookings, written as the CSV log and read back by name, files in parts."""
     text = v.bookings(s, d).select(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss").alias("created_utc"), "name", "email", F.col("slot_key").alias("slot_label"), F.concat("message", F.lit(",\n"), F.col("booking_id").cast("string")).alias("message"), "event_link")
     path = new_path(s, "bookings")
     bookings_csv.write(text, path)
-    back = bookings_csv.scan(s, path)
+    back = split_csv.scan(s, path)
     return back.select(timeops.parse_iso("created_utc").alias("created"), "name", or_default("email", "").alias("email"), "slot_label", "message", or_default("event_link", "").alias("event_link"))
 
 

@@ -13,7 +13,7 @@ SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS + LATE_
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """One header version of the log. A missing path or an empty file gives no rows.
+    """One header version of the log, each file read by one task (`split_csv.scan` reads them in parts). A missing path or an empty file gives no rows.
 
     Columns are taken by name, late ones may be absent or in any order, short rows are kept.
     """
