@@ -31,6 +31,7 @@ class Scratch:
 
     def drop(self) -> None:
         remove(self.spark, self.path)
+        give_back()
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -43,14 +44,19 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def give_back() -> None:
+    """Give memory that this process has, and doesn't use, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """`run` for mapInArrow, after which its worker, which stays for other tasks, gives unused memory back."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 

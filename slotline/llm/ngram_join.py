@@ -581,7 +581,7 @@ def members(docs: DataFrame) -> DataFrame:
     level, common, bins = levels(counted)
     classes = rows.filter("n > 0").groupBy("n", "m1", "m2").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    total, n_texts = (x or 0 for x in classes.agg(F.sum("n"), F.sum("copies")).first())
     cuts = cut(bins, max(partitions(spark), -(-total // (4 * ROWS_A_FRAGMENT))), common, ROWS_A_LIST)
     found = scratch.put(candidates(signatures(docs, level, cuts), cuts), "candidates")
     ids = classes.select("m1", "m2", "cid", "n")
@@ -594,14 +594,21 @@ def members(docs: DataFrame) -> DataFrame:
     lists = scratch.put(numbered(found.filter("kind = 1").select("a1", "a2", "list", "core"), "a").groupBy("list", "a", "n_a").agg(F.max("core").alias("core")), "lists")
     in_long = scratch.put(lists.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "long")
     sides = ["a1", "a2", "b1", "b2"]
-    met = found.filter("kind = 3").groupBy("a1", "a2").agg(F.max("shared").alias("d"))
-    met = scratch.put(numbered(met, "a").select("a", "d"), "coinciding")
+    met = found.filter("kind = 3")
+    some_met = not met.isEmpty()  # of large texts only
+    if some_met:
+        met = scratch.put(numbered(met.groupBy("a1", "a2").agg(F.max("shared").alias("d")), "a").select("a", "d"), "coinciding")
+
+    def coinciding(df: DataFrame, side: str, name: str) -> DataFrame:
+        """How many marks of a class coincide, as a further column."""
+        return df.join(met.toDF(side, name), side, "left").fillna(0, [name]) if some_met else df.withColumn(name, F.lit(0).cast("long"))
+
     short = found.filter("kind in (0, 2)").groupBy(*sides).agg(F.sum("shared").alias("shared"), F.max(F.col("core") | (F.col("kind") == 2)).alias("core"))
     short = numbered(short, "a", "b").withColumn("shared", F.coalesce("shared", F.lit(0)))
     short = short.join(in_long.withColumnRenamed("k", "k_a"), "a", "left").join(in_long.select(F.col("a").alias("b"), F.col("k").alias("k_b")), "b", "left")
     more = F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0)))
     for s in "ab":
-        short = short.join(met.toDF(s, f"d_{s}"), s, "left").fillna(0, [f"d_{s}"])
+        short = coinciding(short, s, f"d_{s}")
     short = scratch.put(short.filter(possible(F.col("shared") + more)).drop("k_a", "k_b", "d_a", "d_b"), "short")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -618,7 +625,7 @@ def members(docs: DataFrame) -> DataFrame:
         sized = lists.join(lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")), "list")
         first = F.slice(F.sort_array(F.collect_list(F.struct("size", "list", "core")), asc=False), 1, TOPS)
         tops = sized.groupBy("a").agg(first.alias("t")).select("a", F.col("t.list").alias("tops"), F.col("t.core").alias("core_tops"))
-        about = in_long.join(beside, "a", "left").join(tops, "a").join(met, "a", "left").fillna(0, ["s", "d"])
+        about = coinciding(in_long.join(beside, "a", "left").join(tops, "a").fillna(0, ["s"]), "a", "d")
         in_lists = scratch.put(sized.join(about, "a"), "members")
 
         def mixed(linked: DataFrame) -> DataFrame:
@@ -644,12 +651,10 @@ def members(docs: DataFrame) -> DataFrame:
             linked = joined(linked, some.select("a", "b", "n_a", "n_b").distinct())
             linked = joined(linked, meetings(mixed(linked)))
     named = classes.join(linked, F.col("cid") == F.col("node"), "left").select("n", "m1", "m2", "rep_id", "copies", F.coalesce("component", "cid").alias("c"))
-    named = scratch.put(named, "named")
     smallest = named.groupBy("c").agg(F.min("rep_id").alias("component_id"))
     name = F.struct("n", "m1", "m2").alias("name")
-    named = scratch.put(named.join(smallest, "c").select(name, "copies", "component_id"), "component")
-    texts_of = named.agg(F.sum("copies")).first()[0] or 0
-    out = left_join(rows.filter("n > 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), name), named, "name", "copies", texts_of).select("doc_id", "mark", "n_shingles", "component_id")
+    named = scratch.put(named.join(smallest, "c").select(name, "copies", "component_id"), "named")
+    out = left_join(rows.filter("n > 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), name), named, "name", "copies", n_texts).select("doc_id", "mark", "n_shingles", "component_id")
     out = stash(out.unionByName(rows.filter("n = 0").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "components")
     scratch.drop()
     return out
