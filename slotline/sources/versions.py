@@ -26,23 +26,21 @@ def _epochs(spark: SparkSession, path: str, kind: str) -> list[int]:
 
 
 def latest(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """The latest row of each key; no rows if nothing was put. Null keys are one key."""
-    base, names = _epochs(spark, path, "base")[-1:], [f.partition(":")[0].split()[0] for f in _fields(schema)]
+    """The latest row of each key; no rows if nothing was put. Null keys are one key.
+
+    Only newer versions are grouped; of the base those rows are read whose key none of them has.
+    """
+    base, names = _epochs(spark, path, "base")[-1:], [f.split()[0] for f in schema.split(",")]
     newer = [e for e in _epochs(spark, path, "version") if not base or e > base[0]]
-    out = spark.createDataFrame([], schema).withColumn("_epoch", F.lit(0).cast("long"))
-    if base:
-        out = spark.read.schema(schema).parquet(f"{path}/base={base[0]:012d}").withColumn("_epoch", F.lit(base[0]).cast("long"))
-    if newer:
-        rows = spark.read.schema(f"{schema}, version long").option("basePath", path).parquet(*[f"{path}/version={e:012d}" for e in newer])
-        out = out.unionByName(rows.withColumnRenamed("version", "_epoch"))
-    elif base:
-        return out.drop("_epoch")  # nothing changed since
-    return out.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*names), "_epoch").alias("_row")).select("_row.*")
-
-
-def _fields(schema: str) -> list[str]:
-    """The fields of a flat schema in DDL."""
-    return [f.strip() for f in schema.split(",")]
+    old = spark.read.schema(schema).parquet(f"{path}/base={base[0]:012d}") if base else spark.createDataFrame([], schema)
+    if not newer:
+        return old
+    rows = spark.read.schema(f"{schema}, version long").option("basePath", path).parquet(*[f"{path}/version={e:012d}" for e in newer])
+    new = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*names), "version").alias("_row")).select("_row.*")
+    if not base:
+        return new
+    changed = new.select(F.col(key).alias("_changed"))
+    return old.join(changed, F.col(key).eqNullSafe(F.col("_changed")), "left_anti").unionByName(new)
 
 
 def compact(spark: SparkSession, path: str, key: str, schema: str, clear: bool = True) -> int | None:
