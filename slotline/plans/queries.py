@@ -286,7 +286,7 @@ def append_log(s: SparkSession, d: str) -> DataFrame:
     rows, path = v.bookings(s, d).select("booking_id", F.col("created").alias("created_utc")), new_path(s, "log")
     for part in ("booking_id % 2 = 0", "booking_id % 2 = 1"):
         bookings_csv.append_parquet(rows.filter(part), path)
-    back = s.read.parquet(path).groupBy(F.year("intake_date").alias("year"))
+    back = bookings_csv.read_log(s, path, rows.schema).groupBy(F.year("intake_date").alias("year"))
     return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("intake_date").alias("n_days"), F.max("booking_id").alias("last_id"))
 
 
@@ -383,7 +383,7 @@ def intake_log(s: SparkSession, d: str) -> DataFrame:
         rows = v.actions(s.readStream.schema(events.schema).parquet(landed)).withColumn("action_id", F.expr("if(action_id % 7 = 0, null, action_id)"))
         twice = rows.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
         intake.store_intake(twice, log, checkpoint, "action_id").awaitTermination()
-    return s.read.parquet(log).select("action_id", "booking_id", "action")
+    return intake.stored(s, log, twice.schema).select("action_id", "booking_id", "action")
 
 
 @query

@@ -49,6 +49,11 @@ def append_parquet(df: DataFrame, path: str) -> None:
     df.withColumn("intake_date", F.to_date("created_utc")).hint("rebalance", "intake_date").write.mode("append").partitionBy("intake_date").parquet(path)
 
 
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What `append_parquet` has put in a log of this schema, with the day of intake; a log to which only empty tables were appended is empty."""
+    return spark.read.schema(T.StructType([*schema, T.StructField("intake_date", T.DateType())])).parquet(path)
+
+
 def rewrite_parquet(versions: list[DataFrame], path: str) -> None:
     """Rows of several header versions in a new folder, with all their columns in the order first seen."""
     out = versions[0]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from slotline.operators.bookings import state_aggregates
 from slotline.sources.folders import children
@@ -58,6 +59,13 @@ def store_intake(stream: DataFrame, log: str, checkpoint: str, id_: str = "intak
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored(spark: SparkSession, log: str, schema: StructType) -> DataFrame:
+    """The records that `store_intake` has put in a log, in the schema of its stream; none if it has put none."""
+    if not children(spark, log):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(StructType([*schema, StructField("record_key", StringType()), StructField("day", StringType())])).parquet(log).select(*schema.names)
+
+
 def running_state(stream: DataFrame) -> DataFrame:
     """The same fold as the batch one; the state is a row for each booking."""
     return stream.groupBy("booking_id").agg(*state_aggregates())
