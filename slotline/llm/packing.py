@@ -59,6 +59,7 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         one = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.table = {c: "".join(p for p, _ in one.pre_tokenize_str(chr(c))) for c in range(33, 256)}
+        self.merges = self.tokenizer.model.tokenize
         self.special = tuple({x.content for x in self.tokenizer.get_added_tokens_decoder().values()})
 
     def encode(self, text: str) -> bytes:
@@ -69,7 +70,8 @@ class Words(dict):
         text = word.decode()
         end = text[-1] if text[-1] in ".," else ""
         base = text[: len(text) - len(end)]
-        if base.isalpha() and max(base) <= "\u00ff":
+        plain = base.isascii()
+        if base.isalpha() and (plain or max(base) <= "\u00ff"):
             small = base.lower()
             if small != text:
                 known = (key := small.encode()) in self
@@ -77,7 +79,7 @@ class Words(dict):
                 if not known:  # only a word that comes again is worth a place for this form of it
                     return ids
             else:
-                ids = array("I", [x.id for x in self.tokenizer.model.tokenize(small.translate(self.table))]).tobytes()
+                ids = array("I", [x.id for x in self.merges(small if plain else small.translate(self.table))]).tobytes()
         else:
             ids = self.encode(text)
         if len(self) < MEMO_WORDS and len(word) < 100:
